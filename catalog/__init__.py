@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["text"]
+_MODULES = ["text", "retrieval"]
 
 
 def load_all() -> None:

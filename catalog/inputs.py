@@ -76,7 +76,7 @@ DERIVED: dict[str, tuple[list[str], str]] = {
                CASE WHEN doc_id % 10 < 8 THEN CAST(floor((doc_id % 10) / 4) AS INT) + 1 END AS page_number,
                CASE WHEN doc_id % 5 = 0 THEN 'Avsnitt ' || CAST(doc_id % 10 AS STRING)
                     WHEN doc_id % 5 = 1 THEN ' ' END AS heading,
-               text || chr(10) || '| FNT' || lpad(CAST(doc_id % 400 AS STRING), 6, '0') || ' | 10.0.'
+               text || chr(10) || '| FNT' || lpad(CAST(doc_id % 40 AS STRING), 6, '0') || ' | 10.0.'
                     || CAST(doc_id % 7 AS STRING) || '.' || CAST(doc_id % 250 AS STRING) || ' |' AS content
         FROM {documents}"""),
     "vectors": (["embeddings"], """
@@ -92,7 +92,7 @@ DERIVED: dict[str, tuple[list[str], str]] = {
     "questions": (["conversations"], f"""
         SELECT conv_id * 100 + turn AS query_id, conv_id % 20 AS doc_set_id,
                {_PHRASE_CASE} ||
-               CASE WHEN turn % 3 = 0 THEN ' FNT' || lpad(CAST((conv_id * 7) % 400 AS STRING), 6, '0') || ' '
+               CASE WHEN turn % 3 = 0 THEN ' FNT' || lpad(CAST((conv_id * 7) % 40 AS STRING), 6, '0') || ' '
                     WHEN turn % 3 = 1 THEN ' 10.0.' || CAST(conv_id % 7 AS STRING) || '.' ||
                          CAST((conv_id * 7 + turn) % 250 AS STRING) || ' fnt000001 ' ELSE ' ' END || text AS query_text,
                (conv_id * 31 + turn * 7) % 500 AS vec_id

@@ -32,12 +32,12 @@ def bucketed_rank(df: DataFrame, keys: Sequence[str], bucket: dict[str, Column],
     marked = df
     for name, expr in bucket.items():
         marked = marked.withColumn(name, expr)
-    sizes = marked.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = marked.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("_rows"))
     before = Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
     if total:
-        sizes = sizes.withColumn(total, F.sum("_n").over(Window.partitionBy(*keys)))
-    sizes = sizes.drop("_n")
+        sizes = sizes.withColumn(total, F.sum("_rows").over(Window.partitionBy(*keys)))
+    sizes = sizes.drop("_rows")
     inside = Window.partitionBy(*keys, *names).orderBy(*order)
     ranked = marked.withColumn("_in", F.row_number().over(inside))
     out = ranked.join(sizes, [*keys, *names])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -34,16 +36,20 @@ def build_session(master: str | None = None, app: str = "foliant", shuffle_parti
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder the cluster names.
+    """Reliable checkpoint for a result that several later steps read.
 
-    The folder is read from ``spark.checkpoint.dir``; without one (as in unit
-    tests) the plan is returned unchanged, which is correct but may recompute.
+    The folder is the shared one the cluster names in ``spark.checkpoint.dir``.
+    A local session without that setting (tests, bench) gets a folder of its
+    own; a cluster session without it keeps the plan as it is, which is correct
+    but computes the step once per reader.
     """
     spark = df.sparkSession
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        return df
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(configured)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and sc.master.startswith("local"):
+            folder = tempfile.mkdtemp(prefix="foliant-checkpoint-")
+        if not folder:
+            return df
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["text", "retrieval"]
+_MODULES = ["text", "retrieval", "tables"]
 
 
 def load_all() -> None:

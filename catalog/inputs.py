@@ -169,8 +169,12 @@ DERIVED: dict[str, tuple[list[str], str]] = {
         SELECT set_no AS doc_set_id, set_no * 1000000 + block * 10 AS doc_id, 'Excel' AS document_type, text FROM {link_text}
         UNION ALL SELECT set_no, set_no * 1000000 + block * 10 + 1, 'Excel', text FROM {core_text}
         UNION ALL SELECT set_no, set_no * 1000000 + block * 10 + 2, 'Excel', text FROM {part_text}"""),
+    "sheet_texts": (["workbooks", "csv_docs"], """
+        SELECT doc_set_id, doc_id, document_type, text FROM {workbooks}
+        UNION ALL SELECT doc_set_id, doc_id, document_type, text FROM {csv_docs}"""),
     "sheet_questions": (["questions"], """
-        SELECT query_id, (query_id * 13) % 51 AS doc_set_id, query_text FROM {questions}"""),
+        SELECT query_id, CASE WHEN (query_id * 13) % 56 > 50 THEN (query_id * 13) % 56 + 50 ELSE (query_id * 13) % 56 END AS doc_set_id,
+               query_text FROM {questions}"""),
     # page-marked text: generated documents joined under page markers, with layout artifacts
     "paged_docs": (["documents"], """
         SELECT CAST(floor(doc_id / 10) AS BIGINT) AS doc_id,

@@ -9,6 +9,7 @@ from catalog.sqltext import BLANK, TRIM, any_of, in_list, map_case, quote
 from foliant import vocab
 from foliant.functions import columns as names, numbers, text
 from foliant.operators import answers as an, tables as tb
+from foliant.session import cut_lineage
 
 # ── SQL: parsing ──────────────────────────────────────────────────────────────
 
@@ -293,12 +294,12 @@ class Work:
     """Shared frames of one answer query."""
 
     def __init__(self, t: Tables):
-        self.rows = tb.load_tables(t.sheet_texts)
-        self.sheets = tb.sheets_of(self.rows)
+        self.rows = cut_lineage(tb.load_tables(t.sheet_texts))
+        self.sheets = cut_lineage(tb.sheets_of(self.rows))
         self.headers, self.totals = tb.headers_of(self.sheets), an.set_totals(self.sheets)
         self.asked = an.classify(t.sheet_questions)
         self.eligible = an.extractor_eligibility(self.asked)
-        self.targets = an.question_columns(self.eligible, self.headers)
+        self.targets = cut_lineage(an.question_columns(self.eligible, self.headers))
 
     def figured(self, *extractors: str, intents: tuple[str, ...] = ()) -> DataFrame:
         chosen = self.targets.where(F.col("extractor").isin(list(extractors)))
@@ -338,7 +339,7 @@ register("canonical_column", lambda t: _headers(t).select("doc_set_id", "sheet_n
 register("find_best_column",
          lambda t: tb.find_best_column(t.sheet_questions.select("doc_set_id", F.explode(F.split(F.lower("query_text"), r"[ ?\n]")).alias("concept"))
                                        .where(F.length("concept") > 0), _headers(t)),
-         f"""SELECT doc_set_id, concept, arg_min(col_name, (CASE WHEN fl = cf THEN 1 ELSE 2 END, sheet_no, col_no)) AS col_name FROM (
+         f"""SELECT c.doc_set_id, concept, arg_min(col_name, (CASE WHEN fl = cf THEN 1 ELSE 2 END, sheet_no, col_no)) AS col_name FROM (
                SELECT w.doc_set_id, concept, {flat('concept')} AS cf, {canon('concept')} AS cc FROM (SELECT DISTINCT doc_set_id,
                  unnest(regexp_split_to_array(lower(query_text), '[ ?\\n]')) AS concept FROM sheet_questions) w WHERE concept <> '') c
              JOIN headers h ON h.doc_set_id = c.doc_set_id AND (h.fl = c.cf OR (h.canon = c.cc AND c.cc <> concept))

@@ -4,21 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from foliant.functions.text import col, is_blank, strip
+from foliant.functions.text import col, strip
 
 _BODY = r"(?:[0-9][0-9,]*(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
-_NUMBER = rf"^(?:[+-]?{_BODY}|{_BODY}[+-]|\({_BODY}\))$"
+_NEGATIVE = rf"^(?:\(({_BODY})\)|({_BODY})-)$"
+_PLUS = rf"^({_BODY})\+$"
 
 
 def to_double(c: Column) -> Column:
     """Invariant-culture number text: optional sign on either side, parentheses for negatives,
-    thousands commas and exponent.  Anything else is null."""
-    t = strip(c)
-    bare = F.translate(t, "(),+", "")
-    # a trailing minus moves to the front; an exponent sign stays where it is
-    bare = F.when(F.endswith(bare, F.lit("-")), F.concat(F.lit("-"), F.rtrim(bare, F.lit("-")))).otherwise(bare)
-    signed = F.when(F.startswith(t, F.lit("(")), F.concat(F.lit("-"), bare)).otherwise(bare)
-    return F.when(t.rlike(_NUMBER), signed.try_cast("double"))
+    thousands commas and exponent.  Anything else is null.
+
+    A straight chain of replacements: every step is used once, so the generated
+    code stays small.
+    """
+    signed = F.regexp_replace(F.regexp_replace(strip(c), _NEGATIVE, "-$1$2"), _PLUS, "$1")
+    return F.translate(F.regexp_extract(signed, rf"^[+-]?{_BODY}$", 0), ",", "").try_cast("double")
 
 
 def parse_numeric(c: Column | str) -> Column:
@@ -26,14 +27,9 @@ def parse_numeric(c: Column | str) -> Column:
 
     One comma and no dot is a decimal comma; commas before a dot are thousands.
     """
-    c = col(c)
-    clean = F.rtrim(F.replace(c, F.lit(" "), F.lit("")), F.lit("GMKTbBps"))
-    comma, dot = F.instr(clean, ","), F.instr(clean, ".")
-    clean = (F.when((comma > 0) & (dot == 0) & (F.regexp_count(clean, F.lit(",")) == 1),
-                    F.translate(clean, ",", "."))
-             .when((comma > 0) & (dot > comma), F.translate(clean, ",", ""))
-             .otherwise(clean))
-    return F.when(~is_blank(c), to_double(clean))
+    bare = F.rtrim(F.replace(col(c), F.lit(" "), F.lit("")), F.lit("GMKTbBps"))
+    point = F.regexp_replace(bare, r"^([^,.]*),([^,.]*)$", "$1.$2")
+    return to_double(F.when(point.rlike(r"^[^,.]*,.*\."), F.translate(point, ",", "")).otherwise(point))
 
 
 def unit_letter(c: Column | str) -> Column:
@@ -48,7 +44,7 @@ def parse_bandwidth(c: Column | str) -> Column:
     factor = (F.when(unit == "G", F.lit(1000.0)).when(unit == "T", F.lit(1000000.0))
               .when(unit == "K", F.lit(0.001)).otherwise(F.lit(1.0)))
     digits = F.when(has_unit, F.left(v, F.length(v) - 1)).otherwise(v)
-    return F.when(~is_blank(c), to_double(F.rtrim(digits, F.lit("bBpPsSit"))) * factor)
+    return to_double(F.rtrim(digits, F.lit("bBpPsSit"))) * factor
 
 
 def format_result(c: Column | str) -> Column:
@@ -64,7 +60,8 @@ def format_result(c: Column | str) -> Column:
     scaled = ((size - whole) * F.lit(float(2 ** 62))).cast("bigint").cast("decimal(20,0)")
     one = F.lit(2 ** 62).cast("decimal(20,0)")
     hundred = scaled * F.lit(100).cast("decimal(3,0)")
-    cents = F.floor((hundred + F.lit(2 ** 61).cast("decimal(20,0)")) / one).cast("bigint")
+    rest = hundred % one  # exact; a decimal quotient alone would be rounded
+    cents = ((hundred - rest) / one).cast("bigint") + (rest >= F.lit(2 ** 61).cast("decimal(20,0)")).cast("int")
     carried = whole + F.when(cents >= 100, F.lit(1)).otherwise(F.lit(0))
     text = F.concat(F.when(c < 0, F.lit("-")).otherwise(F.lit("")), carried.cast("string"), F.lit("."),
                     F.lpad((cents % 100).cast("string"), 2, "0"))

@@ -16,6 +16,7 @@ from foliant.functions import columns as names, intents, numbers, text
 from foliant.operators import tables as tb
 from foliant.options import DEFAULTS, Options
 from foliant.plans.ranking import top_per_group
+from foliant.session import cut_lineage
 
 ANSWER = ["query_id", "doc_set_id", "value", "confidence", "method", "rows_processed", "column_used", "sheet_name",
           "is_exact", "column_matched", "fallback_extractor", "values_extracted", "distinct_values", "rejected_rows",
@@ -158,18 +159,17 @@ def column_count_answers(asked: DataFrame, extractor: str) -> DataFrame:
                     first_values=F.coalesce("first_values", F.lit("")))
 
 
-def _aggregate(kind: Column) -> Column:
-    """Sum, average, maximum or minimum over the plain or the Mbps reading of a column."""
-    def of(k: str) -> Column:
-        return (F.when(F.col("intent") == "Sum", F.col(f"{k}_sum"))
-                .when(F.col("intent") == "Average", F.col(f"{k}_sum") / F.col(f"{k}_n"))
-                .when(F.col("intent") == "Maximum", F.col(f"{k}_max")).when(F.col("intent") == "Minimum", F.col(f"{k}_min")))
-    return F.when(kind == "plain", of("plain")).otherwise(of("mbps"))
+def _aggregate(reading: str) -> Column:
+    """Sum, average, maximum or minimum of a column read as plain numbers or as Mbps."""
+    total, n = F.col(f"{reading}_sum"), F.col(f"{reading}_n")
+    return (F.when(F.col("intent") == "Sum", total).when(F.col("intent") == "Average", total / n)
+            .when(F.col("intent") == "Maximum", F.col(f"{reading}_max"))
+            .when(F.col("intent") == "Minimum", F.col(f"{reading}_min")))
 
 
 def numeric_answers(asked: DataFrame) -> DataFrame:
     df = asked.where((F.col("extractor") == "GenericColumn") & F.col("intent").isin("Sum", "Average", "Maximum", "Minimum"))
-    return _answers(df, "GenericColumn", value=numbers.format_result(_aggregate(F.lit("plain"))),
+    return _answers(df.withColumn("_v", _aggregate("plain")), "GenericColumn", value=numbers.format_result("_v"),
                     method=_method(_verb()), column_used=F.col("col_name"))
 
 
@@ -177,8 +177,9 @@ def bandwidth_answers(asked: DataFrame) -> DataFrame:
     """In Mbps; a column without unit letters uses whichever reading parses more cells."""
     df = asked.where(F.col("extractor") == "BandwidthExtractor")
     plain_n, mbps_n = F.coalesce("plain_n", F.lit(0)), F.coalesce("mbps_n", F.lit(0))
-    kind = F.when(~F.coalesce("has_unit", F.lit(False)) & (plain_n > mbps_n), "plain").otherwise("mbps")
-    return _answers(df, "BandwidthExtractor", value=numbers.format_result(_aggregate(kind)), method=_method(_verb()),
+    plain = ~F.coalesce("has_unit", F.lit(False)) & (plain_n > mbps_n)
+    df = df.withColumn("_v", F.when(plain, _aggregate("plain")).otherwise(_aggregate("mbps")))
+    return _answers(df, "BandwidthExtractor", value=numbers.format_result("_v"), method=_method(_verb()),
                     column_used=F.col("col_name"))
 
 
@@ -206,11 +207,11 @@ def vlan_answers(eligible: DataFrame, rows: DataFrame, sheets: DataFrame, totals
     places = primary.select("doc_set_id", F.lit(_VLAN_TARGET).alias("target"), "sheet_no", "col_no")
     figures = column_figures(tb.column_values(places, rows), options).drop("target")
     df = (asked.join(primary.select("doc_set_id", "col_name", "vlan_sheet"), "doc_set_id").join(totals, "doc_set_id")
-          .join(figures, "doc_set_id", "left"))
+          .join(figures, "doc_set_id", "left").withColumn("_v", _aggregate("plain")))
     filled, distinct = F.coalesce("filled", F.lit(0)), F.coalesce("distinct_n", F.lit(0))
     is_distinct, is_count = F.col("intent") == "DistinctCount", F.col("intent") == "Count"
     value = (F.when(is_distinct, distinct.cast("string")).when(is_count, filled.cast("string"))
-             .otherwise(numbers.format_result(_aggregate(F.lit("plain")))))
+             .otherwise(numbers.format_result("_v")))
     return _answers(df, "VlanExtractor", value=value, column_used=F.col("col_name"),
                     method=F.concat(_method(_verb()), F.lit(" in '"), "vlan_sheet", F.lit("'")),
                     values_extracted=F.when(is_distinct | is_count, filled).otherwise(0),
@@ -289,11 +290,12 @@ def ip_scan_answers(targets: DataFrame, rows: DataFrame, totals: DataFrame, opti
 
 def answer_candidates(queries: DataFrame, rows: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     """Every extractor's answer to every question.  ``queries``: query_id, doc_set_id, query_text, intent."""
-    sheets = tb.sheets_of(rows)
+    rows = cut_lineage(rows)  # the parsed tables, read by every extractor
+    sheets = cut_lineage(tb.sheets_of(rows))
     headers, totals = tb.headers_of(sheets), set_totals(sheets)
     eligible = extractor_eligibility(queries)
-    targets = question_columns(eligible, headers)
-    asked = with_figures(targets, rows, headers, totals, options)
+    targets = cut_lineage(question_columns(eligible, headers))
+    asked = cut_lineage(with_figures(targets, rows, headers, totals, options))
     parts = [count_row_answers(eligible, totals), numeric_answers(asked), bandwidth_answers(asked),
              vlan_answers(eligible, rows, sheets, totals, options),
              vlan_first_token_answers(eligible, rows, sheets, totals, options),

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from foliant import vocab
 from foliant.functions import columns as names, text
 from foliant.plans.ranking import exclusive_running
+from foliant.session import cut_lineage
 
 _SHEET_LINE = r"(?mdU)^[^\S\n]*---[^\S\n]*Sheet:[^\S\n]*(.+?)[^\S\n]*---[^\S\n]*$"
 _RULE_LINE = r"(?U)^\|[\s\-|:]+\|$"
@@ -56,6 +57,14 @@ def _blocks(texts: DataFrame) -> DataFrame:
                     table_lines(F.col("_part")).alias("lines")))
 
 
+def _summary(blocks: DataFrame) -> DataFrame:
+    """One short row per document, read by several steps: cut off from the parsing behind it."""
+    first = F.get("lines", F.lit(0))
+    return cut_lineage(blocks.groupBy("doc_set_id", "doc_id").agg(
+        F.max("block").alias("markers"), F.max_by(F.struct("name", first.alias("first")), "block").alias("last"),
+        F.max(F.when(F.col("block") == 0, first)).alias("lead"), F.bool_or(F.size("lines") > 0).alias("has_table")))
+
+
 def table_rows(texts: DataFrame, sparse: int = 4096) -> DataFrame:
     """Every table row of every document set.
 
@@ -66,10 +75,10 @@ def table_rows(texts: DataFrame, sparse: int = 4096) -> DataFrame:
     seen, which is the header.
     """
     blocks = _blocks(texts)
-    summary = blocks.groupBy("doc_set_id", "doc_id").agg(
-        F.max("block").alias("markers"),
-        F.max_by(F.struct("name", F.get("lines", F.lit(0)).alias("first")), "block").alias("last"),
-        F.max(F.when(F.col("block") == 0, F.get("lines", F.lit(0)))).alias("lead"))
+    return _rows(blocks, _summary(blocks), sparse)
+
+
+def _rows(blocks: DataFrame, summary: DataFrame, sparse: int = 4096) -> DataFrame:
     placed = exclusive_running(summary, ["doc_set_id"], F.floor(F.col("doc_id") / sparse), "doc_id",
                                {"sheet_base": F.col("markers"), "run": (F.col("markers") > 0).cast("int")}, {})
     parts = F.array(
@@ -140,11 +149,12 @@ def delimited_rows(texts: DataFrame) -> DataFrame:
 
 def load_tables(texts: DataFrame) -> DataFrame:
     """Markdown tables; document sets of spreadsheets without any are read as delimited text."""
-    markdown = table_rows(texts)
-    with_tables = markdown.select("doc_set_id").distinct()
+    blocks = _blocks(texts)
+    summary = _summary(blocks)
     plain = (texts.where(F.col("document_type").isin(vocab.TABLE_DOCUMENT_TYPES))
-             .join(with_tables, "doc_set_id", "left_anti"))
-    return markdown.select(*ROW_COLUMNS).unionByName(delimited_rows(plain).select(*ROW_COLUMNS))
+             .join(summary.where("has_table").select("doc_set_id").distinct(), "doc_set_id", "left_anti"))
+    return (_rows(blocks, summary).select(*ROW_COLUMNS)
+            .unionByName(delimited_rows(plain).select(*ROW_COLUMNS)))
 
 
 # ── long and summary forms ────────────────────────────────────────────────────

@@ -175,6 +175,70 @@ DERIVED: dict[str, tuple[list[str], str]] = {
     "sheet_questions": (["questions"], """
         SELECT query_id, CASE WHEN (query_id * 13) % 56 > 50 THEN (query_id * 13) % 56 + 50 ELSE (query_id * 13) % 56 END AS doc_set_id,
                query_text FROM {questions}"""),
+    # ── operations ──
+    "models": (["part"], """
+        SELECT p_partkey AS model_id, CASE WHEN p_partkey % 23 = 7 THEN NULL ELSE p_partkey % 110 END AS provider_id,
+               p_name || ' ' || CAST(p_partkey AS STRING) AS model_name, p_size % 7 <> 0 AS enabled, p_size AS sort_order,
+               CAST(p_retailprice / 1000 AS DECIMAL(18, 6)) AS input_price,
+               CASE WHEN p_size % 5 = 0 THEN NULL ELSE CAST(p_retailprice / 500 AS DECIMAL(18, 6)) END AS output_price,
+               CASE WHEN p_size % 3 = 0 THEN NULL ELSE CAST(p_retailprice / 10000 AS DECIMAL(18, 6)) END AS embedding_price,
+               CASE WHEN p_size % 4 = 0 THEN NULL ELSE CAST(p_size AS DECIMAL(18, 6)) END AS image_price
+        FROM {part}"""),
+    "providers": (["supplier"], """
+        SELECT s_suppkey AS provider_id, CASE s_nationkey % 4 WHEN 0 THEN 'OpenAI' WHEN 1 THEN 'Gemini' WHEN 2 THEN 'Anthropic'
+               ELSE 'Local' END AS provider_type, s_suppkey % 9 <> 4 AS enabled, s_nationkey AS sort_order FROM {supplier}"""),
+    "metrics": (["part"], """
+        SELECT p_partkey * 2 AS metric_id, p_partkey AS model_id, CASE p_size % 3 WHEN 0 THEN 'Chat' WHEN 1 THEN 'Vision'
+               ELSE 'Embeddings' END AS capability, p_size % 11 <> 3 AS enabled, p_size % 10 AS cost_score,
+               p_size % 7 AS speed_score, p_size % 5 AS quality_score FROM {part}
+        UNION ALL SELECT p_partkey * 2 + 1, p_partkey + 40, CASE p_size % 2 WHEN 0 THEN 'ImageGeneration' ELSE 'Audio' END,
+               p_size % 13 <> 5, p_size % 9, p_size % 4, p_size % 8 FROM {part}"""),
+    "profiles": (["customer"], """
+        SELECT c_custkey AS profile_id, c_custkey % 5 <> 0 AS enabled, c_custkey % 7 = 3 AS is_default,
+               c_nationkey % 5 AS cost_weight, c_nationkey % 3 AS speed_weight, c_nationkey % 4 AS quality_weight FROM {customer}"""),
+    "profile_providers": (["customer"], """
+        SELECT c_custkey AS profile_id, c_custkey % 37 AS provider_id FROM {customer} WHERE c_mktsegment <> 'BUILDING'
+        UNION ALL SELECT c_custkey, c_custkey % 41 FROM {customer} WHERE c_mktsegment <> 'BUILDING'"""),
+    "settings": (["nation"], "SELECT n_nationkey AS setting_id, n_nationkey * 5 AS active_profile_id FROM {nation}"),
+    "users": (["events"], """
+        SELECT user_id, CASE WHEN user_id % 3 = 0 THEN NULL ELSE user_id END AS profile_id FROM {events} GROUP BY user_id"""),
+    "profile_requests": (["events"], """
+        SELECT event_id AS request_id, user_id, CASE WHEN event_id % 4 = 0 THEN event_id % 200 END AS profile_id FROM {events}"""),
+    "model_requests": (["nation"], """
+        SELECT n_nationkey AS request_id, CAST(n_nationkey * 2 + 1 AS BIGINT) AS profile_id, CASE n_nationkey % 5 WHEN 0 THEN 'Chat'
+               WHEN 1 THEN 'Vision' WHEN 2 THEN 'Embeddings' WHEN 3 THEN 'Audio' ELSE 'ImageGeneration' END AS capability,
+               CASE n_nationkey % 3 WHEN 0 THEN 'OpenAI' WHEN 1 THEN 'Gemini' ELSE 'Local' END AS excluded_provider_type
+        FROM {nation}"""),
+    "request_log_in": (["events"], """
+        SELECT event_id AS request_id, user_id, event_id % 2100 AS model_id, CASE event_type WHEN 'purchase' THEN 'ImageGeneration'
+               WHEN 'signup' THEN 'Embeddings' WHEN 'click' THEN 'Vision' ELSE 'Chat' END AS capability,
+               CAST(floor(value * 100) AS INT) AS prompt_tokens, CAST(event_id % 4000 AS INT) AS completion_tokens,
+               CAST(event_id % 5 AS INT) AS retry_count, ts AS created_at,
+               CASE event_id % 4 WHEN 0 THEN 'OpenAI' WHEN 1 THEN 'Gemini' WHEN 2 THEN 'gemini' ELSE NULL END AS provider_type,
+               CAST(CASE event_id % 13 WHEN 0 THEN 429 WHEN 1 THEN 401 WHEN 2 THEN 403 WHEN 3 THEN 408 WHEN 4 THEN 400 WHEN 5 THEN 500
+                    WHEN 6 THEN 502 WHEN 7 THEN 503 WHEN 8 THEN 504 WHEN 9 THEN 429 WHEN 10 THEN 418 ELSE 400 END AS INT) AS status_code,
+               CASE event_id % 11 WHEN 0 THEN '{{"detail":{{"error":{{"code":"insufficient_quota","message":"x"}}}}}}'
+                    WHEN 1 THEN '{{"detail":"Quota is gone"}}' WHEN 2 THEN '{{"error":{{"code":"moderation_blocked","message":"no"}}}}'
+                    WHEN 3 THEN '{{"error":{{"message":"Blocked by safety system"}}}}' WHEN 4 THEN 'not json'
+                    WHEN 5 THEN '{{"error":{{"code":"invalid_prompt"}}}}' WHEN 6 THEN '{{"detail":{{"reason":"SAFETY"}}}}'
+                    WHEN 7 THEN '{{"error":"plain text"}}' WHEN 8 THEN '' WHEN 9 THEN '{{"detail":{{"error":{{"message":"an Invalid Prompt"}}}}}}'
+                    ELSE NULL END AS body
+        FROM {events}"""),
+    "guard_steps": (["region"], "SELECT r_name AS step, r_regionkey AS step_order, r_regionkey <> 3 AS enabled FROM {region}"),
+    "guard_verdicts": (["labels", "region"], """
+        SELECT a.doc_id, r.r_name AS step, CASE WHEN a.toxic = 1 AND a.k = 2 THEN 'Block' WHEN a.quality = 0 AND a.k = 1 THEN 'Error'
+               WHEN a.k = 3 THEN 'Block' ELSE 'Allow' END AS action,
+               CASE WHEN a.doc_id % 2 = 0 THEN 'rule ' || CAST(a.k AS STRING) END AS reason
+        FROM (SELECT doc_id, quality, toxic, 0 AS k FROM {labels} UNION ALL SELECT doc_id, quality, toxic, 1 FROM {labels}
+              UNION ALL SELECT doc_id, quality, toxic, 2 FROM {labels} UNION ALL SELECT doc_id, quality, toxic, 3 FROM {labels}
+              UNION ALL SELECT doc_id, quality, toxic, 4 FROM {labels}) a
+        JOIN {region} r ON r.r_regionkey = a.k AND (a.doc_id + a.k) % 9 <> 8"""),
+    "findings": (["events"], """
+        SELECT user_id AS request_id, event_id AS position, event_type || 'Finding' AS type_name,
+               CASE WHEN event_id % 4 = 0 THEN event_type WHEN event_id % 4 = 1 THEN '  ' END AS filter_name,
+               CASE WHEN event_id % 3 = 0 THEN 'proc' || CAST(event_id % 5 AS STRING) END AS processor,
+               CASE WHEN event_id % 7 = 0 THEN 'C' || CAST(event_id % 3 AS STRING) END AS code
+        FROM {events}"""),
     # page-marked text: generated documents joined under page markers, with layout artifacts
     "paged_docs": (["documents"], """
         SELECT CAST(floor(doc_id / 10) AS BIGINT) AS doc_id,
@@ -222,7 +286,7 @@ def sql_with(names: list[str], body: str, extra: str = "") -> str:
         ctes.append(f"{n} AS ({_for_duckdb(sql).format(**{r: r for r in reads})})")
     if extra:
         ctes.append(extra)
-    return ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + body
+    return ("WITH RECURSIVE " + ",\n".join(ctes) + "\n" if ctes else "") + body
 
 
 class Tables:

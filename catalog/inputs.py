@@ -42,8 +42,8 @@ def _case(expr: str, values: list[str]) -> str:
 
 
 # name -> (tables it reads, SQL with {table} slots); «text‖separator‖key» is ordered string aggregation,
-# the one construct the two engines spell differently
-DERIVED: dict[str, tuple[list[str], str]] = {
+# which the two engines spell differently; a second SQL text, where given, is for DuckDB
+DERIVED: dict[str, tuple] = {
     # one file per generated document; some point at a shared stored copy
     "files": (["documents"], f"""
         SELECT doc_id AS file_id,
@@ -239,6 +239,36 @@ DERIVED: dict[str, tuple[list[str], str]] = {
                CASE WHEN event_id % 3 = 0 THEN 'proc' || CAST(event_id % 5 AS STRING) END AS processor,
                CASE WHEN event_id % 7 = 0 THEN 'C' || CAST(event_id % 3 AS STRING) END AS code
         FROM {events}"""),
+    # ── page words and sheet cells ──
+    "words": (["documents"], """
+        SELECT doc_id, CAST(floor(i / 400) AS INT) + 1 AS page, w AS word, CAST(i % 8 * 70 + i % 3 AS DOUBLE) AS left_x,
+               CAST(i % 8 * 70 + i % 3 + length(w) * 6 AS DOUBLE) AS right_x,
+               CAST(800 - floor((i % 400) / 8) * 12 + (i % 3) * 0.5 AS DOUBLE) AS bottom
+        FROM (SELECT doc_id, posexplode(split(text, ' ')) AS (i, w) FROM {documents}) z""", """
+        SELECT doc_id, CAST(floor(i / 400) AS INT) + 1 AS page, w AS word, CAST(i % 8 * 70 + i % 3 AS DOUBLE) AS left_x,
+               CAST(i % 8 * 70 + i % 3 + length(w) * 6 AS DOUBLE) AS right_x,
+               CAST(800 - floor((i % 400) / 8) * 12 + (i % 3) * 0.5 AS DOUBLE) AS bottom
+        FROM (SELECT doc_id, generate_subscripts(a, 1) - 1 AS i, unnest(a) AS w FROM (SELECT doc_id, string_split(text, ' ') AS a
+              FROM {documents}) y) z"""),
+    "sheet_cells": (["supplier"], """
+        SELECT d AS doc_id, 1 AS sheet_no, 'Blad ' || CAST(d AS STRING) AS sheet_name, r AS row_no, c AS col_no, v AS value FROM (
+          SELECT s_nationkey AS d, 2 AS r, 2 AS c, 'Primary' AS v FROM {supplier} GROUP BY s_nationkey
+          UNION ALL SELECT s_nationkey, 2, 3, '' FROM {supplier} GROUP BY s_nationkey
+          UNION ALL SELECT s_nationkey, 2, 4, 'Secondary' FROM {supplier} GROUP BY s_nationkey
+          UNION ALL SELECT s_nationkey, 2, 5, '' FROM {supplier} GROUP BY s_nationkey
+          UNION ALL SELECT s_nationkey, 3, 2, 'VLAN' FROM {supplier} GROUP BY s_nationkey
+          UNION ALL SELECT s_nationkey, 3, 3, 'vlan' FROM {supplier} GROUP BY s_nationkey
+          UNION ALL SELECT s_nationkey, 3, 4, CASE WHEN s_nationkey % 2 = 0 THEN 'secondary' ELSE ' Na|me ' END FROM {supplier} GROUP BY s_nationkey
+          UNION ALL SELECT s_nationkey, 3, 5, '' FROM {supplier} GROUP BY s_nationkey
+          UNION ALL SELECT s_nationkey, CAST(4 + s_suppkey AS INT), 2, 'FNT' || CAST(s_suppkey AS STRING) FROM {supplier}
+          UNION ALL SELECT s_nationkey, CAST(4 + s_suppkey AS INT), 3, s_name || '|' || chr(10) || 'x' FROM {supplier}
+          UNION ALL SELECT s_nationkey, CAST(4 + s_suppkey AS INT), 4, CASE WHEN s_suppkey % 4 = 1 THEN '' ELSE CAST(s_suppkey AS STRING) END FROM {supplier}
+          UNION ALL SELECT s_nationkey, CAST(4 + s_suppkey AS INT), 5, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE 'fnt7 fnt' END FROM {supplier}) z"""),
+    "merged_ranges": (["supplier"], """
+        SELECT s_nationkey AS doc_id, 1 AS sheet_no, 2 AS r1, 2 AS c1, 2 AS r2, 3 AS c2 FROM {supplier} WHERE s_nationkey % 3 <> 0 GROUP BY s_nationkey
+        UNION ALL SELECT s_nationkey, 1, 2, 4, 2, 5 FROM {supplier} WHERE s_nationkey % 3 <> 0 GROUP BY s_nationkey
+        UNION ALL SELECT s_nationkey, 1, 3, 4, 3, 5 FROM {supplier} WHERE s_nationkey % 5 = 1 GROUP BY s_nationkey
+        UNION ALL SELECT s_nationkey, 1, CAST(4 + s_suppkey AS INT), 3, CAST(4 + s_suppkey AS INT), 4 FROM {supplier} WHERE s_suppkey % 4 = 1"""),
     # page-marked text: generated documents joined under page markers, with layout artifacts
     "paged_docs": (["documents"], """
         SELECT CAST(floor(doc_id / 10) AS BIGINT) AS doc_id,
@@ -282,7 +312,7 @@ def sql_with(names: list[str], body: str, extra: str = "") -> str:
     """DuckDB text: the derived tables a query needs as common table expressions, then the query."""
     ctes = []
     for n in _order(names):
-        reads, sql = DERIVED[n]
+        reads, sql = DERIVED[n][0], DERIVED[n][-1]
         ctes.append(f"{n} AS ({_for_duckdb(sql).format(**{r: r for r in reads})})")
     if extra:
         ctes.append(extra)
@@ -302,7 +332,7 @@ class Tables:
             if name in BASE:
                 self._cache[name] = self.spark.read.parquet(f"{self.directory}/{name}.parquet")
             else:
-                reads, sql = DERIVED[name]
+                reads, sql = DERIVED[name][:2]
                 self._cache[name] = self.spark.sql(_for_spark(sql), **{r: getattr(self, r) for r in reads})
         return self._cache[name]
 

@@ -182,13 +182,13 @@ def _fill(template: str, **slots: str) -> str:
 
 register("extraction_requests",
          lambda t: cx.extraction_requests(an.classify(t.questions), cut_lineage(cx.batch_context(cx.batch_split(all_chunks(t))))),
-         f"""WITH q AS (SELECT x.*, {INTENT} AS intent, total FROM questions x JOIN (SELECT query_id, max(batch_no) AS total FROM bctx GROUP BY query_id) z
-               ON z.query_id = x.query_id)
-             SELECT q.query_id, 'extract' AS kind, CAST(b.batch_no AS INTEGER) AS batch_no, {_fill(vocab.EXTRACT_PROMPT, query='query_text', no='b.batch_no', total='total',
+         f"""SELECT q.query_id, 'extract' AS kind, CAST(b.batch_no AS INTEGER) AS batch_no, {_fill(vocab.EXTRACT_PROMPT, query='query_text', no='b.batch_no', total='total',
                context='b.context', task=f"CASE WHEN intent = 'TableEnumeration' THEN {quote(vocab.EXTRACT_TASK_TABLE)} ELSE {quote(vocab.EXTRACT_TASK_ITEMS)} END")} AS prompt,
                CAST(total + CASE WHEN total > 1 THEN 1 ELSE 0 END AS INTEGER) AS pass_count FROM q JOIN bctx b ON b.query_id = q.query_id
              UNION ALL SELECT query_id, 'merge', CAST(total + 1 AS INTEGER), {_fill(vocab.MERGE_PROMPT, query='query_text', lists="array_to_string(list_transform(range(1, total + 1), lambda i: 'Avsnitt ' || i || ':' || chr(10) || '{' || i || '}'), chr(10) || chr(10) || '--- Nästa avsnitt ---' || chr(10) || chr(10))")},
-               CAST(total + 1 AS INTEGER) FROM q WHERE total > 1""", CHUNKED, PASSES)
+               CAST(total + 1 AS INTEGER) FROM q WHERE total > 1""", CHUNKED, PASSES + f""",
+  q AS (SELECT x.*, {INTENT} AS intent, total FROM questions x JOIN (SELECT query_id, max(batch_no) AS total FROM bctx GROUP BY query_id) z
+    ON z.query_id = x.query_id)""")
 
 # ── coverage ──────────────────────────────────────────────────────────────────
 

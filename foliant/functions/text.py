@@ -39,6 +39,11 @@ def lines(c: Column | str) -> Column:
     return F.split(col(c), "\n", -1)
 
 
+def tail_of(items: Column) -> Column:
+    """All elements but the first."""
+    return F.slice(items, F.lit(2), F.greatest(F.size(items) - 1, F.lit(0)))
+
+
 def one_line(c: Column | str) -> Column:
     return F.replace(F.replace(col(c), F.lit("\n"), F.lit(" ")), F.lit("\r"), F.lit(""))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["text", "retrieval", "tables", "operations", "understanding", "segmentation"]
+_MODULES = ["text", "retrieval", "tables", "operations", "understanding", "segmentation", "ingestion"]
 
 
 def load_all() -> None:

@@ -239,6 +239,19 @@ DERIVED: dict[str, tuple] = {
                CASE WHEN event_id % 3 = 0 THEN 'proc' || CAST(event_id % 5 AS STRING) END AS processor,
                CASE WHEN event_id % 7 = 0 THEN 'C' || CAST(event_id % 3 AS STRING) END AS code
         FROM {events}"""),
+    # ── ingestion ──
+    "job_lines": (["events"], """
+        SELECT event_id AS job_no, CASE WHEN event_id % 17 = 3 THEN '{{"DocumentId": ' WHEN event_id % 19 = 4 THEN 'null' ELSE
+               '{{"DocumentId": ' || CAST(event_id % 130 AS STRING) || ', "FileId": ' || CAST(event_id % 130 * 10 AS STRING) || ', "UserId": ' ||
+               CAST(user_id AS STRING) || ', "FileName": "f' || CAST(event_id % 7 AS STRING) || '.txt", "DocumentType": "Txt", "Attempt": 1, "QueuedAtUtc": "2024-01-' ||
+               lpad(CAST(event_id % 28 + 1 AS STRING), 2, '0') || 'T10:00:00Z"}}' END AS value
+        FROM {events}"""),
+    "doc_state": (["docs"], """
+        SELECT doc_id, title, document_type, CASE WHEN doc_id % 13 < 7 THEN 'Queued' ELSE status END AS status, processing_stage,
+               CAST(doc_id % 5 AS INT) AS attempts, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 'lock' || CAST(doc_id AS STRING) END AS lock_id,
+               CAST('2024-01-' || lpad(CAST(doc_id % 28 + 1 AS STRING), 2, '0') || ' 00:00:00' AS TIMESTAMP) AS lock_expires,
+               doc_id % 9 <> 2 AS has_file, CASE WHEN doc_id % 11 = 3 THEN '  ' ELSE extracted_text END AS extracted_text
+        FROM {docs}"""),
     # ── page words and sheet cells ──
     "words": (["documents"], """
         SELECT doc_id, CAST(floor(i / 400) AS INT) + 1 AS page, w AS word, CAST(i % 8 * 70 + i % 3 AS DOUBLE) AS left_x,

@@ -65,8 +65,17 @@ register("choose_strategy",
 # ── contexts ──────────────────────────────────────────────────────────────────
 
 
-def all_chunks(t: Tables) -> DataFrame:
-    return r.full_document_chunks(rq.scope_of(t), t.docs, t.chunks, t.files)
+def sizes_of(t: Tables) -> DataFrame:
+    return r.full_document_sizes(rq.scope_of(t), t.docs, t.chunks, t.files)
+
+
+def sent_of(t: Tables) -> DataFrame:
+    return cx.ordered_chunks(sizes_of(t), DEFAULTS.full_document_chars)
+
+
+def batches_of(t: Tables) -> DataFrame:
+    sizes = cut_lineage(sizes_of(t))
+    return cx.batch_context(cx.batch_split(sizes), sizes, t.chunks)
 
 
 ALLC = f"""allc AS (SELECT s.query_id, c.chunk_id, c.doc_id, c.chunk_index, c.content, n.title, n.file_name FROM scope s JOIN docs d ON d.doc_id = s.doc_id
@@ -81,7 +90,7 @@ ORDERED = f"""oc1 AS (SELECT *, {TRIM('content')} AS body, CASE WHEN title IS DI
     count(*) AS chunks_sent FROM sent GROUP BY query_id)"""
 CHUNKED = SCOPED + ["chunks"]
 FULLCTX = ",\n".join([rq.SCOPE, ALLC, ORDERED])
-register("ordered_context", lambda t: cx.ordered_context(all_chunks(t)), "SELECT * FROM octx", CHUNKED, FULLCTX)
+register("ordered_context", lambda t: cx.ordered_context(sent_of(t), t.chunks), "SELECT * FROM octx", CHUNKED, FULLCTX)
 
 RETR = f"""ret AS (SELECT h.query_id, h.score, c.chunk_id, c.chunk_index, c.page_number, c.heading, c.content, n.title, n.file_name FROM chosen h
     JOIN chunks c ON c.chunk_id = h.chunk_id JOIN {rq.NAMED} n ON n.doc_id = c.doc_id)"""
@@ -167,9 +176,9 @@ WALK = """seq AS (SELECT query_id, chunk_id, length(content) AS n, row_number()
       FROM walk w JOIN allc a ON a.query_id = w.query_id AND a.chunk_id = w.chunk_id) z GROUP BY query_id, batch_no)""" % (
     TRIM("string_agg(piece, '' ORDER BY rn)"), TRIM("a.content"))
 PASSES = ",\n".join([rq.SCOPE, ALLC, WALK])
-register("batch_split", lambda t: cx.batch_split(all_chunks(t)).select("query_id", "chunk_id", "batch_no"),
+register("batch_split", lambda t: cx.batch_split(sizes_of(t)),
          "SELECT query_id, chunk_id, CAST(batch_no AS INTEGER) AS batch_no FROM walk", CHUNKED, PASSES)
-register("batch_context", lambda t: cx.batch_context(cx.batch_split(all_chunks(t))),
+register("batch_context", batches_of,
          "SELECT query_id, CAST(batch_no AS INTEGER) AS batch_no, context, chunks FROM bctx", CHUNKED, PASSES)
 
 
@@ -181,7 +190,7 @@ def _fill(template: str, **slots: str) -> str:
 
 
 register("extraction_requests",
-         lambda t: cx.extraction_requests(an.classify(t.questions), cut_lineage(cx.batch_context(cx.batch_split(all_chunks(t))))),
+         lambda t: cx.extraction_requests(an.classify(t.questions), cut_lineage(batches_of(t))),
          f"""SELECT q.query_id, 'extract' AS kind, CAST(b.batch_no AS INTEGER) AS batch_no, {_fill(vocab.EXTRACT_PROMPT, query='query_text', no='b.batch_no', total='total',
                context='b.context', task=f"CASE WHEN intent = 'TableEnumeration' THEN {quote(vocab.EXTRACT_TASK_TABLE)} ELSE {quote(vocab.EXTRACT_TASK_ITEMS)} END")} AS prompt,
                CAST(total + CASE WHEN total > 1 THEN 1 ELSE 0 END AS INTEGER) AS pass_count FROM q JOIN bctx b ON b.query_id = q.query_id
@@ -236,9 +245,9 @@ COVER = f"""tot AS (SELECT query_id, count(*) AS total_chunks, CAST(sum(length(c
 
 
 def coverage_of(t: Tables) -> DataFrame:
-    chunks = cut_lineage(all_chunks(t))
-    sent = cut_lineage(cx.ordered_chunks(chunks, DEFAULTS.full_document_chars))
-    return cv.context_coverage(chunks, sent, cx.ordered_context(chunks))
+    sizes = cut_lineage(sizes_of(t))
+    sent = cut_lineage(cx.ordered_chunks(sizes, DEFAULTS.full_document_chars))
+    return cv.context_coverage(sizes, sent, cx.ordered_context(sent, t.chunks))
 
 
 register("context_coverage", coverage_of,

@@ -96,7 +96,7 @@ def _answers(df: DataFrame, extractor: str, **fields: Column | str | int | bool
         v = given[name]
         v = v if isinstance(v, Column) else F.lit(v)
         cols.append(v.cast(types.get(name, "string")).alias(name))
-    return df.select(*cols).where(F.col("value").isNotNull())
+    return df.select(*cols)
 
 
 def _method(verb: str | Column, column: str = "col_name") -> Column:
@@ -169,7 +169,9 @@ def _aggregate(reading: str) -> Column:
 
 def numeric_answers(asked: DataFrame) -> DataFrame:
     df = asked.where((F.col("extractor") == "GenericColumn") & F.col("intent").isin("Sum", "Average", "Maximum", "Minimum"))
-    return _answers(df.withColumn("_v", _aggregate("plain")), "GenericColumn", value=numbers.format_result("_v"),
+    # filtered on the number: a filter on its text would repeat the formatting
+    df = df.withColumn("_v", _aggregate("plain")).where(F.col("_v").isNotNull())
+    return _answers(df, "GenericColumn", value=numbers.format_result("_v"),
                     method=_method(_verb()), column_used=F.col("col_name"))
 
 
@@ -178,7 +180,7 @@ def bandwidth_answers(asked: DataFrame) -> DataFrame:
     df = asked.where(F.col("extractor") == "BandwidthExtractor")
     plain_n, mbps_n = F.coalesce("plain_n", F.lit(0)), F.coalesce("mbps_n", F.lit(0))
     plain = ~F.coalesce("has_unit", F.lit(False)) & (plain_n > mbps_n)
-    df = df.withColumn("_v", F.when(plain, _aggregate("plain")).otherwise(_aggregate("mbps")))
+    df = df.withColumn("_v", F.when(plain, _aggregate("plain")).otherwise(_aggregate("mbps"))).where(F.col("_v").isNotNull())
     return _answers(df, "BandwidthExtractor", value=numbers.format_result("_v"), method=_method(_verb()),
                     column_used=F.col("col_name"))
 
@@ -210,6 +212,7 @@ def vlan_answers(eligible: DataFrame, rows: DataFrame, sheets: DataFrame, totals
           .join(figures, "doc_set_id", "left").withColumn("_v", _aggregate("plain")))
     filled, distinct = F.coalesce("filled", F.lit(0)), F.coalesce("distinct_n", F.lit(0))
     is_distinct, is_count = F.col("intent") == "DistinctCount", F.col("intent") == "Count"
+    df = df.where(is_distinct | is_count | F.col("_v").isNotNull())
     value = (F.when(is_distinct, distinct.cast("string")).when(is_count, filled.cast("string"))
              .otherwise(numbers.format_result("_v")))
     return _answers(df, "VlanExtractor", value=value, column_used=F.col("col_name"),

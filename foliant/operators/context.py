@@ -24,34 +24,34 @@ def _before(keys: list[str], order: str) -> Window:
 # ── whole documents, chunk by chunk ───────────────────────────────────────────
 
 
-def ordered_chunks(chunks: DataFrame, budget: int) -> DataFrame:
-    """Chunks of each question that fit, in document order, with the text they contribute.
+def ordered_chunks(sizes: DataFrame, budget: int) -> DataFrame:
+    """Chunks of each question that fit, in document order.
 
-    ``chunks``: query_id, doc_id, chunk_index, title, file_name, content.
-    Output adds position and piece.
+    ``sizes``: query_id, chunk_id, doc_id, chunk_index, title, file_name, body_chars, … (no text: what
+    fits is decided on lengths).  Adds position, header and room, the characters left for the body.
     """
     order = [F.col("doc_id"), F.col("chunk_index")]
-    near = top_per_group(chunks, ["query_id"], order, budget // 2 + 1, "position")  # a chunk costs two characters or more
+    near = top_per_group(sizes, ["query_id"], order, budget // 2 + 1, "position")  # a chunk costs two characters or more
     w = Window.partitionBy("query_id").orderBy("position")
     changed = ~F.col("title").eqNullSafe(F.lag("title").over(w)) | (F.col("position") == 1)
     header = F.concat(F.lit("--- Dokument: "), "title", F.lit(" (Fil: "), "file_name", F.lit(") ---\n"))
-    sized = (near.withColumn("_header", F.when(changed, header).otherwise(F.lit("")))
-             .withColumn("_body", text.strip("content"))
-             .withColumn("_cost", F.length("_header") + F.length("_body") + 2))
+    sized = (near.withColumn("header", F.when(changed, header).otherwise(F.lit("")))
+             .withColumn("_cost", F.length("header") + F.col("body_chars") + 2))
     running = sized.withColumn("_used", F.coalesce(F.sum("_cost").over(_before(["query_id"], "position")), F.lit(0)))
     left = F.lit(budget) - F.col("_used")
-    fits = (left > 0) & (F.length("_header") <= left)
+    fits = (left > 0) & (F.length("header") <= left)
     kept = running.withColumn("_ok", F.min(fits.cast("int")).over(
         w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where(F.col("_ok") == 1)
-    body = F.left("_body", (left - F.length("_header")).cast("int"))
-    return kept.withColumn("piece", F.concat("_header", body, F.lit("\n\n"))).drop(
-        "_header", "_body", "_cost", "_used", "_ok")
+    return kept.withColumn("room", (left - F.length("header")).cast("int")).drop("_cost", "_used", "_ok")
 
 
-def ordered_context(chunks: DataFrame, budget: int = DEFAULTS.full_document_chars) -> DataFrame:
-    """One text per question and the number of chunks in it."""
-    return (ordered_chunks(chunks, budget).groupBy("query_id")
-            .agg(join_text("piece", "position", "").alias("context"), F.count(F.lit(1)).alias("chunks_sent"))
+def ordered_context(sent: DataFrame, chunks: DataFrame) -> DataFrame:
+    """One text per question and the number of chunks in it, from ``ordered_chunks`` and the chunk texts."""
+    body = F.left(text.strip("content"), F.col("room"))
+    pieces = (sent.select("query_id", "chunk_id", "position", "header", "room")
+              .join(chunks.select("chunk_id", "content"), "chunk_id")
+              .select("query_id", "position", F.concat("header", body, F.lit("\n\n")).alias("piece")))
+    return (pieces.groupBy("query_id").agg(join_text("piece", "position", "").alias("context"), F.count(F.lit(1)).alias("chunks_sent"))
             .withColumn("context", text.strip("context")))
 
 
@@ -206,15 +206,15 @@ def structured_context(queries: DataFrame, answers: DataFrame, documents: DataFr
 # ── several passes over long documents ────────────────────────────────────────
 
 
-def batch_split(chunks: DataFrame, options: Options = DEFAULTS) -> DataFrame:
+def batch_split(sizes: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     """Consecutive batches of at most so many characters; what exceeds the last batch joins it.
 
     A batch starts at the first chunk that overflows the one before, so the
     starts follow from running lengths by one small aggregate per batch, and the
     running lengths are summed in two levels.  No task walks a whole document set.
     """
-    sized = chunks.withColumn("_at", F.struct("doc_id", "chunk_index")).withColumn("_len", F.length("content"))
-    placed = exclusive_running(sized.select("query_id", "chunk_id", "doc_id", "_at", "_len"), ["query_id"], F.floor(F.col("doc_id") / 64), "_at", {"_used": F.col("_len")}, {})
+    sized = sizes.select("query_id", "chunk_id", "doc_id", F.struct("doc_id", "chunk_index").alias("_at"), F.col("chars").alias("_len"))
+    placed = exclusive_running(sized, ["query_id"], F.floor(F.col("doc_id") / 64), "_at", {"_used": F.col("_len")}, {})
     # positions and running lengths only, read once per batch below
     ids = cut_lineage(placed.select("query_id", "chunk_id", "_at", "_used", "_len"))
     starts = ids.groupBy("query_id").agg(F.array(F.min(F.struct("_at", "_used"))).alias("starts"))
@@ -226,12 +226,13 @@ def batch_split(chunks: DataFrame, options: Options = DEFAULTS) -> DataFrame:
         starts = found.select("query_id", F.when(F.col("s").isNull(), F.col("starts")).otherwise(
             F.array_append("starts", F.col("s"))).alias("starts"))
     number = F.size(F.filter("starts", lambda s: s["_at"] <= F.col("_at")))
-    numbered = ids.join(starts, "query_id").select("query_id", "chunk_id", number.alias("batch_no"))
-    return chunks.join(numbered, ["query_id", "chunk_id"])
+    return ids.join(starts, "query_id").select("query_id", "chunk_id", number.alias("batch_no"))
 
 
-def batch_context(batched: DataFrame) -> DataFrame:
+def batch_context(batched: DataFrame, sizes: DataFrame, chunks: DataFrame) -> DataFrame:
     """Text of each batch with a title line where the document changes."""
+    batched = (batched.join(sizes.select("query_id", "chunk_id", "doc_id", "chunk_index", "title"), ["query_id", "chunk_id"])
+               .join(chunks.select("chunk_id", "content"), "chunk_id"))
     w = Window.partitionBy("query_id", "batch_no").orderBy("doc_id", "chunk_index")
     changed = ~F.col("title").eqNullSafe(F.lag("title").over(w)) | (F.row_number().over(w) == 1)
     piece = F.concat(F.when(changed, F.concat(F.lit("--- "), "title", F.lit(" ---\n"))).otherwise(F.lit("")),

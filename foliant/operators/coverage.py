@@ -29,16 +29,15 @@ def document_coverage(df: DataFrame) -> DataFrame:
             .withColumn("is_truncated", F.col("chunks_sent") < F.col("total_chunks")))
 
 
-def context_coverage(chunks: DataFrame, sent: DataFrame, context: DataFrame) -> DataFrame:
+def context_coverage(sizes: DataFrame, sent: DataFrame, context: DataFrame) -> DataFrame:
     """Share of chunks and characters an ordered context carries.
 
-    ``chunks``: all of a question's chunks; ``sent``: those that fit (one row
-    each, with content); ``context``: query_id, context, chunks_sent.
+    ``sizes``: all chunks of a question (query_id, doc_id, chars, table_rows); ``sent``: those that
+    fit; ``context``: query_id, context, chunks_sent.
     """
-    totals = chunks.groupBy("query_id").agg(
-        F.count(F.lit(1)).alias("total_chunks"), F.sum(F.length("content")).alias("total_chars"),
-        F.count_distinct("doc_id").alias("documents"))
-    rows = sent.groupBy("query_id").agg(F.sum(text.count_source_rows("content")).alias("source_rows"))
+    totals = sizes.groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("total_chunks"), F.sum("chars").alias("total_chars"), F.count_distinct("doc_id").alias("documents"))
+    rows = sent.groupBy("query_id").agg(F.sum("table_rows").alias("source_rows"))
     joined = (totals.join(context.select("query_id", "chunks_sent", F.length("context").cast("bigint").alias("context_chars")),
                           "query_id", "left").join(rows, "query_id", "left"))
     chunks_sent, size = F.coalesce("chunks_sent", F.lit(0)), F.coalesce("context_chars", F.lit(0))

@@ -269,22 +269,40 @@ def document_wide_sample(scored: DataFrame, top: int, options: Options = DEFAULT
 # ── rows of the answer ────────────────────────────────────────────────────────
 
 
+def named_documents(docs: DataFrame, files: DataFrame) -> DataFrame:
+    return (docs.select("doc_id", "title", "file_id")
+            .join(files.select("file_id", "original_file_name"), "file_id", "left")
+            .select("doc_id", "title", F.coalesce("original_file_name", "title").alias("file_name")))
+
+
 def hits_to_chunks(hits: DataFrame, chunks: DataFrame, docs: DataFrame, files: DataFrame) -> DataFrame:
     """Chosen hits with content, title and file name; the title stands in for a missing file."""
-    named = (docs.select("doc_id", "title", "file_id")
-             .join(files.select("file_id", "original_file_name"), "file_id", "left")
-             .select("doc_id", "title", F.coalesce("original_file_name", "title").alias("file_name")))
+    named = named_documents(docs, files)
     detail = chunks.select("chunk_id", F.col("doc_id"), "chunk_index", "page_number", "heading", "content")
     drop = [c for c in ("doc_id", "chunk_index", "page_number") if c in hits.columns]
     return hits.drop(*drop).join(detail, "chunk_id").join(named, "doc_id")
 
 
+def chunk_sizes(chunks: DataFrame) -> DataFrame:
+    """Chunks without their text: characters, characters once trimmed, and table rows.
+
+    Measured once per chunk, before chunks are paired with questions.
+    """
+    return chunks.select("chunk_id", "doc_id", "chunk_index", F.length("content").alias("chars"),
+                         F.length(text.strip("content")).alias("body_chars"), text.count_source_rows("content").alias("table_rows"))
+
+
 def full_document_chunks(scope: DataFrame, docs: DataFrame, chunks: DataFrame, files: DataFrame) -> DataFrame:
     """All Ready chunks of a question, to be read in (doc_id, chunk_index) order, at score 1."""
     wanted = ready_scope(scope, docs).join(chunks.select("doc_id", "chunk_id"), "doc_id")
     return hits_to_chunks(wanted, chunks, docs, files).withColumn("score", F.lit(1.0))
 
 
+def full_document_sizes(scope: DataFrame, docs: DataFrame, chunks: DataFrame, files: DataFrame) -> DataFrame:
+    """The same chunks with sizes in place of text, for decisions about what fits where."""
+    return ready_scope(scope, docs).join(named_documents(docs, files), "doc_id").join(chunk_sizes(chunks), "doc_id")
+
+
 def retrieve_scored(queries: DataFrame, scope: DataFrame, docs: DataFrame, chunks: DataFrame, vectors: DataFrame,
                     points: DataFrame, query_vectors: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     """Candidates of file retrieval with their final scores, before selection."""

@@ -298,7 +298,7 @@ class Work:
         self.sheets = cut_lineage(tb.sheets_of(self.rows))
         self.headers, self.totals = tb.headers_of(self.sheets), an.set_totals(self.sheets)
         self.asked = an.classify(t.sheet_questions)
-        self.eligible = an.extractor_eligibility(self.asked)
+        self.eligible = cut_lineage(an.extractor_eligibility(cut_lineage(self.asked)))
         self.targets = cut_lineage(an.question_columns(self.eligible, self.headers))
 
     def figured(self, *extractors: str, intents: tuple[str, ...] = ()) -> DataFrame:

@@ -296,7 +296,8 @@ def answer_candidates(queries: DataFrame, rows: DataFrame, options: Options = DE
     rows = cut_lineage(rows)  # the parsed tables, read by every extractor
     sheets = cut_lineage(tb.sheets_of(rows))
     headers, totals = tb.headers_of(sheets), set_totals(sheets)
-    eligible = extractor_eligibility(queries)
+    # questions are few next to cells; cut here so that no filter drags the phrase tests along
+    eligible = cut_lineage(extractor_eligibility(queries))
     targets = cut_lineage(question_columns(eligible, headers))
     asked = cut_lineage(with_figures(targets, rows, headers, totals, options))
     parts = [count_row_answers(eligible, totals), numeric_answers(asked), bandwidth_answers(asked),
@@ -322,5 +323,5 @@ def answer_arbitration(candidates: DataFrame, options: Options = DEFAULTS) -> Da
 
 def exact_answers(queries: DataFrame, texts: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     """Questions that ask for a calculation, answered from the tables of their document sets."""
-    asked = classify(queries).where(intents.is_structured("intent"))
+    asked = cut_lineage(classify(queries)).where(intents.is_structured("intent"))
     return answer_arbitration(answer_candidates(asked, tb.load_tables(texts), options), options)

@@ -223,7 +223,7 @@ def process_batch(raw: DataFrame, batch_id: int, store: IngestStore, texts: Data
     sorted_jobs = idempotency_filter(jobs, state, options)
     now = jobs.agg(F.max("queued_at")).scalar()
     claimed = cut_lineage(claim_documents(sorted_jobs, state, now, F.lit(f"batch{batch_id}"), options))
-    work = (claimed.select("doc_id", "attempts").join(state.drop("attempts"), "doc_id").join(texts, "doc_id", "left")
+    work = (claimed.select("doc_id", "attempts").join(state.select("doc_id", "document_type"), "doc_id").join(texts, "doc_id", "left")
             .withColumn("has_file", F.col("text").isNotNull()).withColumn("extracted_text", F.col("text")))
     verdicts = cut_lineage(guard(work.where(~text.is_blank("text")).select("doc_id", "text")))
     passed = work.join(verdicts.where("should_continue").select("doc_id"), "doc_id", "left_semi")

@@ -88,7 +88,7 @@ HEADERS = f"""headers AS (SELECT *, {flat('col_name')} AS fl, {canon('col_name')
       FROM sheets) z)"""
 CONCEPTS = "concepts AS (SELECT * FROM (VALUES " + ", ".join(
     f"({i}, '{c}', [{in_list(w)}])" for i, (c, w) in enumerate(vocab.CONCEPT_TERMS)) + ") v(no, concept, words))"
-RESOLVE = f"""hits AS (
+RESOLVE = f"""column_hits AS (
     SELECT q.query_id, q.doc_set_id, 1 AS step, 0 AS no, -n_rows AS size, sheet_no, 0 AS sub, col_no, col_name
       FROM sheet_questions q JOIN headers h ON h.doc_set_id = q.doc_set_id
       WHERE NOT {BLANK('col_name')} AND contains(lower(query_text), lower(col_name))
@@ -102,7 +102,7 @@ RESOLVE = f"""hits AS (
       FROM sheet_questions q JOIN headers h ON h.doc_set_id = q.doc_set_id
       JOIN concepts c ON len(list_filter(c.words, lambda w: contains(lower(query_text), w))) > 0 AND contains(h.fl, c.concept)),
     resolved AS (SELECT query_id, doc_set_id, col_name FROM (SELECT *, row_number() OVER (PARTITION BY query_id
-      ORDER BY step, no, size, sheet_no, sub, col_no) AS r FROM hits) z WHERE r = 1)"""
+      ORDER BY step, no, size, sheet_no, sub, col_no) AS r FROM column_hits) z WHERE r = 1)"""
 
 
 def NUMBER(e: str) -> str:

@@ -11,6 +11,7 @@ from foliant import vocab
 from foliant.functions import intents, text
 from foliant.operators import answers as an, context as cx, coverage as cv, retrieval as r, strategy as st
 from foliant.options import DEFAULTS
+from foliant.plans import session as sm
 from foliant.session import cut_lineage
 
 INTENT = tq.intent_sql("lower(query_text)")
@@ -266,3 +267,54 @@ register("verification_gap",
              (F.col("answer_id") - 1).alias("query_id"), text.count_response_items("answer").alias("answer_items"))),
          f"""SELECT c.query_id, source_rows, answer_items FROM cover c JOIN (SELECT answer_id - 1 AS query_id, {ITEMS('answer')} AS answer_items FROM ({ANSWERS}) z) a
              ON a.query_id = c.query_id WHERE source_rows > 0 AND answer_items < source_rows""", CHUNKED, FULLCTX + ",\n" + COVER)
+
+
+# ── session metrics ───────────────────────────────────────────────────────────
+
+
+def metrics_of(t: Tables) -> DataFrame:
+    scope = cut_lineage(rq.scope_of(t))
+    asked, answers = cut_lineage(an.classify(t.questions)), doc_answers(t).drop("doc_set_id")
+    ready = st.ready_scope_texts(scope, t.docs)
+    tables = scope.join(ready.where(F.col("document_type").isin(vocab.TABLE_DOCUMENT_TYPES)).select("doc_id"), "doc_id", "left_semi")
+    found = cut_lineage(rq.retrieved(t).select("query_id", "chunk_id", "doc_id", "chunk_index", "page_number", "heading", "title",
+                                               "file_name", "content", "score"))
+    in_ready = r.ready_scope(scope, t.docs)
+    return sm.session_metrics(
+        t.questions, st.choose_strategy(asked, scope, t.docs, answers), answers, tables, coverage_of(t), found,
+        cx.ranked_context(found, rq.LOW), sm.code_counts(scope, ready.select("doc_id", "text")),
+        sm.code_counts(in_ready, t.chunks.select("doc_id", F.col("content").alias("text"))))
+
+
+def _counts(name: str, source: str) -> str:
+    return (f"{name} AS (SELECT query_id, count(DISTINCT upper(code)) AS codes FROM (SELECT query_id, unnest(regexp_extract_all(text, {quote(CODES)})) AS code "
+            f"FROM {source}) z GROUP BY query_id)")
+
+
+METRICS = ",\n".join([ANSWERED, rq.final(0.1)[len(rq.SCOPE) + 2:], RETR, ranked_sql(0.1), ALLC, ORDERED, COVER, DTEXT, _counts("tcodes", "dtext"),
+                      _counts("ccodes", "(SELECT query_id, content AS text FROM allc)"), f"strategies AS ({STRATEGY})",
+                      "used AS (SELECT query_id, count(*) AS n FROM dtext WHERE document_type IN ('Excel', 'Csv') GROUP BY query_id)",
+                      "rstat AS (SELECT h.query_id, count(*) AS n, count(DISTINCT c.doc_id) AS docs, max(score) AS hi, avg(score) AS av, min(score) AS lo FROM chosen h "
+                      "JOIN chunks c ON c.chunk_id = h.chunk_id GROUP BY h.query_id)"])
+IS = {k: f"s.strategy = '{v}'" for k, v in (("a", "StructuredDataEngine"), ("b", "SmallDocumentDirectContext"), ("c", "FullDocumentRetrieval"), ("d", "SemanticRetrieval"))}
+LISTING = f"s.intent IN ({in_list(vocab.ENUMERATION_INTENTS)})"
+CODED = f"CASE WHEN {IS['b']} AND {LISTING} THEN coalesce(tc.codes, 0) WHEN {IS['c']} AND {LISTING} THEN coalesce(cc.codes, 0) ELSE 0 END"
+register("session_metrics", lambda t: metrics_of(t).withColumns({c: F.round(c, 6) for c in ("top_score", "average_score", "lowest_score")}),
+         f"""SELECT s.query_id, s.intent, s.strategy,
+   CAST(CASE WHEN {IS['a']} THEN coalesce(u.n, 0) WHEN {IS['b']} THEN s.documents WHEN {IS['c']} THEN coalesce(v.documents, 0) WHEN {IS['d']} THEN coalesce(h.docs, 0) ELSE 0 END AS BIGINT) AS documents,
+   CAST(CASE WHEN {IS['c']} THEN coalesce(v.chunks_sent, 0) WHEN {IS['d']} THEN coalesce(h.n, 0) ELSE 0 END AS BIGINT) AS retrieved_chunks,
+   CAST(CASE WHEN {IS['c']} THEN coalesce(v.total_chunks, 0) ELSE 0 END AS BIGINT) AS total_chunks, CAST(CASE WHEN {IS['c']} THEN coalesce(v.source_rows, 0) ELSE 0 END AS BIGINT) AS source_items,
+   CASE WHEN {IS['b']} THEN 100.0 WHEN {IS['c']} THEN coalesce({PCT.format(p='v.chunks_sent', w='v.total_chunks')}, 0.0) ELSE 0.0 END AS coverage_percent,
+   CAST(CASE WHEN {IS['c']} THEN coalesce(v.total_chars, 0) ELSE 0 END AS BIGINT) AS total_chars, CAST(CASE WHEN {IS['c']} THEN coalesce(v.chars_sent, 0) ELSE 0 END AS BIGINT) AS chars_sent,
+   CASE WHEN {IS['c']} THEN coalesce({PCT.format(p='v.chars_sent', w='v.total_chars')}, 0.0) ELSE 0.0 END AS char_percent,
+   {IS['c']} AND coalesce(v.chunks_sent < v.total_chunks, false) AS is_truncated,
+   CAST(CASE WHEN {IS['b']} THEN s.total_chars WHEN {IS['c']} THEN coalesce(v.context_chars, 0) WHEN {IS['d']} THEN coalesce(length(x.context), 0) ELSE 0 END AS BIGINT) AS context_chars,
+   CAST(length(q.query_text) AS INTEGER) AS query_chars, CAST({CODED} AS BIGINT) AS candidate_models, {CODED} > 0 AS prompt_augmented, {IS['a']} AS structured,
+   CASE WHEN {IS['a']} THEN a.method END AS answer_method, CASE WHEN {IS['a']} THEN a.value END AS answer_value, CASE WHEN {IS['a']} THEN a.rows_processed END AS answer_rows,
+   CASE WHEN {IS['a']} THEN a.confidence END AS answer_confidence, CASE WHEN {IS['a']} THEN a.column_used END AS answer_column,
+   CASE WHEN {IS['a']} THEN a.extractor_name END AS answer_extractor, CASE WHEN {IS['a']} THEN a.candidate_count END AS answer_candidates,
+   CASE WHEN {IS['d']} THEN round(h.hi, 6) END AS top_score, CASE WHEN {IS['d']} THEN round(h.av, 6) END AS average_score, CASE WHEN {IS['d']} THEN round(h.lo, 6) END AS lowest_score,
+   {IS['d']} AND h.n IS NULL AS empty_retrieval
+ FROM strategies s JOIN questions q ON q.query_id = s.query_id LEFT JOIN answered a ON a.query_id = s.query_id LEFT JOIN used u ON u.query_id = s.query_id
+   LEFT JOIN cover v ON v.query_id = s.query_id LEFT JOIN rstat h ON h.query_id = s.query_id LEFT JOIN rctx x ON x.query_id = s.query_id
+   LEFT JOIN tcodes tc ON tc.query_id = s.query_id LEFT JOIN ccodes cc ON cc.query_id = s.query_id""", rq.ALL, METRICS)

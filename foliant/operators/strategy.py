@@ -12,16 +12,19 @@ from foliant.plans.ranking import join_text
 SETTLED = ["Ready", "Blocked", "Failed"]
 
 
-def scoped(scope: DataFrame, docs: DataFrame) -> DataFrame:
-    return scope.join(docs, "doc_id")
-
-
 def ready_texts(scope: DataFrame, docs: DataFrame) -> DataFrame:
     """query_id, doc_id, title, document_type, text of Ready documents that have text."""
     usable = docs.where((F.col("status") == "Ready") & F.col("extracted_text").isNotNull())
     return scope.join(usable.select("doc_id", "title", "document_type", F.col("extracted_text").alias("text")), "doc_id")
 
 
+def ready_scope_texts(scope: DataFrame, docs: DataFrame) -> DataFrame:
+    """Ready documents with text that any question has in scope, once each."""
+    usable = docs.where((F.col("status") == "Ready") & F.col("extracted_text").isNotNull())
+    return (usable.select("doc_id", "title", "document_type", F.col("extracted_text").alias("text"))
+            .join(scope.select("doc_id").distinct(), "doc_id", "left_semi"))
+
+
 def processing_guard(queries: DataFrame, scope: DataFrame, docs: DataFrame) -> DataFrame:
     """Documents of a question that are still being processed, and the prompt that says so."""
     d = scope.join(docs.select("doc_id", "title", "status", "processing_stage", "progress_current", "progress_total"), "doc_id")

@@ -185,7 +185,7 @@ DERIVED: dict[str, tuple] = {
                CASE WHEN p_size % 4 = 0 THEN NULL ELSE CAST(p_size AS DECIMAL(18, 6)) END AS image_price
         FROM {part}"""),
     "providers": (["supplier"], """
-        SELECT s_suppkey AS provider_id, CASE s_nationkey % 4 WHEN 0 THEN 'OpenAI' WHEN 1 THEN 'Gemini' WHEN 2 THEN 'Anthropic'
+        SELECT s_suppkey AS provider_id, CASE s_nationkey % 4 WHEN 0 THEN 'OpenAI' WHEN 1 THEN 'Gemini' WHEN 2 THEN 'Remote'
                ELSE 'Local' END AS provider_type, s_suppkey % 9 <> 4 AS enabled, s_nationkey AS sort_order FROM {supplier}"""),
     "metrics": (["part"], """
         SELECT p_partkey * 2 AS metric_id, p_partkey AS model_id, CASE p_size % 3 WHEN 0 THEN 'Chat' WHEN 1 THEN 'Vision'

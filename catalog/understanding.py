@@ -304,9 +304,9 @@ register("session_metrics", lambda t: metrics_of(t).withColumns({c: F.round(c, 6
    CAST(CASE WHEN {IS['a']} THEN coalesce(u.n, 0) WHEN {IS['b']} THEN s.documents WHEN {IS['c']} THEN coalesce(v.documents, 0) WHEN {IS['d']} THEN coalesce(h.docs, 0) ELSE 0 END AS BIGINT) AS documents,
    CAST(CASE WHEN {IS['c']} THEN coalesce(v.chunks_sent, 0) WHEN {IS['d']} THEN coalesce(h.n, 0) ELSE 0 END AS BIGINT) AS retrieved_chunks,
    CAST(CASE WHEN {IS['c']} THEN coalesce(v.total_chunks, 0) ELSE 0 END AS BIGINT) AS total_chunks, CAST(CASE WHEN {IS['c']} THEN coalesce(v.source_rows, 0) ELSE 0 END AS BIGINT) AS source_items,
-   CASE WHEN {IS['b']} THEN 100.0 WHEN {IS['c']} THEN coalesce({PCT.format(p='v.chunks_sent', w='v.total_chunks')}, 0.0) ELSE 0.0 END AS coverage_percent,
+   CASE WHEN {IS['b']} THEN 100.0 WHEN {IS['c']} THEN CASE WHEN v.query_id IS NULL THEN 0.0 ELSE {PCT.format(p='v.chunks_sent', w='v.total_chunks')} END ELSE 0.0 END AS coverage_percent,
    CAST(CASE WHEN {IS['c']} THEN coalesce(v.total_chars, 0) ELSE 0 END AS BIGINT) AS total_chars, CAST(CASE WHEN {IS['c']} THEN coalesce(v.chars_sent, 0) ELSE 0 END AS BIGINT) AS chars_sent,
-   CASE WHEN {IS['c']} THEN coalesce({PCT.format(p='v.chars_sent', w='v.total_chars')}, 0.0) ELSE 0.0 END AS char_percent,
+   CASE WHEN {IS['c']} THEN CASE WHEN v.query_id IS NULL THEN 0.0 ELSE {PCT.format(p='v.chars_sent', w='v.total_chars')} END ELSE 0.0 END AS char_percent,
    {IS['c']} AND coalesce(v.chunks_sent < v.total_chunks, false) AS is_truncated,
    CAST(CASE WHEN {IS['b']} THEN s.total_chars WHEN {IS['c']} THEN coalesce(v.context_chars, 0) WHEN {IS['d']} THEN coalesce(length(x.context), 0) ELSE 0 END AS BIGINT) AS context_chars,
    CAST(length(q.query_text) AS INTEGER) AS query_chars, CAST({CODED} AS BIGINT) AS candidate_models, {CODED} > 0 AS prompt_augmented, {IS['a']} AS structured,

@@ -101,7 +101,7 @@ def replace_documents(spark: SparkSession, path: str, incoming: DataFrame) -> No
     """
     new = _bucketed(incoming)
     touched = new.select("index_name", "bucket").distinct()
-    old = spark.read.parquet(path).join(F.broadcast(touched), ["index_name", "bucket"], "left_semi")  # at most indexes × BUCKETS rows
+    old = spark.read.parquet(path).join(touched, ["index_name", "bucket"], "left_semi")
     merged = index_delete_by_document(old, incoming.select("index_name", "doc_id").distinct()).unionByName(new, allowMissingColumns=True)
     (cut_lineage(merged).repartition("index_name", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("index_name", "bucket").parquet(path))

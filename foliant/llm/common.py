@@ -67,6 +67,19 @@ def map_texts(docs: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch |
     return docs.mapInArrow(run, schema)
 
 
+def filter_texts(docs: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], verdict: str, limit: int = SLICE_BYTES) -> DataFrame:
+    """Rows of ``docs``, all columns, whose ``verdict`` by ``work`` is true; decided where the text is read, without a join."""
+    at = [docs.columns.index("doc_id"), docs.columns.index("text")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, at[1], limit):
+                out = work(part.select(at))
+                yield part.filter(out.column(out.schema.names.index(verdict)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def id_field(docs: DataFrame) -> T.StructField:
     return T.StructField("doc_id", docs.schema["doc_id"].dataType)
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
-from foliant.llm.common import id_field, map_texts, texts_of
+from foliant.llm.common import filter_texts, id_field, map_texts, texts_of
 
 WHITE = " \t\n\v\f\r"
 SYMBOLS = b"#*$%&|<>"
@@ -87,19 +88,8 @@ def covered(depth: np.ndarray, least: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def repetition_rules(docs: DataFrame, min_words: int = 10, window: int = 5, max_repeat_percent: int = 20,
-                     min_repeat: int = 4, max_covered_percent: int = 30, max_longest: int = 40) -> DataFrame:
-    """Judge each text by its repeated passages.
-
-    A word is a run of characters other than ASCII white space.  A text fails the base rules with fewer
-    than ``min_words`` words, or when more than ``max_repeat_percent`` of its words lie in windows of
-    ``window`` words found twice or more.  The method's own limits: maximal repeated substrings of
-    ``min_repeat`` words or more may cover ``max_covered_percent`` of the words at most, and the longest
-    may have ``max_longest`` words at most.
-
-    Null and empty texts have no words and fail; repeated rows are judged one by one; an empty table
-    gives no rows; a null id is carried along; columns other than doc_id and text are not read.
-    """
+def _rules(docs: DataFrame, min_words: int = 10, window: int = 5, max_repeat_percent: int = 20, min_repeat: int = 4,
+           max_covered_percent: int = 30, max_longest: int = 40) -> tuple[Callable[[pa.RecordBatch], pa.RecordBatch], T.StructType]:
     schema = T.StructType([id_field(docs), *[T.StructField(c, T.LongType()) for c in (
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType()),
@@ -129,4 +119,25 @@ def repetition_rules(docs: DataFrame, min_words: int = 10, window: int = 5, max_
                   pa.array(failed), pa.array(kept), pa.array(in_repeats.astype(np.int64)), pa.array(longest)]
         return pa.RecordBatch.from_arrays(values, schema.names)
 
+    return work, schema
+
+
+def repetition_rules(docs: DataFrame, **limits: int) -> DataFrame:
+    """Judge each text by its repeated passages.
+
+    A word is a run of characters other than ASCII white space.  A text fails the base rules with fewer
+    than ``min_words`` words, or when more than ``max_repeat_percent`` of its words lie in windows of
+    ``window`` words found twice or more.  The method's own limits: maximal repeated substrings of
+    ``min_repeat`` words or more may cover ``max_covered_percent`` of the words at most, and the longest
+    may have ``max_longest`` words at most.
+
+    Null and empty texts have no words and fail; repeated rows are judged one by one; an empty table
+    gives no rows; a null id is carried along; columns other than doc_id and text are not read.
+    """
+    work, schema = _rules(docs, **limits)
     return map_texts(docs.select("doc_id", "text"), work, schema)
+
+
+def keep_by_repetition(docs: DataFrame, **limits: int) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``repetition_rules`` keeps."""
+    return filter_texts(docs, _rules(docs, **limits)[0], "kept")

@@ -92,7 +92,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
     """Fit on labelled documents (label ``toxic`` 0 or 1).
 
     Features are the words and word beginnings whose document counts differ most between the labels
-    (log-likelihood ratio over the labelled sample).  Clean documents have grade 0; toxic ones grade 1
+    (log-likelihood ratio over the labelled sample), in one of a hundred toxic documents at least.  Clean documents have grade 0; toxic ones grade 1
     to ``grades`` by how much of them consists of features that toxic documents have ten times as often.
     At most ``sample_rows`` labelled documents and ``n_features`` features reach the driver.
     """
@@ -114,7 +114,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
     t, c = float(sizes["t"]), float(sizes["c"])
     found = map_texts(sample.select("doc_id", "text", "toxic"), count, counted).groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
     gain = F.expr(f"a * ln((a + 0.5) * {c} / ((b + 0.5) * {t}))")
-    found = found.where(f"a >= 3 and a * {c} > 3 * b * {t}").orderBy(gain.desc(), "feature").limit(n_features).collect()
+    found = found.where(f"a >= {max(3.0, t / 100)} and a * {c} > 3 * b * {t}").orderBy(gain.desc(), "feature").limit(n_features).collect()
     features = {r["feature"]: i for i, r in enumerate(found)}
     strong = {features[r["feature"]] for r in found if r["a"] * c > 10 * r["b"] * t}
     entry = T.StructType([T.StructField("label", T.LongType()), T.StructField("places", T.ArrayType(T.LongType())),
@@ -163,7 +163,7 @@ def _judge(docs: DataFrame, model: Model, limit: float) -> tuple[Callable[[pa.Re
 
 
 #: Expected severity from which a document counts as toxic.
-SEVERITY_LIMIT = 0.5
+SEVERITY_LIMIT = 0.3
 
 
 def toxicity_scores(docs: DataFrame, model: Model, limit: float = SEVERITY_LIMIT) -> DataFrame:

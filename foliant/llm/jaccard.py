@@ -7,7 +7,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from foliant.llm.common import connected_components, id_field, map_texts, stage, texts_of
 
@@ -21,6 +21,8 @@ MIDDLE_SET = 256
 FRAGMENTS = 128
 #: Bits of the filter that keeps unlinked documents from being read again; 4 MB at most reach the driver.
 FILTER_BITS = 1 << 25
+#: Rounds of comparisons with further representatives, and how many of them a signature's component offers.
+ROUNDS, HEADS = 2, 8
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -136,8 +138,8 @@ def _filter_of(spark: SparkSession, nodes: DataFrame) -> bytes:
 def _sets_of(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     """(node, part, grams) of the nodes, read again from their texts.
 
-    Texts whose id the filter does not know are dropped where they are read; the join that follows
-    drops those it lets through by chance.
+    Texts whose id the filter does not know are dropped where they are read; those it lets through by
+    chance are in no pair.
     """
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(_filter_of(spark, nodes))
@@ -165,8 +167,10 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
 
     place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
     read = map_texts(docs.where("doc_id is not null").select("doc_id", "text", place.alias("place")), work, schema)
-    return read.join(nodes.select(F.col("node").alias("doc_id"), "digest"), ["doc_id", "digest"]).select(
-        F.col("doc_id").alias("node"), "part", "grams").dropDuplicates(["node", "part"])
+    sets = stage(read.withColumnRenamed("doc_id", "node"))
+    if sets.groupBy("node", "part").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return sets.drop("digest")
+    return stage(sets.join(nodes, ["node", "digest"]).drop("digest").dropDuplicates(["node", "part"]))  # rows that share an id
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -179,14 +183,49 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return shared.select("a", "b", (100 * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))).alias("linked"))
 
 
+def _ordered(pairs: DataFrame, percent: int) -> DataFrame:
+    """(x, n_x, y, n_y) as (a, n_a, b, n_b) with a < b, where the sizes allow a link."""
+    swap = F.col("x") > F.col("y")
+    pick = lambda p, q: F.when(swap, F.col(q)).otherwise(F.col(p))
+    fits = pairs.where(f"x <> y and 100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)")
+    return fits.select(pick("x", "y").alias("a"), pick("n_x", "n_y").alias("n_a"), pick("y", "x").alias("b"), pick("n_y", "n_x").alias("n_b"))
+
+
+def _unseen(pairs: DataFrame, compared: DataFrame) -> DataFrame:
+    return pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
+
+
+def _rarest(shared: DataFrame) -> DataFrame:
+    """The signatures of each node, rarest first, without its last ``need - 1``.
+
+    Two nodes that share ``need`` signatures share one of these, so common passages drop out.
+    """
+    often = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    own = Window.partitionBy("node")
+    ranked = shared.join(often, "sig").withColumn("have", F.count(F.lit(1)).over(own)).withColumn("k", F.row_number().over(own.orderBy("df", "sig")))
+    return ranked.where("k <= have - need + 1").select("sig", "node", "n")
+
+
+def _apart(shared: DataFrame, components: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of signatures that several components share: the documents outside the component that has most of them, and those inside."""
+    placed = shared.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = placed.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("size"))
+    largest = sizes.groupBy("sig").agg(F.max(F.struct("size", "component")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    placed = stage(placed.join(largest.select("sig", F.col("top.component").alias("top")), "sig"))
+    rest = placed.where("component <> top").select("sig", F.col("node").alias("x"), F.col("n").alias("n_x"), "component")
+    return rest, placed.where("component = top")
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """Components of documents whose sets of word n-grams have a Jaccard similarity of ``percent`` or more.
 
     Documents with equal sets are one class.  Each class signs the fragments of the n-gram order that
     its set is cut into; classes that share fewer signatures than a link needs are done.  The others
     are first compared with one representative of each signature they share, and the links found are
-    joined to components.  Then every pair that shares a signature and still lies in two components is
-    compared, so that no link between components is lost while copies are never expanded into pairs.
+    joined to components; then those outside the largest component of a signature with further
+    representatives of it.  At last every pair that shares a signature and still lies in two components
+    is compared, so that no link between components is lost while copies are never expanded into pairs.
+    Of a class's signatures only the rarest count, as many as a partner cannot avoid.
     A pair is compared by counting the overlap in each of ``PARTS`` fragments and summing.
 
     A null text, and one without words, has an empty set and links with nothing; rows of one id count as
@@ -200,32 +239,27 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     often = entries.select("sig").groupBy("sig").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("sig")
     shared = stage(entries.select("sig", "node", "n").join(often, "sig"))
     having = shared.groupBy("node").agg(F.count(F.lit(1)).alias("have"))
-    nodes = stage(first.select(F.col("doc_id").alias("node"), "digest", "need").join(having, "node").where("have >= need").select("node", "digest").distinct())
-    shared = stage(shared.join(nodes.select("node"), "node"))
-    sets = stage(_sets_of(docs, nodes, n))
+    nodes = stage(first.select(F.col("doc_id").alias("node"), "digest", "need").join(having, "node").where("have >= need").groupBy("node").agg(F.min("need").alias("need"), F.min("digest").alias("digest")))
+    shared = stage(_rarest(shared.join(nodes.select("node", "need"), "node")))
+    sets = _sets_of(docs, nodes, n)
 
-    fits = f"a <> b and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
     heads = shared.groupBy("sig").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n")).alias("head"))
-    pairs = shared.join(heads, "sig").select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b"),
-                                             F.when(F.col("node") < F.col("head.node"), F.col("n")).otherwise(F.col("head.n")).alias("n_a"),
-                                             F.when(F.col("node") < F.col("head.node"), F.col("head.n")).otherwise(F.col("n")).alias("n_b"))
-    compared = stage(_verified(pairs.where(fits).distinct(), sets, percent))
-    links = compared.where("linked").select("a", "b")
-    components = connected_components(links)
-
-    placed = shared.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = placed.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("size"))
-    largest = sizes.groupBy("sig").agg(F.max(F.struct("size", "component")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    placed = placed.join(largest.select("sig", F.col("top.component").alias("top")), "sig")
-    rest = placed.where("component <> top").select("sig", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("component").alias("c"))
-    others = placed.select("sig", F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("component").alias("d"))
-    apart = rest.join(others, "sig").where(f"c <> d and 100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)")
-    swap = F.col("x") > F.col("y")
-    apart = apart.select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("a"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("b"),
-                         F.when(swap, F.col("n_y")).otherwise(F.col("n_x")).alias("n_a"), F.when(swap, F.col("n_x")).otherwise(F.col("n_y")).alias("n_b"))
-    apart = apart.distinct().join(compared.select("a", "b"), ["a", "b"], "left_anti")
-    more = stage(_verified(apart, sets, percent).where("linked").select("a", "b"))
-    if not more.isEmpty():
-        components = connected_components(links.union(more))
+    pairs = shared.join(heads, "sig").select(F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("head.node").alias("y"), F.col("head.n").alias("n_y"))
+    compared = stage(_verified(_ordered(pairs, percent).distinct(), sets, percent))
+    components = connected_components(compared.where("linked").select("a", "b"))
+    for turn in range(ROUNDS):
+        rest, top = _apart(shared, components)
+        order = F.xxhash64("node", F.pmod("sig", F.lit(HEADS)), F.lit(turn))
+        heads = top.groupBy("sig").agg(F.min(F.struct(order.alias("h"), F.col("node").alias("y"), F.col("n").alias("n_y"))).alias("head"))
+        pairs = rest.join(heads, "sig").select("x", "n_x", "head.y", "head.n_y")
+        compared = stage(compared.union(_verified(_unseen(_ordered(pairs, percent).distinct(), compared), sets, percent)))
+        components = connected_components(compared.where("linked").select("a", "b"))
+
+    rest, top = _apart(shared, components)
+    others = top.select("sig", "component", "node", "n").union(rest.select("sig", "component", "x", "n_x")).toDF("sig", "d", "y", "n_y")
+    pairs = _ordered(rest.join(others, "sig").where("component <> d"), percent).distinct()
+    last = stage(_verified(_unseen(pairs, compared), sets, percent).where("linked"))
+    if not last.isEmpty():
+        components = connected_components(compared.where("linked").select("a", "b").union(last.select("a", "b")))
     member = rows.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").join(components, "node", "left")
     return member.select("doc_id", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id"))

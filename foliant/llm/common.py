@@ -89,6 +89,16 @@ def texts_of(batch: pa.RecordBatch, column: int = 1) -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
+def anchors(nodes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest node that each node of a block reaches over the links (places a, b) found in the block."""
+    out, before = nodes.copy(), None
+    while before is None or (out != before).any():
+        before = out.copy()
+        np.minimum.at(out, a, before[b])
+        np.minimum.at(out, b, before[a])
+    return out
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node that is not its component's smallest node, from edges (a, b).
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from foliant.llm.common import connected_components, id_field, map_texts, stage, texts_of
+from foliant.llm.common import anchors, connected_components, id_field, map_texts, stage, texts_of
 
 #: Fragments of the n-gram order in which the overlap of a candidate pair is counted.
 PARTS = 8
@@ -21,8 +22,8 @@ MIDDLE_SET = 256
 FRAGMENTS = 128
 #: Bits of the filter that keeps unlinked documents from being read again; 4 MB at most reach the driver.
 FILTER_BITS = 1 << 25
-#: Rounds of comparisons with further representatives, and how many of them a signature's component offers.
-ROUNDS, HEADS = 2, 8
+#: Documents of a block, and n-grams of a slice, where families of components are compared.
+BLOCK_ROWS, SLICE_GRAMS = 1024, 4096
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -191,10 +192,6 @@ def _ordered(pairs: DataFrame, percent: int) -> DataFrame:
     return fits.select(pick("x", "y").alias("a"), pick("n_x", "n_y").alias("n_a"), pick("y", "x").alias("b"), pick("n_y", "n_x").alias("n_b"))
 
 
-def _unseen(pairs: DataFrame, compared: DataFrame) -> DataFrame:
-    return pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
-
-
 def _rarest(shared: DataFrame) -> DataFrame:
     """The signatures of each node, rarest first, without its last ``need - 1``.
 
@@ -206,14 +203,69 @@ def _rarest(shared: DataFrame) -> DataFrame:
     return ranked.where("k <= have - need + 1").select("sig", "node", "n")
 
 
-def _apart(shared: DataFrame, components: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of signatures that several components share: the documents outside the component that has most of them, and those inside."""
-    placed = shared.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = placed.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("size"))
-    largest = sizes.groupBy("sig").agg(F.max(F.struct("size", "component")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    placed = stage(placed.join(largest.select("sig", F.col("top.component").alias("top")), "sig"))
-    rest = placed.where("component <> top").select("sig", F.col("node").alias("x"), F.col("n").alias("n_x"), "component")
-    return rest, placed.where("component = top")
+def _overlaps(left: pd.DataFrame, right: pd.DataFrame, n_left: int, n_right: int) -> np.ndarray:
+    """Common n-grams of each pair of documents from two blocks of (place, grams), by products of slices of the incidence matrices."""
+    grams = [np.concatenate(list(x["grams"])).view(np.uint64) for x in (left, right)]
+    owner = [np.repeat(x["place"].to_numpy(), x["grams"].map(len)) for x in (left, right)]
+    common = np.intersect1d(*grams)
+    out = np.zeros((n_left, n_right), np.float32)
+    at = [np.searchsorted(common, g) for g in grams]
+    held = [(a < len(common)) & (common[np.minimum(a, len(common) - 1)] == g) if len(common) else np.zeros(len(g), bool) for a, g in zip(at, grams, strict=True)]
+    column, owner = [a[h] for a, h in zip(at, held, strict=True)], [o[h] for o, h in zip(owner, held, strict=True)]
+    order = [np.argsort(c, kind="stable") for c in column]
+    column, owner = [c[o] for c, o in zip(column, order, strict=True)], [w[o] for w, o in zip(owner, order, strict=True)]
+    for start in range(0, len(common), SLICE_GRAMS):
+        parts = []
+        for c, w, n in zip(column, owner, (n_left, n_right), strict=True):
+            lo, hi = np.searchsorted(c, [start, start + SLICE_GRAMS])
+            part = np.zeros((n, min(SLICE_GRAMS, len(common) - start)), np.float32)
+            part[w[lo:hi], c[lo:hi] - start] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def _between_components(shared: DataFrame, components: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the components further: a spanning forest of all links between components that share a signature.
+
+    Components that share a signature make up a family.  A family's documents are dealt to blocks, and a
+    task counts the overlaps of all pairs of two blocks at once; it returns one row per document that
+    moves to another component, never the pairs.
+    """
+    placed = shared.join(components, "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("component"))
+    top = placed.groupBy("sig").agg(F.min("component").alias("top"), F.max("component").alias("last")).where("top < last")
+    mixed = stage(placed.join(top.select("sig", "top"), "sig"))
+    families = connected_components(mixed.select(F.col("component").alias("a"), F.col("top").alias("b")))
+    nodes = mixed.select("node", "n", "component").distinct().join(families.toDF("component", "family"), "component", "left")
+    nodes = stage(nodes.withColumn("family", F.coalesce("family", "component")))
+    blocks = nodes.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
+    dealt = nodes.join(blocks, "family").withColumn("own", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
+    dealt = dealt.join(sets.select("node", "grams"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        i, j = group["i"].iat[0], group["j"].iat[0]
+        first = group.drop_duplicates("node")
+        sides, places = [], []
+        for block in (i, j):
+            ids = first[first["own"] == block].reset_index(drop=True)
+            rows = group[group["own"] == block]
+            sides.append(ids)
+            places.append(rows.assign(place=rows["node"].map(pd.Series(ids.index, ids["node"]))))
+        if sides[0].empty or sides[1].empty:
+            return pd.DataFrame({"a": [], "b": []}).astype("int64")
+        shared_grams = _overlaps(places[0], places[1], len(sides[0]), len(sides[1])).astype(np.int64)
+        n_a, n_b = (x["n"].to_numpy(np.int64) for x in sides)
+        linked = (100 + percent) * shared_grams >= percent * (n_a[:, None] + n_b[None, :])
+        linked &= sides[0]["component"].to_numpy()[:, None] != sides[1]["component"].to_numpy()[None, :]
+        a, b = np.nonzero(linked)
+        ids = np.r_[sides[0]["node"].to_numpy(), sides[1]["node"].to_numpy()]
+        joined = anchors(ids, a, b + len(sides[0]))
+        moved = ids != joined
+        return pd.DataFrame({"a": ids[moved], "b": joined[moved]})
+
+    found = dealt.select("family", "i", "j", "own", "node", "n", "component", "grams")
+    return stage(found.groupBy("family", "i", "j").applyInPandas(compare, "a long, b long"))
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -222,9 +274,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     Documents with equal sets are one class.  Each class signs the fragments of the n-gram order that
     its set is cut into; classes that share fewer signatures than a link needs are done.  The others
     are first compared with one representative of each signature they share, and the links found are
-    joined to components; then those outside the largest component of a signature with further
-    representatives of it.  At last every pair that shares a signature and still lies in two components
-    is compared, so that no link between components is lost while copies are never expanded into pairs.
+    joined to components.  Then all documents of components that still share a signature are compared in
+    blocks, so that no link between components is lost while copies are never expanded into pairs.
     Of a class's signatures only the rarest count, as many as a partner cannot avoid.
     A pair is compared by counting the overlap in each of ``PARTS`` fragments and summing.
 
@@ -247,19 +298,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     pairs = shared.join(heads, "sig").select(F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("head.node").alias("y"), F.col("head.n").alias("n_y"))
     compared = stage(_verified(_ordered(pairs, percent).distinct(), sets, percent))
     components = connected_components(compared.where("linked").select("a", "b"))
-    for turn in range(ROUNDS):
-        rest, top = _apart(shared, components)
-        order = F.xxhash64("node", F.pmod("sig", F.lit(HEADS)), F.lit(turn))
-        heads = top.groupBy("sig").agg(F.min(F.struct(order.alias("h"), F.col("node").alias("y"), F.col("n").alias("n_y"))).alias("head"))
-        pairs = rest.join(heads, "sig").select("x", "n_x", "head.y", "head.n_y")
-        compared = stage(compared.union(_verified(_unseen(_ordered(pairs, percent).distinct(), compared), sets, percent)))
-        components = connected_components(compared.where("linked").select("a", "b"))
-
-    rest, top = _apart(shared, components)
-    others = top.select("sig", "component", "node", "n").union(rest.select("sig", "component", "x", "n_x")).toDF("sig", "d", "y", "n_y")
-    pairs = _ordered(rest.join(others, "sig").where("component <> d"), percent).distinct()
-    last = stage(_verified(_unseen(pairs, compared), sets, percent).where("linked"))
-    if not last.isEmpty():
-        components = connected_components(compared.where("linked").select("a", "b").union(last.select("a", "b")))
+    more = _between_components(shared, components, sets, percent)
+    if not more.isEmpty():
+        components = connected_components(compared.where("linked").select("a", "b").union(more))
     member = rows.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").join(components, "node", "left")
     return member.select("doc_id", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id"))

@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from foliant.llm.common import connected_components, stage
+from foliant.llm.common import anchors, connected_components, stage
 
 #: Vectors of a block; a task compares two blocks.
 BLOCK_ROWS = 1024
@@ -72,11 +72,7 @@ def _links(left: pd.DataFrame, right: pd.DataFrame, same: bool, threshold: float
     copies = np.r_[left["copies"].to_numpy(), right["copies"].to_numpy()]
     b = b + len(left) if not same else b
     links = np.bincount(a, copies[b], len(nodes)) + np.bincount(b, copies[a], len(nodes))
-    anchor, before = nodes.copy(), None
-    while before is None or (anchor != before).any():
-        before = anchor.copy()
-        np.minimum.at(anchor, a, before[b])
-        np.minimum.at(anchor, b, before[a])
+    anchor = anchors(nodes, a, b)
     kept = links > 0
     return pd.DataFrame({"node": nodes[kept], "links": links[kept].astype(np.int64), "anchor": anchor[kept]})
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,13 +28,24 @@ def build_session(master: str | None = None, app: str = "foliant", shuffle_parti
         # array<float> batches are wide: keep an Arrow batch to tens of MB
         "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
         "spark.sql.parquet.filterPushdown": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     if shuffle_partitions:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     settings.update(conf)
     for k, v in settings.items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers, whose functions import it by name."""
+    if "foliant.zip" not in str(spark.sparkContext._python_includes):
+        root = os.path.dirname(os.path.abspath(__file__))
+        folder = tempfile.mkdtemp(prefix="foliant-package-")
+        spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(folder, "foliant"), "zip", os.path.dirname(root), os.path.basename(root)))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -40,8 +53,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     The folder is the shared one the cluster names in ``spark.checkpoint.dir``.
     A local session without that setting (tests, bench) gets a folder of its
-    own; a cluster session without it keeps the plan as it is, which is correct
-    but computes the step once per reader.
+    own; a cluster session without it is an error.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
@@ -50,6 +62,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         if not folder and sc.master.startswith("local"):
             folder = tempfile.mkdtemp(prefix="foliant-checkpoint-")
         if not folder:
-            return df
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

@@ -62,15 +62,15 @@ def string_list(raw: Column | str) -> Column:
     return F.when(F.size(kept) > 0, kept)
 
 
-def index_payload_read(hits: DataFrame, column: str = "payload") -> DataFrame:
-    """Typed payload of index hits; hits without a valid chunk and document id are dropped."""
+def index_payload_read(hits: DataFrame, column: str = "payload", id_type: str = "bigint") -> DataFrame:
+    """Typed payload of index hits; hits without a chunk and document id of ``id_type`` (bigint or string) are dropped."""
     p = hits.withColumn("_p", F.from_json(column, _PAYLOAD)).drop(column)
-    ids = p.withColumn("chunk_id", F.col("_p.document_chunk_id").try_cast("bigint")).withColumn(
-        "doc_id", F.col("_p.document_id").try_cast("bigint")).where(F.col("chunk_id").isNotNull() & F.col("doc_id").isNotNull())
+    ids = p.withColumn("chunk_id", F.col("_p.document_chunk_id").try_cast(id_type)).withColumn(
+        "doc_id", F.col("_p.document_id").try_cast(id_type)).where(F.col("chunk_id").isNotNull() & F.col("doc_id").isNotNull())
     texts = [F.coalesce(f"_p.{c}", F.lit("")).alias(c) for c in (
         "file_name", "document_title", "embedding_model", "embedding_provider", "content_preview")]
     return ids.select(*[c for c in hits.columns if c != column], "chunk_id", "doc_id",
-                      F.col("_p.user_id").try_cast("bigint").alias("user_id"), F.col("_p.file_id").try_cast("bigint").alias("file_id"), *texts,
+                      F.col("_p.user_id").try_cast(id_type).alias("user_id"), F.col("_p.file_id").try_cast(id_type).alias("file_id"), *texts,
                       F.coalesce("_p.chunk_index", F.lit(0)).alias("chunk_index"), "_p.page_number", "_p.heading",
                       string_list("_p.collection_ids").alias("collection_ids"),
                       string_list("_p.allowed_group_ids").alias("allowed_group_ids"))

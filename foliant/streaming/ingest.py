@@ -223,9 +223,14 @@ def process_batch(raw: DataFrame, batch_id: int, store: IngestStore, texts: Data
     sorted_jobs = idempotency_filter(jobs, state, options)
     now = jobs.agg(F.max("queued_at")).scalar()
     claimed = cut_lineage(claim_documents(sorted_jobs, state, now, F.lit(f"batch{batch_id}"), options))
-    work = (claimed.select("doc_id", "attempts").join(state.select("doc_id", "document_type"), "doc_id").join(texts, "doc_id", "left")
+    asked_texts = texts.join(claimed.select("doc_id"), "doc_id", "left_semi")  # the claims are few; all other texts stay where they are
+    work = (claimed.select("doc_id", "attempts").join(state.select("doc_id", "document_type"), "doc_id").join(asked_texts, "doc_id", "left")
             .withColumn("has_file", F.col("text").isNotNull()).withColumn("extracted_text", F.col("text")))
-    verdicts = cut_lineage(guard(work.where(~text.is_blank("text")).select("doc_id", "text")))
+    judged = work.where(~text.is_blank("text")).select("doc_id", "text")
+    answered = judged.select("doc_id").join(guard(judged).select("doc_id", "should_continue", "error_message"), "doc_id", "left")
+    missing = F.col("should_continue").isNull()  # a document without a verdict stops
+    verdicts = cut_lineage(answered.select("doc_id", F.coalesce("should_continue", F.lit(False)).alias("should_continue"),
+                                           F.when(missing, "No guard verdict.").otherwise(F.col("error_message")).alias("error_message")))
     passed = work.join(verdicts.where("should_continue").select("doc_id"), "doc_id", "left_semi")
     chunks = cut_lineage(chunk_router(passed.select("doc_id", "text"), options).withColumn(
         "chunk_id", F.concat_ws("-", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string"))))

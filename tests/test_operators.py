@@ -228,3 +228,16 @@ def test_page_segments(spark):
     df = spark.createDataFrame([(1, "intro\n--- Page 3 ---\nx\n--- Page 4 ---\n \n"), (2, " none ")], "doc_id int, text string")
     got = [(x.doc_id, x.page_number, x.content) for x in sg.page_segments(df).orderBy("doc_id", "segment_no").collect()]
     assert got == [(1, None, "intro"), (1, 3, "x"), (2, None, " none ")]
+
+
+def test_blank_documents_do_not_use_up_the_budget(spark):
+    """Expected text from a literal loop over the documents."""
+    rows = [(1, i, f"T{i}", "txt", "" if i < 12 else "ab" * (i - 10)) for i in range(15)] + [(1, 5000, "T", "txt", "late")]
+    documents = spark.createDataFrame(rows, "query_id long, doc_id long, title string, document_type string, text string")
+    got = cx._document_pieces(documents, 7, F.lit("<"), ">").orderBy("doc_id").collect()
+    used, expected = 0, []
+    for _, doc, _, _, body in rows:
+        if used < 7:
+            expected.append((doc, f"<{body[:7 - used]}>"))
+        used += len(body)
+    assert [(r["doc_id"], r["piece"]) for r in got] == expected

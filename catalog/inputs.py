@@ -95,11 +95,12 @@ DERIVED: dict[str, tuple] = {
                CASE WHEN turn % 3 = 0 THEN ' FNT' || lpad(CAST((conv_id * 7) % 40 AS STRING), 6, '0') || ' '
                     WHEN turn % 3 = 1 THEN ' 10.0.' || CAST(conv_id % 7 AS STRING) || '.' ||
                          CAST((conv_id * 7 + turn) % 250 AS STRING) || ' fnt000001 ' ELSE ' ' END || text AS query_text,
-               (conv_id * 31 + turn * 7) % 500 AS vec_id
+               conv_id * 31 + turn * 7 AS vec_id
         FROM {{conversations}} WHERE role = 'user'"""),
     "query_vectors": (["questions", "embeddings"], """
         SELECT q.query_id, 'acme' AS provider, 'embed-small' AS model, e.embedding AS query_vector
-        FROM {questions} q JOIN {embeddings} e ON e.vec_id = q.vec_id"""),
+        FROM (SELECT query_id, vec_id % (SELECT count(*) FROM {embeddings}) AS place FROM {questions}) q
+        JOIN {embeddings} e ON e.vec_id = q.place"""),
     "doc_set_files": (["documents"], """
         SELECT p % 20 AS doc_set_id, file_id
         FROM (SELECT CAST(floor(doc_id / 10) AS BIGINT) AS p, min(doc_id) AS file_id

@@ -15,7 +15,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from foliant import vocab
 from foliant.functions import intents, text, vectors as vec
 from foliant.options import DEFAULTS, Options
 from foliant.plans.ranking import bucketed_rank, top_per_group
@@ -128,42 +127,70 @@ def _best(pairs: DataFrame, limit: int) -> DataFrame:
 
 # ── keywords ──────────────────────────────────────────────────────────────────
 # Any occurrence of an identifier lies inside one run of letters, hyphen and
-# digits, or one dotted run of digits.  Runs are short, so chunks contribute
-# runs instead of their text, and meet identifiers on a key both must share:
-# the two letters and three digits around the letter-digit boundary of a code,
-# or the two middle groups of an address.
+# digits, or one dotted run of digits.  A code that occurs in a run is an end of
+# its letters and a beginning of its digits; an address in a dotted run is an
+# end of one group, two whole groups and a beginning of the fourth.  So the
+# whole needle is the join key: a run spells out the needles of each length that
+# is asked for, and no two needles share a key.
 
-_CODE_RUN, _CODE_KEY = r"[a-z]{2,}-?[0-9]{3,}", r"[a-z]{2}-?[0-9]{3}"
-_DOTTED_RUN, _DOTTED_KEY = r"[0-9]+(?:\.[0-9]+){3,}", r"(?=(\.[0-9]{1,3}\.[0-9]{1,3}\.))"
+_CODE_RUN, _CODE = r"[a-z]{2,}-?[0-9]{3,}", r"([a-z]+)(-?)([0-9]+)"
+_DOTTED_RUN, _DOTTED = r"[0-9]+(?:\.[0-9]+){3,}", r"(?=(?<![0-9])([0-9]+)\.([0-9]{1,3}\.[0-9]{1,3})\.([0-9]+))"
 
 
 def query_identifiers(queries: DataFrame) -> DataFrame:
-    """query_id, identifier, needle (lower case), key."""
-    out = (queries.select("query_id", F.explode(text.identifiers("query_text")).alias("identifier"))
-           .withColumn("needle", F.lower("identifier")))
-    return out.withColumn("key", F.when(F.col("needle").rlike("^[0-9]"),
-                                        F.regexp_extract("needle", _DOTTED_KEY, 1))
-                          .otherwise(F.regexp_extract("needle", _CODE_KEY, 0)))
+    """query_id, identifier, needle (lower case)."""
+    return (queries.select("query_id", F.explode(text.identifiers("query_text")).alias("identifier"))
+            .withColumn("needle", F.lower("identifier")))
 
 
-def chunk_runs(chunks: DataFrame) -> DataFrame:
-    """chunk_id, doc_id, run, key: one row per run and key of a chunk."""
+def _needles_of_code(run: Column) -> Column:
+    """Ends of two to six letters before beginnings of three or more digits of one run."""
+    letters, hyphen, digits = (F.regexp_extract(run, _CODE, g) for g in (1, 2, 3))
+    ends = F.transform(F.sequence(F.lit(2), F.least(F.lit(6), F.length(letters))), lambda n: F.right(letters, n))
+    begins = F.transform(F.sequence(F.lit(3), F.length(digits)), lambda n: F.left(digits, n))
+    return F.flatten(F.transform(ends, lambda e: F.transform(begins, lambda b: F.concat(e, hyphen, b))))
+
+
+def _needles_of_dotted(run: Column) -> Column:
+    """Addresses in each window of four groups of a dotted run: up to three digits of its first and last group."""
+    first, middle, last = (F.regexp_extract_all(run, F.lit(_DOTTED), F.lit(g)) for g in (1, 2, 3))
+
+    def sides(group: Column, cut) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.least(F.lit(3), F.length(group))), lambda n: cut(group, n))
+
+    def addresses(z: Column) -> Column:
+        ends, begins = sides(z["0"], F.right), sides(z["2"], F.left)
+        return F.flatten(F.transform(ends, lambda e: F.transform(begins, lambda b: F.concat_ws(".", e, z["1"], b))))
+    return F.flatten(F.transform(F.arrays_zip(first.alias("0"), middle.alias("1"), last.alias("2")), addresses))
+
+
+def chunk_needles(chunks: DataFrame, longest: Column | None = None) -> DataFrame:
+    """chunk_id, doc_id, needle: every identifier that a question could ask for and the chunk contains.
+
+    ``longest`` is the length of the longest identifier asked for; runs are cut there, so that a
+    long run of digits stays cheap.
+    """
     low = F.lower("content")
-    codes = F.transform(F.array_distinct(text.all_matches(low, _CODE_RUN)),
-                        lambda r: F.struct(r.alias("run"), F.array(F.regexp_extract(r, _CODE_KEY, 0)).alias("keys")))
-    dotted = F.transform(F.array_distinct(text.all_matches(low, _DOTTED_RUN)),
-                         lambda r: F.struct(r.alias("run"), F.array_distinct(
-                             F.regexp_extract_all(r, F.lit(_DOTTED_KEY), F.lit(1))).alias("keys")))
-    runs = chunks.select("chunk_id", "doc_id", F.explode(F.concat(codes, dotted)).alias("r"))
-    return runs.select("chunk_id", "doc_id", "r.run", F.explode("r.keys").alias("key"))
+    codes = F.transform(text.all_matches(low, _CODE_RUN), lambda r: r if longest is None else F.concat(
+        F.right(F.regexp_extract(r, _CODE, 1), F.lit(6)), F.regexp_extract(r, _CODE, 2),
+        F.left(F.regexp_extract(r, _CODE, 3), longest)))
+    codes = F.flatten(F.transform(F.array_distinct(codes), _needles_of_code))
+    dotted = F.flatten(F.transform(F.array_distinct(text.all_matches(low, _DOTTED_RUN)), _needles_of_dotted))
+    return chunks.select("chunk_id", "doc_id", F.explode(F.array_distinct(F.concat(codes, dotted))).alias("needle"))
 
 
 def keyword_search(queries: DataFrame, scope: DataFrame, docs: DataFrame, chunks: DataFrame,
                    options: Options = DEFAULTS) -> DataFrame:
-    """Ready chunks in scope that contain an identifier of the question, in any case."""
-    found = (chunk_runs(chunks).join(query_identifiers(queries), "key")
-             .where(F.contains("run", "needle")).select("query_id", "chunk_id", "doc_id").distinct())
-    return (found.join(ready_scope(scope, docs), ["query_id", "doc_id"], "left_semi")
+    """Ready chunks in scope that contain an identifier of the question, in any case.
+
+    Only texts of documents in scope are read, and only identifiers that some question asks for
+    leave the chunks; question, document and identifier then meet in one equi-join.
+    """
+    asked = query_identifiers(queries).select("query_id", "needle")
+    wanted = ready_scope(scope, docs).join(asked, "query_id").select("query_id", "doc_id", "needle").distinct()
+    longest = asked.agg(F.coalesce(F.max(F.length("needle")), F.lit(3)).alias("_longest"))
+    inside = chunks.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("_longest", longest.scalar())
+    return (chunk_needles(inside, F.col("_longest")).join(wanted, ["doc_id", "needle"]).select("query_id", "chunk_id", "doc_id").distinct()
             .withColumn("score", F.lit(options.keyword_score)))
 
 
@@ -383,9 +410,3 @@ def retrieval_report(retrieved: DataFrame) -> DataFrame:
                     F.col("chunk_index").cast("string"), F.lit(" score="), F.format_string("%.4f", "score"), heading)
     return ranked.select("query_id", "position", line.alias("line"), text.preview("content", 200).alias("preview"))
 
-
-def prompt_tokens(characters: Column) -> Column:
-    return F.floor(characters / 4).cast("bigint")
-
-
-NOT_RETRIEVED = vocab.NO_FILE_CONTEXT

@@ -127,15 +127,18 @@ register("separator_from_header",
          ["core_text"])
 
 register("best_split",
-         lambda t: t.documents.where(F.length("text") > 3000).select(
-             "doc_id", text.best_split(F.left("text", F.lit(3000)), 3000).alias("split_at")),
-         """SELECT doc_id, CASE WHEN p > 1500 THEN p WHEN s > 1500 THEN s + 1 WHEN l > 1500 THEN l WHEN w > 1500 THEN w
+         lambda t: t.documents.where(F.length("text") >= 3000).select(
+             "doc_id", "text", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.length("text") / 3000) - 1)).alias("window_no")).select(
+             "doc_id", "window_no", text.best_split(F.substr("text", (F.col("window_no") * 3000 + 1).cast("int"), F.lit(3000)), 3000).alias("split_at")),
+         """SELECT doc_id, window_no, CASE WHEN p > 1500 THEN p WHEN s > 1500 THEN s + 1 WHEN l > 1500 THEN l WHEN w > 1500 THEN w
                    ELSE -1 END AS split_at
-            FROM (SELECT doc_id, """ + ", ".join(
+            FROM (SELECT doc_id, window_no, """ + ", ".join(
              f"CAST(CASE WHEN contains(c, {n}) THEN length(c) - strpos(reverse(c), reverse({n})) - length({n}) + 1 ELSE -1 END AS INTEGER) AS {a}0"
              for n, a in (("chr(10) || chr(10)", "p"), ("'. '", "d"), ("'! '", "e"), ("'? '", "q"), ("chr(10)", "l"), ("' '", "w")))
          + """, p0 AS p, greatest(d0, e0, q0) AS s, l0 AS l, w0 AS w
-                  FROM (SELECT doc_id, left(text, 3000) AS c FROM documents WHERE length(text) > 3000) x) y""")
+                  FROM (SELECT doc_id, window_no, substr(text, window_no * 3000 + 1, 3000) AS c FROM (
+                    SELECT doc_id, text, unnest(generate_series(0, length(text) // 3000 - 1)) AS window_no
+                    FROM documents WHERE length(text) >= 3000) w) x) y""")
 
 register("sniff_delimiter",
          lambda t: t.csv_docs.select("doc_id", text.sniff_delimiter(F.substring_index("text", "\n", 1)).alias("delimiter"))

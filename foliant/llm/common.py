@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 #: UTF-8 bytes of text that a Python worker turns into words at a time.
 SLICE_BYTES = 4 << 20
+#: What this Python worker has learnt, by the name of the operator's table; one at most.
+_LEARNT: dict[str, object] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -53,11 +55,28 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iter
         start = end
 
 
+def worker_table(name: str, build: Callable[[], object]) -> object:
+    """The table that a worker keeps under this name from slice to slice and task to task, built where it is missing."""
+    if name not in _LEARNT:
+        _LEARNT[name] = build()
+    return _LEARNT[name]
+
+
+def give_up_tables(but: str | None = None) -> None:
+    """Drop the tables of other operators, as a worker serves one stage after another."""
+    for name in [x for x in _LEARNT if x != but]:
+        del _LEARNT[name]
+
+
 def map_texts(docs: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: T.StructType,
-              limit: int = SLICE_BYTES) -> DataFrame:
-    """Run ``work`` on byte-bounded slices of (doc_id, text, ...); other columns of ``docs`` never reach Python."""
+              limit: int = SLICE_BYTES, table: str | None = None) -> DataFrame:
+    """Run ``work`` on byte-bounded slices of (doc_id, text, ...); other columns of ``docs`` never reach Python.
+
+    ``table`` names the ``worker_table`` that ``work`` uses.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_up_tables(table)
         for batch in batches:
             for part in slices(batch, 1, limit):
                 out = work(part)
@@ -72,6 +91,7 @@ def filter_texts(docs: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatc
     at = [docs.columns.index("doc_id"), docs.columns.index("text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_up_tables()
         for batch in batches:
             for part in slices(batch, at[1], limit):
                 out = work(part.select(at))

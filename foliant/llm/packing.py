@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left, insort
 
@@ -9,44 +10,59 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 from tokenizers import Tokenizer
 
-from foliant.llm.common import id_field, map_texts, stage, texts_of
+from foliant.llm.common import id_field, map_texts, stage, texts_of, worker_table
 
-#: White-space runs a worker keeps the ids of; beyond this the table starts anew.
-TABLE_ENTRIES = 1_200_000
+#: UTF-8 bytes of text that a worker turns into words at a time.
+SLICE_BYTES = 1 << 20
+#: Words in the newer half of a worker's table; a full one takes the place of the older half.
+TABLE_ENTRIES = 220_000
 #: Longer words (bytes) are encoded where they stand and not kept.
 LONG_WORD = 96
 #: Pieces of one length that one task puts in order.
 BUCKET_ROWS = 200_000
-_WORDS: dict[str, tuple[Tokenizer, dict[bytes, bytes]]] = {}
 
 
-def _word_ids(tokenizer_file: str, words: set[bytes]) -> dict[bytes, bytes]:
-    """Ids of words as little-endian bytes; a word is encoded once per worker while the table has room.
+class WordTable:
+    """Ids of words as little-endian bytes.
 
     The tokenizer drops white space and no rule of it looks across ASCII white space, so a text's ids
-    are those of its words in order.
+    are those of its words in order.  Words are encoded once while the table knows them: those met
+    lately stay, and the others go, so a worker's memory doesn't grow with the corpus.
     """
-    if tokenizer_file not in _WORDS or len(_WORDS[tokenizer_file][1]) > TABLE_ENTRIES:
-        known = _WORDS.get(tokenizer_file)
-        _WORDS[tokenizer_file] = (known[0] if known else Tokenizer.from_file(tokenizer_file), {})
-    tokenizer, table = _WORDS[tokenizer_file]
-    missing = [w for w in words if w not in table]
-    for start in range(0, len(missing), 20_000):
-        part = missing[start:start + 20_000]
-        for word, e in zip(part, tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-            table[word] = b"".join([i.to_bytes(4, "little") for i in e.ids])
-    return table
+
+    def __init__(self, tokenizer_file: str, entries: int = TABLE_ENTRIES) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.tokenizer, self.entries = Tokenizer.from_file(tokenizer_file), entries
+        self.newer: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def ids_of(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """A table that holds the ids of these words."""
+        if len(self.newer) > self.entries:
+            self.newer, self.older = {}, self.newer
+        missing = []
+        for word in words:
+            if word not in self.newer:
+                if word in self.older:
+                    self.newer[word] = self.older[word]
+                else:
+                    missing.append(word)
+        for start in range(0, len(missing), 2_000):
+            part = missing[start:start + 2_000]
+            for word, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+                self.newer[word] = b"".join([i.to_bytes(4, "little") for i in e.ids])
+        return self.newer
 
 
 def cut_pieces(docs: DataFrame, tokenizer_file: str, capacity: int, end_id: int) -> DataFrame:
     """Ids of each whole text and ``end_id``, cut into pieces of ``capacity`` ids and a rest."""
     schema = T.StructType([id_field(docs), *[T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens")]])
-    last = end_id.to_bytes(4, "little")
+    last, name = end_id.to_bytes(4, "little"), f"words of {tokenizer_file}"
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         split = [t.encode("utf-8").split() for t in texts_of(batch)]
         distinct = set().union(*split)
-        table = _word_ids(tokenizer_file, distinct)
+        table = worker_table(name, lambda: WordTable(tokenizer_file)).ids_of(distinct)
         rows, starts, lengths, sums, totals = [], [], [], [], []
         for i, words in enumerate(split):
             ids = b"".join(map(table.__getitem__, words)) + last
@@ -63,7 +79,7 @@ def cut_pieces(docs: DataFrame, tokenizer_file: str, capacity: int, end_id: int)
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *[pa.array(v, pa.int64()) for v in (starts, lengths, sums, totals)]],
                                           schema.names)
 
-    return map_texts(docs.select("doc_id", "text"), work, schema)
+    return map_texts(docs.select("doc_id", "text"), work, schema, SLICE_BYTES, name)
 
 
 def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:

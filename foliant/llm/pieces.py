@@ -8,7 +8,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
-from foliant.llm.common import id_field, map_texts, texts_of
+from foliant.llm.common import id_field, map_texts, texts_of, worker_table
 from foliant.llm.token_counts import MARK, cuts_at_marks, processor
 
 #: Chunks a worker keeps; beyond this the table starts anew.
@@ -58,9 +58,6 @@ class ChunkTable:
                 del self.ids[chunk], self.text[chunk]
 
 
-_TABLES: dict[str, ChunkTable] = {}
-
-
 def encode_decode(docs: DataFrame, model_file: str, digests: bool = True) -> DataFrame:
     """Ids of each whole text as the sentencepiece library gives them, and the text they decode to.
 
@@ -74,9 +71,10 @@ def encode_decode(docs: DataFrame, model_file: str, digests: bool = True) -> Dat
     outputs = ([T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())] if digests else
                [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
     schema = T.StructType([id_field(docs), T.StructField("n_tokens", T.LongType()), *outputs])
+    name = f"chunks of {model_file}"
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        table = _TABLES.get(model_file) or _TABLES.setdefault(model_file, ChunkTable(model_file))
+        table = worker_table(name, lambda: ChunkTable(model_file))
         split = [table.chunks(t) for t in texts_of(batch)]
         distinct = set().union(*split)
         table.learn(distinct)
@@ -91,7 +89,7 @@ def encode_decode(docs: DataFrame, model_file: str, digests: bool = True) -> Dat
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string() if digests else pa.list_(pa.int32())),
                                            pa.array(decoded, pa.string())], schema.names)
 
-    return map_texts(docs.select("doc_id", "text"), work, schema)
+    return map_texts(docs.select("doc_id", "text"), work, schema, table=name)
 
 
 def _sha(text: str) -> str:

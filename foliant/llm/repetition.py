@@ -13,6 +13,8 @@ from foliant.llm.common import filter_texts, id_field, map_texts, texts_of
 
 WHITE = " \t\n\v\f\r"
 SYMBOLS = b"#*$%&|<>"
+#: UTF-8 bytes of text under one suffix array; a longer text has one of its own.
+SLICE_BYTES = 1 << 20
 
 
 class _Numbers(dict):
@@ -135,9 +137,9 @@ def repetition_rules(docs: DataFrame, **limits: int) -> DataFrame:
     gives no rows; a null id is carried along; columns other than doc_id and text are not read.
     """
     work, schema = _rules(docs, **limits)
-    return map_texts(docs.select("doc_id", "text"), work, schema)
+    return map_texts(docs.select("doc_id", "text"), work, schema, SLICE_BYTES)
 
 
 def keep_by_repetition(docs: DataFrame, **limits: int) -> DataFrame:
     """The rows of ``docs``, all columns, that ``repetition_rules`` keeps."""
-    return filter_texts(docs, _rules(docs, **limits)[0], "kept")
+    return filter_texts(docs, _rules(docs, **limits)[0], "kept", SLICE_BYTES)

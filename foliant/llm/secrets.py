@@ -12,7 +12,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
-from foliant.llm.common import id_field, map_texts, texts_of
+from foliant.llm.common import give_up_tables, id_field, map_texts, slices, texts_of
 
 # Keywords and public token formats.
 ASSIGN_WORDS = ["password", "passwd", "secret", "token", "apikey", "api_key"]
@@ -122,8 +122,9 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        for batch in batches:
-            texts = [None if t is None else redact(t, find_spans(t)) for t in batch.column(at).to_pylist()]
-            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+        give_up_tables()
+        for part in (x for batch in batches for x in slices(batch, at)):
+            texts = [None if t is None else redact(t, find_spans(t)) for t in part.column(at).to_pylist()]
+            yield part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
 
     return docs.mapInArrow(run, docs.schema)

@@ -247,6 +247,16 @@ def test_packing(docs, texts, empty):
     assert packing.pack_documents(empty, WORDS).count() == 0
 
 
+def test_words_that_leave_the_table_are_encoded_again():
+    table, plain = packing.WordTable(WORDS, entries=3), Tokenizer.from_file(WORDS)
+    for words in ({b"alpha", b"beta,"}, {b"alpha", b"gamma", b"x", b"yy"}, {b"delta"}, {b"alpha", b"beta,", b"x"}):
+        found = table.ids_of(words)
+        for word in words:
+            ids = plain.encode(word.decode(), add_special_tokens=False).ids
+            assert found[word] == b"".join(i.to_bytes(4, "little") for i in ids)
+        assert len(table.newer) <= 3 + len(words) and len(table.older) <= 3 + 4
+
+
 def test_shortest_pack_first_places_all():
     rnd = random.Random(2)
     histogram = {rnd.randint(1, 100): rnd.randint(1, 50) for _ in range(60)}

@@ -227,6 +227,30 @@ def test_licences(spark, empty):
     assert licenses.scan_licences(empty.select(F.col("doc_id").alias("file"), F.lit("a/b").alias("path"), "text")).count() == 0
 
 
+def test_licences_of_headers_and_whole_texts(spark):
+    whole = {k: text for k, text, _ in licenses.templates_of() if len(text) > 600 and "\n" in text}
+    gpl = ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by",
+           "the Free Software Foundation, either version 3 of the License, or", "(at your option) any later version."]
+    mpl = ["This Source Code Form is subject to the terms of the Mozilla Public", "License, v. 2.0. If a copy of the MPL was not distributed with this",
+           "file, You can obtain one at http://mozilla.org/MPL/2.0/."]
+    code = "\n".join(f"value{k} = compute(other{k}, {k})" for k in range(300))
+    comment = lambda lines, mark: "\n".join(f"{mark} {x}" for x in lines)
+    body = lambda k: "\n".join(whole[k].split("\n")[2:]).replace("<year> <copyright holders>", "2019 Jane Roe and others").replace("<year> <owner>", "2007, Acme Ltd")
+    texts = [("SPDX-License-Identifier: MIT", "MIT"), ("// SPDX-License-Identifier: Apache-2.0\n" + code, "Apache-2.0"),
+             ("/* SPDX-License-Identifier: GPL-2.0-or-later */", "GPL-2.0"), ("# SPDX-License-Identifier: MIT OR Apache-2.0", "MIT OR Apache-2.0"),
+             ("<!-- SPDX-License-Identifier: isc and so on -->", "ISC"),
+             (comment(gpl, "#") + "\n" + code, "GPL-3.0"), (comment(mpl, " *") + "\n" + code, "MPL-2.0"), (code + "\n" + comment(mpl, "//"), "MPL-2.0"),
+             ("The MIT License (MIT)", "MIT"), (body("MIT"), "MIT"), (comment(body("BSD-3-Clause").split("\n"), "#") + "\n" + code, "BSD-3-Clause"),
+             (body("BSD-2-Clause"), "BSD-2-Clause"), (code + "\n" + body("Apache-2.0"), "Apache-2.0"), (code, None), ("Released under the Zlib License.", None),
+             ("All about copyright and the licence to print money.", None), ("Licensed under the GNU Affero General Public License,\nversion 3.", "AGPL-3.0"),
+             ("Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0")]
+    texts += [(text, k) for k, text in whole.items()]
+    rows = [(i, f"d{i}/{'LICENSE' if i % 2 else 'a.py'}", text) for i, (text, _) in enumerate(texts)] + [(1000 + i, f"d{i}/sub/x.py", "plain") for i in range(1, len(texts), 2)]
+    got = {r["file"]: (r["licence"], r["origin"]) for r in licenses.scan_licences(spark.createDataFrame(rows, "file long, path string, text string")).collect()}
+    assert [got[i][0] for i in range(len(texts))] == [k for _, k in texts]
+    assert all(got[1000 + i] == (texts[i][1], "inherited" if texts[i][1] else None) for i in range(1, len(texts), 2))
+
+
 def test_packing(docs, texts, empty):
     tokenizer = Tokenizer.from_file(WORDS)
     rows = packing.pack_documents(docs, WORDS).collect()

@@ -20,6 +20,8 @@ SAMPLE_ROWS = 8000
 FEATURES = 4096
 #: Words a worker keeps the features of; beyond this the table starts anew.
 TABLE_ENTRIES = 500_000
+#: Words of a window that is judged by itself, and words from one window to the next.
+WINDOW, STEP = 100, 50
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -53,22 +55,49 @@ class _Table(dict):
         return found
 
 
-def _vector(words: list[str], table: _Table) -> tuple[list[int], list[float]]:
-    """Places and values of a text's features: the logarithm of how often each comes in a hundred words."""
+def window_counts(words: list[str], table: _Table) -> tuple[Counter[int], list[Counter[int]], bool]:
+    """How often each feature comes in the whole text, and in each window that has any; and whether a window has none."""
     if len(table) > TABLE_ENTRIES:
         table.clear()
-    counts = Counter([f for w in words for f in table[w]])
-    return list(counts), [math.log1p(400 * c / len(words)) for c in counts.values()]
+    n = len(words)
+    hits = [(i, p) for i, w in enumerate(words) for p in table[w]]
+    whole = Counter(p for _, p in hits)
+    if n <= WINDOW:
+        return whole, [], False
+    regular = (n - WINDOW) // STEP  # windows 0 to this one start at multiples of STEP; the last one ends with the text
+    inside: dict[int, Counter[int]] = {}
+    for i, p in hits:
+        for k in range(max(0, (i - WINDOW) // STEP + 1), min(i // STEP, regular) + 1):
+            inside.setdefault(k, Counter())[p] += 1
+        if i >= n - WINDOW:
+            inside.setdefault(regular + 1, Counter())[p] += 1
+    return whole, list(inside.values()), len(inside) < regular + 2
+
+
+def _values(counts: Counter[int], size: int) -> list[float]:
+    """The logarithm of how often each feature comes in a hundred words."""
+    return [math.log1p(400 * c / size) for c in counts.values()]
+
+
+def highest_score(words: list[str], table: _Table, weights: np.ndarray) -> float:
+    """The highest score of the whole text and of its windows.
+
+    Severity rises with the score, so this is the score of the highest expected severity.
+    """
+    whole, windows, bare = window_counts(words, table)
+    score = lambda counts, size: sum(weights[p] * v for p, v in zip(counts, _values(counts, size), strict=True))
+    return float(max([score(whole, len(words)), *(score(c, WINDOW) for c in windows), *([0.0] if bare else [])]))
 
 
 def fit_ordinal(rows: np.ndarray, places: np.ndarray, values: np.ndarray, grades: np.ndarray, n_features: int,
-                penalty: float = 0.002, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
+                penalty: float = 0.002, steps: int = 400, documents: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of a cumulative-link model by full-batch Adam; entries (row, place, value) are sparse.
 
     P(grade > k) = 1 / (1 + exp(threshold_k - score)), so the loss is that of one logistic regression
     for each threshold over the same weights.  Later thresholds are the first plus positive steps.
+    Losses are divided by ``documents``, of which rows may be parts.
     """
-    levels, n = int(grades.max()), len(grades)
+    levels, n, size = int(grades.max()), len(grades), documents or len(grades)
     target = (grades[:, None] > np.arange(levels)[None, :]).astype(float)
     x = np.zeros(n_features + levels)
     x[n_features] = 1.0
@@ -79,8 +108,8 @@ def fit_ordinal(rows: np.ndarray, places: np.ndarray, values: np.ndarray, grades
         scores = np.bincount(rows, values * x[places], n)
         error = 1 / (1 + np.exp(np.clip(thresholds[None, :] - scores[:, None], -500, 500))) - target
         slope = np.zeros_like(x)
-        slope[:n_features] = np.bincount(places, values * error.sum(1)[rows], n_features) / n + penalty * x[:n_features]
-        down = -error.sum(0) / n
+        slope[:n_features] = np.bincount(places, values * error.sum(1)[rows], n_features) / size + penalty * x[:n_features]
+        down = -error.sum(0) / size
         slope[n_features] = down.sum()
         slope[n_features + 1:] = gaps * down[::-1].cumsum()[::-1][1:]
         first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
@@ -92,7 +121,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
     """Fit on labelled documents (label ``toxic`` 0 or 1).
 
     Features are the words and word beginnings whose document counts differ most between the labels
-    (log-likelihood ratio over the labelled sample), in one of a hundred toxic documents at least.  Clean documents have grade 0; toxic ones grade 1
+    (log-likelihood ratio over the labelled sample), however rare; the penalty keeps the weights of rare ones small.
+    Clean documents have grade 0, as have their windows; toxic ones grade 1
     to ``grades`` by how much of them consists of features that toxic documents have ten times as often.
     At most ``sample_rows`` labelled documents and ``n_features`` features reach the driver.
     """
@@ -114,7 +144,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
     t, c = float(sizes["t"]), float(sizes["c"])
     found = map_texts(sample.select("doc_id", "text", "toxic"), count, counted).groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
     gain = F.expr(f"a * ln((a + 0.5) * {c} / ((b + 0.5) * {t}))")
-    found = found.where(f"a >= {max(3.0, t / 100)} and a * {c} > 3 * b * {t}").orderBy(gain.desc(), "feature").limit(n_features).collect()
+    found = found.where(f"a * {c} > 3 * b * {t}").orderBy(gain.desc(), "feature").limit(n_features).collect()
     features = {r["feature"]: i for i, r in enumerate(found)}
     strong = {features[r["feature"]] for r in found if r["a"] * c > 10 * r["b"] * t}
     entry = T.StructType([T.StructField("label", T.LongType()), T.StructField("places", T.ArrayType(T.LongType())),
@@ -124,13 +154,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
         table, rows = _Table(features), []
         for text, label in zip(texts_of(batch), batch.column(2).to_pylist(), strict=True):
             words = _WORD.findall(text.lower())
-            places, values = _vector(words, table)
+            whole, windows, _ = window_counts(words, table)
             share = sum(any(p in strong for p in table[w]) for w in words) / max(1, len(words))
-            rows.append((int(label > 0), places, values, share))
+            rows.append((int(label > 0), list(whole), _values(whole, len(words)), share))
+            if label <= 0:
+                alike = {tuple(sorted(c.items())): c for c in windows}
+                rows.extend((-1, list(c), _values(c, WINDOW), 0.0) for c in alike.values())
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(
             (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.float64()))], entry.names)
 
-    seen = map_texts(sample.select("doc_id", "text", "toxic"), vectors, entry).collect()  # at most sample_rows, features of the model only
+    seen = map_texts(sample.select("doc_id", "text", "toxic"), vectors, entry).collect()  # at most sample_rows and the unlike windows of the clean ones, features of the model only
     label, share = np.array([r["label"] for r in seen]), np.array([r["share"] for r in seen])
     grade = np.zeros(len(seen), np.int64)
     bounds = np.quantile(share[label == 1], np.arange(1, grades) / grades)
@@ -138,7 +171,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
     rows = np.repeat(np.arange(len(seen)), [len(r["places"]) for r in seen])
     places = np.array([p for r in seen for p in r["places"]], np.int64)
     values = np.array([v for r in seen for v in r["values"]])
-    weights, thresholds = fit_ordinal(rows, places, values, grade, max(1, len(features)))
+    weights, thresholds = fit_ordinal(rows, places, values, grade, max(1, len(features)), documents=int((label >= 0).sum()))
     return Model(features, weights, thresholds)
 
 
@@ -148,11 +181,7 @@ def _judge(docs: DataFrame, model: Model, limit: float) -> tuple[Callable[[pa.Re
     table = _Table(model.features)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        scores = []
-        for text in texts_of(batch):
-            places, values = _vector(_WORD.findall(text.lower()), table)
-            scores.append(sum(model.weights[p] * v for p, v in zip(places, values, strict=True)))
-        scores = np.array(scores, np.float64)
+        scores = np.array([highest_score(_WORD.findall(text.lower()), table, model.weights) for text in texts_of(batch)], np.float64)
         above = model.above(scores)
         severity = above.sum(1)
         toxic = severity >= limit
@@ -169,6 +198,9 @@ SEVERITY_LIMIT = 0.3
 def toxicity_scores(docs: DataFrame, model: Model, limit: float = SEVERITY_LIMIT) -> DataFrame:
     """Score, expected severity (the sum of the chances to lie above each threshold), most fitting grade and verdict of each whole text.
 
+    The whole text and all its windows of ``WINDOW`` words are scored and the highest score counts, so a
+    toxic passage weighs as much in a long text as alone.
+
     A null or empty text has no features and score 0; repeated rows are judged one by one; an empty
     table gives no rows; a null id is carried along; columns other than doc_id and text are not read.
     A model fitted without toxic or without clean labels calls nothing toxic.

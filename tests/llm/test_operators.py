@@ -197,6 +197,32 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.toxicity_scores(docs, none).where("toxic").count() == 0
 
 
+def test_toxic_passages_of_long_texts_and_rare_words(spark):
+    rnd = random.Random(6)
+    words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(200)]
+    plain = lambda n: [rnd.choice(words) for _ in range(n)]
+    mixed = lambda n: rnd.sample(plain(n) + ["nasty", "vilest", "awful", "nasty"], n + 4)
+    rows = [(i, " ".join(mixed(60) + ["grim"] * (i in (4, 8)) if i % 4 == 0 else plain(rnd.choice([60, 400]))), int(i % 4 == 0)) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit_toxicity(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert model.weights[model.features["grim"]] > 0
+    before = [0, 1, 49, 500, 1000, 5000]
+    texts = [plain(n) + mixed(60) + plain(m) for n in before for m in before] + [plain(n) for n in (1, 99, 100, 101, 149, 150, 151, 3000)]
+    long = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in toxicity.toxicity_scores(long, model).collect()}
+    assert [got[i]["toxic"] for i in range(len(texts))] == [True] * 36 + [False] * 8
+    table = toxicity._Table(model.features)
+    for i, text in enumerate(texts):
+        n, size = len(text), toxicity.WINDOW
+        starts = [*range(0, n - size + 1, toxicity.STEP), n - size] if n > size else []
+        scores = []
+        for part in [text, *(text[k:k + size] for k in starts)]:
+            counts = Counter(p for w in part for p in table[w])
+            scores.append(sum(model.weights[p] * np.log1p(400 * c / len(part)) for p, c in counts.items()))
+        assert got[i]["score"] == pytest.approx(max(scores))
+    assert {r["doc_id"] for r in toxicity.keep_by_toxicity(long, model).collect()} == set(range(36, 44))
+
+
 @pytest.mark.parametrize("size", [3, 16384])
 def test_token_counts(docs, texts, empty, size):
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)

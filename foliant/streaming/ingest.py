@@ -209,10 +209,11 @@ def register_documents(store: IngestStore, documents: DataFrame) -> None:
 
 
 def process_batch(raw: DataFrame, batch_id: int, store: IngestStore, texts: DataFrame, guard: Callable[[DataFrame], DataFrame],
-                  embedder: Embedder, provider: str, model: str, options: Options = DEFAULTS) -> None:
+                  embedder: Embedder, provider: str, model: str, options: Options = DEFAULTS, access: DataFrame | None = None) -> None:
     """One micro-batch from messages to index.
 
-    ``texts``: doc_id, text; ``guard``: documents (doc_id, text) to verdicts (doc_id, should_continue, error_message).
+    ``access``: doc_id, collection_ids, allowed_group_ids (arrays of strings, a row per document); both are empty
+    without it.  ``texts``: doc_id, text; ``guard``: documents (doc_id, text) to verdicts (doc_id, should_continue, error_message).
     The clock is the newest queue time of the batch, so a replay decides alike.
     """
     raw = cut_lineage(raw)
@@ -246,14 +247,25 @@ def process_batch(raw: DataFrame, batch_id: int, store: IngestStore, texts: Data
     released = [F.lit(None).cast("string").alias("lock_id"), F.lit(None).cast("timestamp").alias("lock_expires")]
     after = done.unionByName(failed).select("*", *released).select(*STATE)
     store.write("chunks", chunks, batch_id)
-    store.write("points", index_points(chunks, vectors, provider, model, options), batch_id)
+    named = [F.lit(provider).alias("provider"), F.lit(model).alias("model")]
+    points = index_points(chunks, vectors, provider, model, options).select("*", *named)
+    nobody = F.array().cast("array<string>")
+    if access is None:
+        points = points.withColumns({"collection_ids": nobody, "allowed_group_ids": nobody})
+    else:
+        lists = {c: F.coalesce(c, nobody) for c in ("collection_ids", "allowed_group_ids")}
+        points = points.join(access.select("doc_id", *lists), "doc_id", "left").withColumns(lists)
+    store.write("vectors", chunks.select("doc_id", "chunk_index", "chunk_id").join(vectors.where(F.size("vector") > 0), ["doc_id", "chunk_index"]).select(
+        "doc_id", "chunk_id", *named, "vector"), batch_id)
+    store.write("points", points, batch_id)
     store.write("progress", ingest_progress(chunks, vectors, after.withColumn("processing_stage", F.lit(None).cast("string"))), batch_id)
     store.write("documents", after, batch_id)  # last: a batch counts once its state is there
 
 
 def start_ingestion(spark: SparkSession, source: str, store: IngestStore, texts: DataFrame, guard: Callable[[DataFrame], DataFrame],
-                    embedder: Embedder, provider: str, model: str, options: Options = DEFAULTS, max_files: int = 1000) -> StreamingQuery:
+                    embedder: Embedder, provider: str, model: str, options: Options = DEFAULTS, max_files: int = 1000,
+                    access: DataFrame | None = None) -> StreamingQuery:
     """Start the job over a folder of JSON-line files; it ends when the folder is drained."""
     stream = spark.readStream.format("text").option("maxFilesPerTrigger", max_files).load(source)
-    return (stream.writeStream.foreachBatch(lambda df, n: process_batch(df, n, store, texts, guard, embedder, provider, model, options))
+    return (stream.writeStream.foreachBatch(lambda df, n: process_batch(df, n, store, texts, guard, embedder, provider, model, options, access))
             .option("checkpointLocation", f"{store.path}/_stream").trigger(availableNow=True).start())

@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from foliant.operators import retrieval
 from foliant.sources import files as fl, index as ix
 from foliant.streaming import ingest as ing
 
@@ -58,3 +59,24 @@ def test_stream_replays_to_the_same_state(spark, tmp_path):
     (source / "two.json").write_text("\n".join(json.dumps({**j, "QueuedAtUtc": "2024-01-02T00:00:00Z"}) for j in jobs) + "\n")
     again = run()
     assert again[1] == state[1] and again[3] == state[3] and again[2][1] == 2 and again[4][1] == 2
+
+
+def test_streamed_documents_are_found_by_vectors(spark, tmp_path):
+    job = {"DocumentId": 1, "UserId": 1, "FileName": "f1", "DocumentType": "Txt", "QueuedAtUtc": "2024-01-01T00:00:00Z"}
+    (tmp_path / "one.json").write_text("\n".join(json.dumps({**job, "DocumentId": d}) for d in (1, 2)) + "\n")
+    texts = spark.createDataFrame([(1, "Ett dokument om vatten. " * 30), (2, "Ett annat om el. " * 30)], "doc_id bigint, text string")
+    access = spark.createDataFrame([(1, ["c1", "c2"], ["g1"])], "doc_id bigint, collection_ids array<string>, allowed_group_ids array<string>")
+    store = ing.IngestStore(spark, str(tmp_path / "store"))
+    ing.register_documents(store, spark.createDataFrame([(d, "Dok", "Txt", "f", "Queued") for d in (1, 2)],
+                                                        "doc_id bigint, title string, document_type string, file_name string, status string"))
+    passed = lambda docs: docs.select("doc_id", F.lit(True).alias("should_continue"), F.lit(None).cast("string").alias("error_message"))
+    ing.process_batch(spark.read.text(str(tmp_path / "one.json")), 0, store, texts, passed, ing.hashing_embedder(8), "acme", "small", access=access)
+    points = store.latest("points")
+    asked = points.where("doc_id = 1").limit(1).select(F.lit(7).alias("query_id"), "provider", "model", F.col("vector").alias("query_vector"))
+    scope = spark.createDataFrame([(7, 1), (7, 2)], "query_id int, doc_id bigint")
+    assert [x.doc_id for x in retrieval.vector_topk(points, scope, asked, 1).collect()] == [1]
+    member = spark.createDataFrame([(7, "c2")], "query_id int, collection_id string")
+    assert {x.doc_id for x in retrieval.vector_topk_collections(points, member, asked, 5).collect()} == {1}
+    chunks = store.latest("chunks").select("chunk_id", "doc_id", "chunk_index", F.lit(None).cast("int").alias("page_number"))
+    found = retrieval.exact_scan(scope, store.latest("documents"), chunks, store.latest("vectors").drop("doc_id", "batch_id"), asked)
+    assert {x.doc_id for x in found.collect()} == {1, 2}

@@ -11,11 +11,16 @@ from foliant.llm.jaccard import jaccard_components
 def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, without the near-duplicates of an earlier id.
 
-    Of rows with one id, and of rows without an id and with one text, one stays.
+    Where ids repeat or are missing, rows are told apart by their place in the order of ids (null ids
+    last), so a row goes only if its own text belongs to a group with an earlier row; of rows with one
+    id and one text, or without an id and with one text, one stays.
     """
-    found = stage(jaccard_components(docs))
-    kept = docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti")
-    repeated = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    if repeated.isEmpty():
-        return kept.select(*docs.columns)
-    return kept.withColumn("_same", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).dropDuplicates(["doc_id", "_same"]).select(*docs.columns)
+    if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").isEmpty():
+        found = stage(jaccard_components(docs))
+        return docs.join(found.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    placed = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
+    rows = stage(placed.withColumn("_row", F.monotonically_increasing_id()))
+    found = stage(jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text")))
+    first = rows.groupBy("doc_id", F.xxhash64("text"), F.octet_length("text"), F.crc32("text")).agg(F.min("_row").alias("_row")).select("_row")
+    kept = rows.join(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_row")), "_row", "left_anti")
+    return kept.join(first, "_row", "left_semi").select(*docs.columns)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from foliant.llm import jaccard, licenses, packing, pieces, repetition, secrets, sharding, token_counts, toxicity, vector_dedup
+from foliant.llm import dedup_stage, jaccard, licenses, packing, pieces, repetition, secrets, sharding, token_counts, toxicity, vector_dedup
 
 PIECES, WORDS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
 MARK = token_counts.MARK
@@ -177,6 +177,16 @@ def test_jaccard_chains_of_copies(spark):
     assert [got[i] for i in range(len(texts))] == _brute_components(texts)[1]
 
 
+def test_repeated_and_missing_ids_lose_no_text(spark):
+    words = lambda k: " ".join(f"v{k}x{i}" for i in range(60))
+    rows = [(1, words(1)), (1, words(2)), (2, words(1) + " tail"), (2, words(3)), (None, words(4)), (None, words(4)), (None, words(3) + " tail"),
+            (None, words(5) + " tail"), (None, words(5)), (None, words(6)), (3, ""), (3, ""), (4, ""), (5, None), (None, None)]
+    kept = dedup_stage.keep_one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = Counter((r["doc_id"], r["text"]) for r in kept)
+    five = next(t for i, t in got if t and t.startswith("v5x"))
+    assert got == Counter([(1, words(1)), (1, words(2)), (2, words(3)), (None, words(4)), (None, five), (None, words(6)), (3, ""), (4, ""), (5, None), (None, None)])
+
+
 def test_toxicity(spark, docs, empty):
     rnd = random.Random(4)
     words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(200)]

@@ -281,8 +281,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
 
     A null text, and one without words, has an empty set and links with nothing; rows of one id count as
     one document; a null id joins the component of its copies and is null without any; an empty table
-    gives no rows; columns other than doc_id and text are not read.
+    gives no rows; columns other than doc_id and text are not read.  The fragments are laid out for a
+    ``percent`` of 80 to 100; others are an error.
     """
+    if not 80 <= percent <= 100:
+        raise ValueError("percent must be 80 to 100: below, pairs share fewer fragments than are asked for")
     rows = stage(_signature_rows(docs, n, percent))
     classes = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
     first = rows.join(classes.select("digest", F.col("node").alias("doc_id")), ["digest", "doc_id"])

@@ -177,6 +177,12 @@ def test_jaccard_chains_of_copies(spark):
     assert [got[i] for i in range(len(texts))] == _brute_components(texts)[1]
 
 
+@pytest.mark.parametrize("percent", [60, 79, 101])
+def test_jaccard_refuses_what_it_cannot_hold(empty, percent):
+    with pytest.raises(ValueError, match="80 to 100"):
+        jaccard.jaccard_components(empty, percent=percent)
+
+
 def test_repeated_and_missing_ids_lose_no_text(spark):
     words = lambda k: " ".join(f"v{k}x{i}" for i in range(60))
     rows = [(1, words(1)), (1, words(2)), (2, words(1) + " tail"), (2, words(3)), (None, words(4)), (None, words(4)), (None, words(3) + " tail"),

@@ -7,8 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from foliant.llm.collocations import mine_collocations
 from foliant.llm.jaccard import jaccard_components
 from foliant.llm.licenses import scan_licences
+from foliant.llm.oracles import COLLOCATIONS
 from foliant.llm.packing import pack_documents
 from foliant.llm.pieces import encode_decode
 from foliant.llm.repetition import repetition_rules
@@ -54,7 +56,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licences": _licences,
     "op9_packing": lambda spark, d: pack_documents(_documents(spark, d), WORDS),
     "op10_secrets": lambda spark, d: scan_secrets(_documents(spark, d)),
+    "op12_collocations": lambda spark, d: mine_collocations(_documents(spark, d)),
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op12_collocations": COLLOCATIONS}

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from foliant.llm.collocations import mine_collocations
 from foliant.llm.jaccard import jaccard_components
 from foliant.llm.licenses import scan_licences
-from foliant.llm.oracles import COLLOCATIONS
+from foliant.llm.oracles import COLLOCATIONS, VECTOR_TOPK
 from foliant.llm.packing import pack_documents
 from foliant.llm.pieces import encode_decode
 from foliant.llm.repetition import repetition_rules
@@ -19,6 +19,8 @@ from foliant.llm.sharding import shard_documents
 from foliant.llm.token_counts import count_tokens
 from foliant.llm.toxicity import fit_toxicity, toxicity_scores
 from foliant.llm.vector_dedup import near_duplicate_vectors
+from foliant.llm.vector_topk import top_vectors
+from foliant.llm.whitening import whiten
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -45,6 +47,11 @@ def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(docs, fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def _vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return top_vectors(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repetition_rules": lambda spark, d: repetition_rules(_documents(spark, d)),
     "op2_splitter_shards": lambda spark, d: shard_documents(_documents(spark, d)),
@@ -56,8 +63,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licences": _licences,
     "op9_packing": lambda spark, d: pack_documents(_documents(spark, d), WORDS),
     "op10_secrets": lambda spark, d: scan_secrets(_documents(spark, d)),
+    "op11_vector_topk": _vector_topk,
     "op12_collocations": lambda spark, d: mine_collocations(_documents(spark, d)),
+    "op13_whitening": lambda spark, d: whiten(spark.read.parquet(f"{d}/embeddings.parquet")),
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-SQL: dict[str, str] = {"op12_collocations": COLLOCATIONS}
+SQL: dict[str, str] = {"op11_vector_topk": VECTOR_TOPK, "op12_collocations": COLLOCATIONS}

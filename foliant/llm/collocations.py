@@ -235,7 +235,7 @@ def _first_rows(rows: DataFrame, keep: int) -> DataFrame:
     salts = max(1, math.ceil(rows.count() / SORT_ROWS))
     while salts > 1:
         rows = top_per_group(rows.withColumn("_salt", F.pmod(F.xxhash64("phrase", F.lit(salts)), F.lit(salts))), ["lang", "_salt"], order, keep).drop("_salt", "rank")
-        salts = math.ceil(salts * keep / SORT_ROWS)
+        salts = min(salts // 2, math.ceil(salts * keep / SORT_ROWS))
     return top_per_group(rows, ["lang"], order, keep)
 
 

@@ -15,8 +15,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from foliant.functions import intents, text, vectors as vec
+from foliant.functions import intents, text
 from foliant.options import DEFAULTS, Options
+from foliant.plans.blocks import blocked_cosines
 from foliant.plans.ranking import bucketed_rank, top_per_group
 from foliant.session import cut_lineage
 
@@ -50,53 +51,58 @@ def ready_scope(scope: DataFrame, docs: DataFrame) -> DataFrame:
     return scope.join(docs.where(F.col("status") == "Ready").select("doc_id"), "doc_id", "left_semi")
 
 
-def prepared_queries(query_vectors: DataFrame) -> DataFrame:
-    """Question vectors with their length computed once."""
-    return (query_vectors.where(F.size("query_vector") > 0)
-            .select("query_id", F.col("provider").alias("q_provider"), F.col("model").alias("q_model"),
-                    "query_vector", vec.norm("query_vector").alias("q_norm")))
+def space(provider: Column | str, model: Column | str, vector: str) -> Column:
+    """Vectors are compared inside a space: one provider, one model, one length."""
+    return F.to_json(F.struct(text.col(provider).alias("p"), text.col(model).alias("m"), F.size(vector).alias("d")))
+
+
+def _asked(query_vectors: DataFrame, *providers: Column) -> DataFrame:
+    """Question vectors with the spaces they look into."""
+    filled = query_vectors.where((F.size("query_vector") > 0) & F.col("provider").isNotNull() & F.col("model").isNotNull())
+    looked = filled.withColumn("_provider", F.explode(F.array_distinct(F.array(*providers))))
+    return looked.select("query_id", space("_provider", "model", "query_vector").alias("space"), "query_vector")
 
 
 # ── similarity ────────────────────────────────────────────────────────────────
 
 
-def embedding_candidates(scope: DataFrame, docs: DataFrame, chunks: DataFrame, vectors: DataFrame,
-                         query_vectors: DataFrame) -> DataFrame:
-    """Question and chunk vectors that may be compared: same model, provider equal or
-    unnamed, Ready document in scope, same dimension."""
-    asked = ready_scope(scope, docs).join(prepared_queries(query_vectors), "query_id")
-    stored = (vectors.withColumn("norm", vec.norm("vector"))
-              .join(chunks.select("chunk_id", "doc_id", "chunk_index", "page_number"), "chunk_id"))
-    return (stored.join(asked, (stored.doc_id == asked.doc_id) & (stored.model == asked.q_model)
-                        & ((stored.provider == "") | (stored.provider == asked.q_provider))
-                        & (F.size(stored.vector) == F.size(asked.query_vector)))
-            .drop(asked.doc_id))
+def _stored(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+    return (vectors.join(chunks.select("chunk_id", "doc_id", "chunk_index", "page_number"), "chunk_id")
+            .select(space("provider", "model", "vector").alias("space"), F.col("doc_id").alias("key"), F.col("chunk_id").alias("point_id"),
+                    "doc_id", "chunk_index", "page_number", "vector"))
 
 
-def with_cosine(pairs: DataFrame) -> DataFrame:
-    return pairs.withColumn("score", vec.cosine_from(vec.dot("vector", "query_vector"), F.col("norm"),
-                                                     F.col("q_norm")))
+def embedding_candidates(scope: DataFrame, docs: DataFrame, chunks: DataFrame, vectors: DataFrame,
+                         query_vectors: DataFrame) -> DataFrame:
+    """Ids of the question and chunk vectors that may be compared: same model, provider equal or
+    unnamed, Ready document in scope, same dimension.  No vector meets another here."""
+    asked = ready_scope(scope, docs).join(_asked(query_vectors, F.col("provider"), F.lit("")).drop("query_vector"), "query_id")
+    return (_stored(chunks, vectors).drop("vector", "key").withColumnRenamed("point_id", "chunk_id").join(asked, ["space", "doc_id"])
+            .select("query_id", "chunk_id", "doc_id", "chunk_index", "page_number"))
 
 
 def exact_scan(scope: DataFrame, docs: DataFrame, chunks: DataFrame, vectors: DataFrame,
                query_vectors: DataFrame, keyword_hits: DataFrame | None = None,
                options: Options = DEFAULTS) -> DataFrame:
     """Score of every candidate, raised to the keyword score where an identifier occurs."""
-    scored = with_cosine(embedding_candidates(scope, docs, chunks, vectors, query_vectors)).select(*RANKING)
+    seen = ready_scope(scope, docs).select("query_id", F.col("doc_id").alias("key"))
+    scored = blocked_cosines(_stored(chunks, vectors), _asked(query_vectors, F.col("provider"), F.lit("")), seen,
+                             carry=["doc_id", "chunk_index", "page_number"]).withColumnRenamed("point_id", "chunk_id").select(*RANKING)
     return scored if keyword_hits is None else keyword_boost(scored, keyword_hits, options)
 
 
+def _best(points: DataFrame, query_vectors: DataFrame, scope: DataFrame, limit: int) -> DataFrame:
+    stored = points.select(space("provider", "model", "vector").alias("space"), "key", "point_id", "doc_id", "vector")
+    best = blocked_cosines(stored, _asked(query_vectors, F.col("provider")), scope, limit, 0.0, ["doc_id"])
+    return best.select("query_id", F.col("point_id").alias("chunk_id"), "doc_id", "score", "rank")
+
+
 def vector_topk(points: DataFrame, scope: DataFrame, query_vectors: DataFrame, limit: int) -> DataFrame:
     """Best ``limit`` index points per question inside its documents, negative scores left out.
 
     Output: query_id, chunk_id, doc_id, score, rank.
     """
-    asked = scope.join(prepared_queries(query_vectors), "query_id")
-    stored = points.withColumn("norm", vec.norm("vector"))
-    pairs = (stored.join(asked, (stored.doc_id == asked.doc_id) & (stored.provider == asked.q_provider)
-                         & (stored.model == asked.q_model)
-                         & (F.size(stored.vector) == F.size(asked.query_vector))).drop(asked.doc_id))
-    return _best(pairs, limit)
+    return _best(points.withColumn("key", F.col("doc_id")), query_vectors, scope.select("query_id", F.col("doc_id").alias("key")), limit)
 
 
 def vector_topk_collections(points: DataFrame, query_collections: DataFrame, query_vectors: DataFrame,
@@ -104,25 +110,13 @@ def vector_topk_collections(points: DataFrame, query_collections: DataFrame, que
     """Best points whose collections overlap the question's.
 
     Points are matched by their *set* of collections: the few distinct sets are
-    exploded and joined, so a point in several allowed collections still pairs
-    with a question once and nothing has to be de-duplicated afterwards.
+    exploded and joined, so a point in several allowed collections still meets
+    a question once and nothing has to be de-duplicated afterwards.
     """
-    marked = points.withColumn("_set", F.array_join(F.array_sort(F.array_distinct("collection_ids")), "\x1f"))
-    sets = (marked.where(F.size("collection_ids") > 0).select("_set", "collection_ids").distinct()
-            .select("_set", F.explode("collection_ids").alias("collection_id")))
-    allowed = query_collections.join(sets, "collection_id").select("query_id", "_set").distinct()
-    asked = allowed.join(prepared_queries(query_vectors), "query_id")
-    stored = marked.withColumn("norm", vec.norm("vector"))
-    pairs = stored.join(asked, (stored["_set"] == asked["_set"]) & (stored.provider == asked.q_provider)
-                        & (stored.model == asked.q_model)
-                        & (F.size(stored.vector) == F.size(asked.query_vector)))
-    return _best(pairs, limit)
-
-
-def _best(pairs: DataFrame, limit: int) -> DataFrame:
-    scored = (with_cosine(pairs).where(F.col("score") >= 0.0)
-              .select("query_id", F.col("point_id").alias("chunk_id"), "doc_id", "score"))
-    return top_per_group(scored, ["query_id"], by_score(), limit)
+    marked = points.where(F.size("collection_ids") > 0).withColumn("key", F.array_join(F.array_sort(F.array_distinct("collection_ids")), "\x1f"))
+    sets = marked.select("key", "collection_ids").distinct().select("key", F.explode("collection_ids").alias("collection_id"))
+    allowed = query_collections.join(sets, "collection_id").select("query_id", "key")
+    return _best(marked, query_vectors, allowed, limit)
 
 
 # ── keywords ──────────────────────────────────────────────────────────────────

@@ -5,13 +5,11 @@ points: index_name, point_id, doc_id, vector, collection_ids, allowed_group_ids,
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from foliant.functions.text import col, is_blank
 from foliant.options import DEFAULTS
-from foliant.session import cut_lineage
-
-BUCKETS = 256
 
 
 def index_name(provider: Column | str, model: Column | str, prefix: str = DEFAULTS.index_prefix) -> Column:
@@ -77,31 +75,101 @@ def index_payload_read(hits: DataFrame, column: str = "payload", id_type: str =
 
 
 # ── stored form ───────────────────────────────────────────────────────────────
+# A change V writes what it adds (points/version=V) and the documents whose older points it ends (ended/version=V);
+# a base V (bases/version=V) holds the whole index as of change V.  A row in changes/version=V or done/version=V, written
+# last, makes it count.  No file is ever rewritten: a base only spares its readers the changes before it.
+
+#: Bytes of points in a file of a base.
+FILE_BYTES = 128 << 20
+#: Changes after which a new base is due.
+CHANGES_PER_BASE = 16
+
+
+def _known(spark: SparkSession, path: str, table: str) -> DataFrame | None:
+    """Versions that count; None where nothing was written yet."""
+    try:
+        return spark.read.schema("ok boolean, version int").parquet(f"{path}/{table}").select("version")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _versions(spark: SparkSession, path: str) -> tuple[int | None, list[int]]:
+    """The newest base and the changes after it."""
+    done, changes = _known(spark, path, "done"), _known(spark, path, "changes")
+    base = None if done is None else done.agg(F.max("version").alias("v")).first()["v"]
+    if changes is not None and base is not None:
+        changes = changes.where(F.col("version") > base)
+    return base, [] if changes is None else sorted(r["version"] for r in changes.distinct().collect())
+
+
+def _write(df: DataFrame, path: str, table: str, version: int) -> None:
+    df.write.mode("overwrite").parquet(f"{path}/{table}/version={version}")
+
 
+def _count_in(spark: SparkSession, path: str, table: str, version: int) -> None:
+    _write(spark.range(1).select(F.lit(True).alias("ok")).coalesce(1), path, table, version)
 
-def _bucketed(points: DataFrame) -> DataFrame:
-    return points.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)))
+
+def _next(spark: SparkSession, path: str) -> int:
+    base, changes = _versions(spark, path)
+    return max([-1 if base is None else base, *changes]) + 1
+
+
+def change_points(spark: SparkSession, path: str, incoming: DataFrame, ended: DataFrame | None = None, version: int | None = None) -> int:
+    """One change: the older points of documents (index_name, doc_id) end, and the incoming ones are added.
+
+    Without ``ended`` the documents of the incoming points are re-indexed.  Only new files are written, in the
+    size of the change; the same version again overwrites itself, so a replayed batch counts once.
+    """
+    version = _next(spark, path) if version is None else version
+    ended = incoming if ended is None else ended
+    _write(incoming, path, "points", version)
+    _write(ended.select("index_name", "doc_id").distinct(), path, "ended", version)
+    _count_in(spark, path, "changes", version)
+    return version
 
 
 def load_points(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("bucket")
+    """The live points: of the newest base and the changes after it, without those that a later change ended."""
+    base, changes = _versions(spark, path)
+    parts = [] if base is None else [spark.read.parquet(f"{path}/bases/version={base}").withColumn("_version", F.lit(base))]
+    if changes:
+        added = spark.read.option("basePath", f"{path}/points").option("mergeSchema", True).parquet(*[f"{path}/points/version={v}" for v in changes])
+        parts.append(added.withColumnRenamed("version", "_version"))
+    if not parts:
+        raise ValueError(f"no index in {path}")
+    points = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
+    if changes:
+        ended = spark.read.option("basePath", f"{path}/ended").parquet(*[f"{path}/ended/version={v}" for v in changes])
+        last = ended.groupBy("index_name", "doc_id").agg(F.max("version").alias("_ended"))
+        points = points.join(last, ["index_name", "doc_id"], "left").where(F.col("_ended").isNull() | (F.col("_version") >= F.col("_ended"))).drop("_ended")
+    return points.drop("_version")
+
+
+def _write_base(points: DataFrame, path: str, version: int) -> None:
+    """Files of about FILE_BYTES, a document's points together: reads of few documents skip most row groups."""
+    size = points.agg(F.sum(F.size("vector").cast("long") * 4 + 400).alias("bytes")).first()["bytes"] or 0
+    files = max(1, -(-size // FILE_BYTES))
+    _write(points.repartition(files, "index_name", "doc_id").sortWithinPartitions("index_name", "doc_id"), path, "bases", version)
+    _count_in(points.sparkSession, path, "done", version)
 
 
 def save_points(points: DataFrame, path: str) -> None:
-    """Write a whole index, partitioned by index and document bucket."""
-    (_bucketed(points).repartition("index_name", "bucket").write.mode("overwrite")
-     .partitionBy("index_name", "bucket").parquet(path))
+    """Write a whole index; an older one in the same place ends."""
+    _write_base(points, path, _next(points.sparkSession, path))
 
 
-def replace_documents(spark: SparkSession, path: str, incoming: DataFrame) -> None:
-    """Re-index documents: drop their old points and add the new ones.
+def compact_points(spark: SparkSession, path: str, least_changes: int = CHANGES_PER_BASE) -> bool:
+    """Write a new base once there are so many changes; older files stay until someone removes them."""
+    _, changes = _versions(spark, path)
+    if len(changes) < max(1, least_changes):
+        return False
+    _write_base(load_points(spark, path), path, changes[-1])
+    return True
 
-    Only the partitions of those documents are read and rewritten.  The new
-    content is checkpointed before it replaces what it was read from.
-    """
-    new = _bucketed(incoming)
-    touched = new.select("index_name", "bucket").distinct()
-    old = spark.read.parquet(path).join(touched, ["index_name", "bucket"], "left_semi")
-    merged = index_delete_by_document(old, incoming.select("index_name", "doc_id").distinct()).unionByName(new, allowMissingColumns=True)
-    (cut_lineage(merged).repartition("index_name", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("index_name", "bucket").parquet(path))
+
+def replace_documents(spark: SparkSession, path: str, incoming: DataFrame) -> None:
+    """Re-index documents: their old points end and the new ones are added, in new files only."""
+    change_points(spark, path, incoming)

@@ -1,9 +1,12 @@
 """Document ingestion as a Structured Streaming job.
 
-Jobs arrive as JSON lines.  Each micro-batch claims documents, extracts,
-checks, chunks, embeds and indexes them.  Every table is written into a folder
-of its batch, overwritten when a batch is replayed, so a restart repeats a
-batch without doubling it; the latest batch of a document is its current state.
+Jobs arrive as JSON lines.  Locks, attempts and expiry are keyed state
+(``claims``); each micro-batch takes the claims that the state grants, extracts,
+checks, chunks, embeds and indexes their documents, and its outcomes flow back
+into the state.  Every table is written into a folder of its batch, overwritten
+when a batch is replayed, so a restart repeats a batch without doubling it; the
+latest batch of a document is its current state.  A document that the guard or
+the embedder fails on fails alone.
 """
 
 from __future__ import annotations
@@ -18,11 +21,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from foliant import vocab
 from foliant.functions import kinds, numbers, text
 from foliant.operators.chunking import chunk_router
 from foliant.options import DEFAULTS, Options
 from foliant.session import cut_lineage
-from foliant.sources.index import index_name, index_upsert, index_delete_by_document
+from foliant.sources.index import change_points, compact_points, index_delete_by_document, index_name, index_upsert, load_points
+from foliant.streaming.claims import EVENT, decisions, event
 
 JOB = ("DocumentId bigint, FileId bigint, StoredFileId bigint, UserId bigint, ConversationId bigint, FileName string, "
        "DocumentType string, Attempt int, QueuedAtUtc timestamp, _bad string")
@@ -95,21 +100,25 @@ def structured_ready(document_type: Column | str, extracted: Column | str, optio
 
 
 def ingest_transition(claimed: DataFrame, verdicts: DataFrame, chunk_counts: DataFrame, model_ready: Column | bool = True,
-                      options: Options = DEFAULTS) -> DataFrame:
+                      options: Options = DEFAULTS, failures: DataFrame | None = None) -> DataFrame:
     """Final state of claimed documents.
 
     ``claimed``: doc_id, document_type, has_file, extracted_text; ``verdicts``: doc_id,
-    should_continue, error_message; ``chunk_counts``: doc_id, chunks.
+    should_continue, error_message; ``chunk_counts``: doc_id, chunks; ``failures``: doc_id, failure, what went wrong in a stage.
+    A readable document without a verdict fails.
     """
     model_ready = model_ready if isinstance(model_ready, Column) else F.lit(model_ready)
     j = (claimed.join(verdicts.select("doc_id", "should_continue", F.col("error_message").alias("_reason")), "doc_id", "left")
          .join(chunk_counts, "doc_id", "left").withColumn("chunks", F.coalesce("chunks", F.lit(0))))
-    blank, stopped = text.is_blank("extracted_text"), ~F.coalesce("should_continue", F.lit(True))
-    error = (F.when(~F.col("has_file"), "Physical file not found on disk.")
-             .when(blank, "Document contains no readable text.")
-             .when(stopped, F.coalesce("_reason", F.lit("Document blocked by security policy.")))
-             .when(~model_ready, "No enabled embedding model configured."))
-    status = (F.when(~F.col("has_file") | blank, "Failed").when(stopped, "Blocked").when(~model_ready, "Failed").otherwise("Ready"))
+    j = j.withColumn("failure", F.lit(None).cast("string")) if failures is None else j.join(failures.select("doc_id", "failure"), "doc_id", "left")
+    blank, stopped = text.is_blank("extracted_text"), ~F.col("should_continue")
+    failure = F.coalesce("failure", F.when(F.col("should_continue").isNull(), vocab.VERDICT_MISSING))
+    error = (F.when(~F.col("has_file"), vocab.FILE_MISSING)
+             .when(blank, vocab.TEXT_MISSING)
+             .when(failure.isNotNull(), failure)
+             .when(stopped, F.coalesce("_reason", F.lit(vocab.GUARD_DEFAULT_REASON)))
+             .when(~model_ready, vocab.MODEL_MISSING))
+    status = (F.when(~F.col("has_file") | blank | failure.isNotNull(), "Failed").when(stopped, "Blocked").when(~model_ready, "Failed").otherwise("Ready"))
     j = j.withColumn("error_message", error).withColumn("status", status)
     ready = F.col("status") == "Ready"
     return j.select(
@@ -120,31 +129,114 @@ def ingest_transition(claimed: DataFrame, verdicts: DataFrame, chunk_counts: Dat
         F.when(ready, F.lit(100.0)).alias("progress_percent"))
 
 
+def stage_changes(outcomes: DataFrame) -> DataFrame:
+    """One row per stage a document went through, in order: step, status, stage, current, total, percent, error_message.
+
+    ``outcomes``: doc_id, has_file, readable, judged (the guard answered), passed (it let the document through), embedded, chunks,
+    status, error_message; further columns are carried along.
+    """
+    n, none = F.col("chunks"), F.lit(0).cast("bigint")
+
+    def row(when: Column, status: Column | str, stage: Column | str, current: Column, total: Column) -> Column:
+        put = lambda x: F.lit(x) if isinstance(x, str) else x
+        share = F.when(total > 0, numbers.half_even(current / total * 100, 1)).otherwise(F.lit(0.0))
+        return F.when(when, F.struct(put(status).alias("status"), put(stage).alias("stage"), current.cast("bigint").alias("current"),
+                                     total.cast("bigint").alias("total"), share.alias("percent")))
+
+    passed, embedded = F.col("passed"), F.col("passed") & F.col("embedded")
+    reached = F.when(embedded, "Indexing").when(passed, "Embedding").when(F.col("has_file"), "Extracting").otherwise(F.col("status"))
+    done, total = F.when(embedded, n).otherwise(none), F.when(passed, n).otherwise(none)
+    last = row(F.lit(True), F.col("status"), F.when(F.col("status") == "Ready", "Ready").otherwise(reached), done, total)
+    steps = F.array_compact(F.array(
+        row(F.col("has_file"), "Extracting", "Extracting", none, none), row(passed, "Chunking", "Chunking", none, none),
+        row(passed, "Embedding", "Embedding", none, n), row(embedded, "Indexing", "Indexing", n, n), last))
+    carried = [c for c in outcomes.columns if c not in ("status", "has_file", "judged", "passed", "embedded", "chunks", "error_message")]
+    rows = outcomes.select(*carried, "error_message", F.col("status").alias("_final"), F.posexplode(steps).alias("step", "s"))
+    ended = F.col("s.status") == F.col("_final")
+    return rows.select(*carried, "step", "s.*", F.when(ended, F.col("error_message")).alias("error_message"))
+
+
 def hashing_embedder(dimensions: int = 64) -> Embedder:
-    """Deterministic stand-in for a remote embedding model: signed word hashing, unit length."""
+    """Deterministic stand-in for a remote embedding model: signed word hashing, unit length.
+
+    A word is hashed once per batch; the batch's vectors are sums over (text, word) counts.
+    """
     def embed(batch: list[str]) -> list[list[float]]:
-        out = np.zeros((len(batch), dimensions), dtype=np.float32)
-        for row, content in zip(out, batch):
-            for word in re.findall(r"\w+", content.lower()):
-                h = zlib.crc32(word.encode("utf-8"))
-                row[h % dimensions] += 1.0 if h & 0x10000 else -1.0
+        places: dict[str, int] = {}
+        words = [re.findall(r"\w+", content.lower()) for content in batch]
+        at = np.array([places.setdefault(w, len(places)) for ws in words for w in ws], dtype=np.int64)
+        hashes = np.array([zlib.crc32(w.encode("utf-8")) for w in places], dtype=np.int64)
+        rows = np.repeat(np.arange(len(batch)), [len(ws) for ws in words])
+        signs = np.where(hashes & 0x10000, 1.0, -1.0)
+        cells = rows * dimensions + hashes[at] % dimensions if len(at) else at
+        out = np.bincount(cells, signs[at] if len(at) else None, len(batch) * dimensions).reshape(len(batch), dimensions)
         size = np.linalg.norm(out, axis=1, keepdims=True)
-        return (out / np.where(size == 0, 1, size)).tolist()
+        return (out / np.where(size == 0, 1, size)).astype(np.float32).tolist()
     return embed
 
 
-def embed_chunks(chunks: DataFrame, embedder: Embedder) -> DataFrame:
-    """One vector per chunk, empty for blank content; the embedder gets Arrow batches."""
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def vectors_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _vectors(embedder: Embedder, contents: list[str], isolate: bool) -> list[tuple[list[float], str | None]]:
+    """(vector, what went wrong) of each text; a batch that fails is halved until the texts that fail stand alone."""
+    try:
+        return [(v, None) for v in embedder(contents)]
+    except Exception as e:
+        if not isolate:
+            raise
+        if len(contents) == 1:
+            return [([], f"{type(e).__name__}: {e}")]
+    half = len(contents) // 2
+    return _vectors(embedder, contents[:half], True) + _vectors(embedder, contents[half:], True)
+
+
+def embed_chunks(chunks: DataFrame, embedder: Embedder, isolate: bool = False) -> DataFrame:
+    """One vector per chunk, empty for blank content; the embedder gets Arrow batches.
+
+    With ``isolate`` a text that the embedder fails on gets an empty vector and the reason in ``failure``; the rest go on.
+    """
+    made = T.StructType([T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("failure", T.StringType())])
+
+    @F.pandas_udf(made)
+    def vectors_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            filled = batch.fillna("").str.strip() != ""
-            out = pd.Series([[]] * len(batch), index=batch.index, dtype=object)
-            made = embedder(batch[filled].tolist()) if filled.any() else []
-            for key, vector in zip(batch.index[filled], made):
-                out.at[key] = vector
-            yield out
-    return chunks.withColumn("vector", vectors_of("content"))
+            filled = (batch.fillna("").str.strip() != "").to_numpy()
+            found = iter(_vectors(embedder, batch[filled].tolist(), isolate) if filled.any() else [])
+            rows = [next(found) if f else ([], None) for f in filled]
+            yield pd.DataFrame({"vector": [v for v, _ in rows], "failure": [f for _, f in rows]})
+
+    out = chunks.withColumn("_made", vectors_of("content")).withColumn("vector", F.col("_made.vector"))
+    return (out.withColumn("failure", F.col("_made.failure")) if isolate else out).drop("_made")
+
+
+def _reason(e: Exception) -> str:
+    """The line that says what a function on a worker raised, or the first line."""
+    said = re.findall(r"(?m)^(?:\w+\.)*\w*(?:Error|Exception): .*$", str(e))
+    return (said[-1] if said else str(e).splitlines()[0] if str(e) else type(e).__name__).strip()
+
+
+def guard_verdicts(judged: DataFrame, guard: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(doc_id, should_continue, error_message, failure) of the guard's answers.
+
+    Where the guard raises on a set of documents, halves of the set are tried, so that a document that
+    it can't bear fails alone, after a number of tries in the logarithm of the batch.
+    """
+    schema = f"doc_id {judged.schema['doc_id'].dataType.simpleString()}, should_continue boolean, error_message string, failure string"
+    found, waiting = [], [(1, 0)]
+    while waiting:
+        parts, rest = waiting.pop()
+        some = judged if parts == 1 else judged.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == rest)
+        try:
+            found.append(cut_lineage(guard(some).select("doc_id", "should_continue", "error_message", F.lit(None).cast("string").alias("failure"))))
+        except Exception as e:
+            left = some.select("doc_id").distinct().limit(2).collect()
+            if len(left) == 1 or parts >= 1 << 40:
+                found.append(some.select("doc_id").distinct().select("doc_id", F.lit(None).cast("boolean").alias("should_continue"),
+                                                                     F.lit(None).cast("string").alias("error_message"), F.lit(_reason(e)).alias("failure")))
+            elif left:
+                waiting += [(2 * parts, rest), (2 * parts, rest + parts)]
+    out = judged.sparkSession.createDataFrame([], schema) if not found else found[0]
+    for other in found[1:]:
+        out = out.unionByName(other)
+    return out
 
 
 def ingest_progress(chunks: DataFrame, vectors: DataFrame, state: DataFrame) -> DataFrame:
@@ -161,12 +253,24 @@ def ingest_progress(chunks: DataFrame, vectors: DataFrame, state: DataFrame) ->
                     current.alias("current"), whole.alias("total"), share.alias("percent"))
 
 
-def index_points(chunks: DataFrame, vectors: DataFrame, provider: str, model: str, options: Options = DEFAULTS) -> DataFrame:
-    """Index points of embedded chunks with their payload."""
+def index_points(chunks: DataFrame, vectors: DataFrame, provider: str, model: str, options: Options = DEFAULTS,
+                 documents: DataFrame | None = None, access: DataFrame | None = None) -> DataFrame:
+    """Index points of embedded chunks with their payload.
+
+    ``documents``: doc_id, title, user_id, file_id, file_name; ``access``: doc_id, collection_ids, allowed_group_ids.
+    """
     made = vectors.where(F.size("vector") > 0).select("doc_id", "chunk_index", "vector")
-    return chunks.join(made, ["doc_id", "chunk_index"]).select(
+    points = chunks.join(made, ["doc_id", "chunk_index"]).select(
         index_name(F.lit(provider), F.lit(model), options.index_prefix).alias("index_name"), F.col("chunk_id").alias("point_id"), "doc_id",
-        "chunk_index", "vector", text.left("content", options.preview_chars).alias("content_preview"))
+        "chunk_index", *[c for c in ("page_number", "heading") if c in chunks.columns], "vector",
+        text.left("content", options.preview_chars).alias("content_preview"), F.lit(provider).alias("provider"), F.lit(model).alias("model"))
+    if documents is not None:
+        points = points.join(documents.select("doc_id", F.col("title").alias("document_title"), "user_id", "file_id", "file_name"), "doc_id", "left")
+    nobody = F.array().cast("array<string>")
+    if access is None:
+        return points.withColumns({"collection_ids": nobody, "allowed_group_ids": nobody})
+    lists = {c: F.coalesce(c, nobody) for c in ("collection_ids", "allowed_group_ids")}
+    return points.join(access.select("doc_id", *lists), "doc_id", "left").withColumns(lists)
 
 
 def index_write(points: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -179,11 +283,15 @@ def index_write(points: DataFrame, incoming: DataFrame) -> DataFrame:
 
 @dataclass
 class IngestStore:
-    """Append-only tables below one shared folder, one sub-folder per batch."""
+    """Append-only tables below one shared folder, one sub-folder per batch; the index below ``index``."""
 
     spark: SparkSession
     path: str
 
+    @property
+    def index(self) -> str:
+        return f"{self.path}/index"
+
     def write(self, table: str, df: DataFrame, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/{table}/batch_id={batch_id}")
 
@@ -192,25 +300,86 @@ class IngestStore:
         return df if before is None else df.where(F.col("batch_id") < before)
 
     def latest(self, table: str, before: int | None = None) -> DataFrame:
-        """Rows of each document's newest batch."""
+        """Rows of each document's newest batch; of points, those that the index holds."""
+        if table == "points":
+            return load_points(self.spark, self.index)
         rows = self.read(table, before)
         newest = rows.groupBy("doc_id").agg(F.max("batch_id").alias("batch_id"))
         return rows.join(newest, ["doc_id", "batch_id"], "left_semi")
 
+    def changes(self) -> DataFrame:
+        """The stage changes as a stream."""
+        return self.spark.readStream.schema(f"{CHANGES}, batch_id bigint").parquet(f"{self.path}/stages")
+
 
 STATE = ["doc_id", "title", "document_type", "file_name", "status", "attempts", "lock_id", "lock_expires", "error_message", "chunks"]
+OUTCOME = "doc_id bigint, status string, lock_id string"
+CHANGES = ("doc_id bigint, title string, user_id bigint, file_id bigint, file_name string, attempts int, step int, status string, stage string, "
+           "current bigint, total bigint, percent double, error_message string")
 
 
 def register_documents(store: IngestStore, documents: DataFrame) -> None:
-    """Initial state, batch -1: doc_id, title, document_type, file_name, status."""
+    """Initial state, batch -1: doc_id, title, document_type, file_name, status; file_id and user_id where known.
+
+    Registering a known document again lets it be processed anew, unless a claim holds it.
+    """
     store.write("documents", documents.select(
         "doc_id", "title", "document_type", "file_name", "status", F.lit(0).alias("attempts"), F.lit(None).cast("string").alias("lock_id"),
         F.lit(None).cast("timestamp").alias("lock_expires"), F.lit(None).cast("string").alias("error_message"), F.lit(0).cast("bigint").alias("chunks")), -1)
+    known = {c: c for c in ("doc_id", "title", "document_type", "file_name", "file_id", "user_id", "status") if c in documents.columns}
+    event(documents, "registered", at=F.current_timestamp(), **known).write.mode("append").parquet(f"{store.path}/registered")
+
+
+def _work(claimed: DataFrame, batch_id: int, store: IngestStore, texts: DataFrame, guard: Callable[[DataFrame], DataFrame], embedder: Embedder,
+          provider: str, model: str, options: Options, access: DataFrame | None) -> DataFrame:
+    """Claimed documents (doc_id, title, document_type, file_name, file_id, user_id, attempts, lock_id) to their outcomes.
+
+    Writes chunks, vectors, index, stages and progress, and returns each document's new state with its lock_id.
+    """
+    asked_texts = texts.join(claimed.select("doc_id"), "doc_id", "left_semi")  # the claims are few; all other texts stay where they are
+    work = (claimed.select("doc_id", "document_type").join(asked_texts, "doc_id", "left")
+            .withColumn("has_file", F.col("text").isNotNull()).withColumn("extracted_text", F.col("text")))
+    judged = work.where(~text.is_blank("text")).select("doc_id", "text")
+    verdicts = guard_verdicts(judged, guard)
+    passed = work.join(verdicts.where("should_continue").select("doc_id"), "doc_id", "left_semi")
+    chunks = cut_lineage(chunk_router(passed.select("doc_id", "text"), options).withColumn(
+        "chunk_id", F.concat_ws("-", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string"))))
+    embedded = cut_lineage(embed_chunks(chunks.select("doc_id", "chunk_index", "content"), embedder, isolate=True).drop("content"))
+    broken = embedded.where("failure is not null").groupBy("doc_id").agg(F.min_by("failure", "chunk_index").alias("failure"))
+    failures = cut_lineage(verdicts.where("failure is not null").select("doc_id", "failure").unionByName(broken))
+    kept = embedded.join(broken.select("doc_id"), "doc_id", "left_anti")
+    counts = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"))
+    final = ingest_transition(work, verdicts, counts, options=options, failures=failures).select("doc_id", "status", "error_message")
+    facts = work.select("doc_id", "has_file").join(verdicts.select("doc_id", "should_continue"), "doc_id", "left").join(
+        broken.select("doc_id", F.lit(False).alias("embedded")), "doc_id", "left").join(counts, "doc_id", "left")
+    facts = facts.select("doc_id", "has_file", F.coalesce("should_continue", F.lit(False)).alias("passed"), F.coalesce("embedded", F.lit(True)).alias("embedded"),
+                         F.coalesce("chunks", F.lit(0)).cast("bigint").alias("chunks"))
+    outcomes = cut_lineage(claimed.select("doc_id", "title", "document_type", "file_name", "file_id", "user_id", "attempts", "lock_id")
+                           .join(final, "doc_id").join(facts, "doc_id"))
+    store.write("chunks", chunks, batch_id)
+    points = index_points(chunks, kept, provider, model, options, claimed, access)
+    store.write("vectors", points.select("doc_id", F.col("point_id").alias("chunk_id"), "provider", "model", "vector"), batch_id)
+    name = index_name(F.lit(provider), F.lit(model), options.index_prefix).alias("index_name")
+    change_points(store.spark, store.index, points, outcomes.where("status = 'Ready'").select(name, "doc_id"), batch_id)
+    compact_points(store.spark, store.index)
+    store.write("stages", stage_changes(outcomes.drop("document_type", "lock_id")).select(*[c.split()[0] for c in CHANGES.split(", ")]), batch_id)
+    ready = outcomes.withColumn("chunks", F.when(F.col("status") == "Ready", F.col("chunks")).otherwise(0))
+    return ready.select("doc_id", "title", "document_type", "file_name", "status", "attempts", "lock_id", "error_message", "chunks")
+
+
+def _released(rows: DataFrame) -> DataFrame:
+    return rows.drop("lock_id", "lock_expires").select("*", F.lit(None).cast("string").alias("lock_id"), F.lit(None).cast("timestamp").alias("lock_expires")).select(*STATE)
+
+
+def _finish(store: IngestStore, after: DataFrame, batch_id: int) -> None:
+    chunks, vectors = store.read("chunks").where(F.col("batch_id") == batch_id), store.read("vectors").where(F.col("batch_id") == batch_id)
+    store.write("progress", ingest_progress(chunks, vectors, after.withColumn("processing_stage", F.lit(None).cast("string"))), batch_id)
+    store.write("documents", after, batch_id)  # last: a batch counts once its state is there
 
 
 def process_batch(raw: DataFrame, batch_id: int, store: IngestStore, texts: DataFrame, guard: Callable[[DataFrame], DataFrame],
                   embedder: Embedder, provider: str, model: str, options: Options = DEFAULTS, access: DataFrame | None = None) -> None:
-    """One micro-batch from messages to index.
+    """One batch from messages to index without a running stream, claimed by the stored state of its documents.
 
     ``access``: doc_id, collection_ids, allowed_group_ids (arrays of strings, a row per document); both are empty
     without it.  ``texts``: doc_id, text; ``guard``: documents (doc_id, text) to verdicts (doc_id, should_continue, error_message).
@@ -223,49 +392,45 @@ def process_batch(raw: DataFrame, batch_id: int, store: IngestStore, texts: Data
     state = cut_lineage(store.latest("documents", batch_id).join(asked, "doc_id", "left_semi"))
     sorted_jobs = idempotency_filter(jobs, state, options)
     now = jobs.agg(F.max("queued_at")).scalar()
-    claimed = cut_lineage(claim_documents(sorted_jobs, state, now, F.lit(f"batch{batch_id}"), options))
-    asked_texts = texts.join(claimed.select("doc_id"), "doc_id", "left_semi")  # the claims are few; all other texts stay where they are
-    work = (claimed.select("doc_id", "attempts").join(state.select("doc_id", "document_type"), "doc_id").join(asked_texts, "doc_id", "left")
-            .withColumn("has_file", F.col("text").isNotNull()).withColumn("extracted_text", F.col("text")))
-    judged = work.where(~text.is_blank("text")).select("doc_id", "text")
-    answered = judged.select("doc_id").join(guard(judged).select("doc_id", "should_continue", "error_message"), "doc_id", "left")
-    missing = F.col("should_continue").isNull()  # a document without a verdict stops
-    verdicts = cut_lineage(answered.select("doc_id", F.coalesce("should_continue", F.lit(False)).alias("should_continue"),
-                                           F.when(missing, "No guard verdict.").otherwise(F.col("error_message")).alias("error_message")))
-    passed = work.join(verdicts.where("should_continue").select("doc_id"), "doc_id", "left_semi")
-    chunks = cut_lineage(chunk_router(passed.select("doc_id", "text"), options).withColumn(
-        "chunk_id", F.concat_ws("-", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string"))))
-    vectors = cut_lineage(embed_chunks(chunks.select("doc_id", "chunk_index", "content"), embedder).drop("content"))
-    counts = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"))
-    final = ingest_transition(work, verdicts, counts, options=options)
+    claimed = claim_documents(sorted_jobs, state, now, F.lit(f"batch{batch_id}"), options).select("doc_id", "attempts", "lock_id", "file_id", "user_id")
+    claimed = cut_lineage(claimed.join(state.select("doc_id", "title", "document_type", "file_name"), "doc_id"))
+    done = _work(claimed, batch_id, store, texts, guard, embedder, provider, model, options, access)
     exhausted = sorted_jobs.where(F.col("outcome") == "exhausted").select("doc_id").distinct()
-    done = (state.drop("status", "error_message", "attempts", "chunks", "batch_id", "lock_id", "lock_expires")
-            .join(final.select("doc_id", "status", "error_message", F.coalesce("progress_total", F.lit(0)).cast("bigint").alias("chunks")), "doc_id")
-            .join(claimed.select("doc_id", "attempts"), "doc_id"))
-    failed = (state.join(exhausted, "doc_id", "left_semi").drop("status", "error_message", "batch_id", "lock_id", "lock_expires")
-              .withColumn("status", F.lit("Failed")).withColumn("error_message", F.lit("Maximum processing attempts exceeded.")))
-    released = [F.lit(None).cast("string").alias("lock_id"), F.lit(None).cast("timestamp").alias("lock_expires")]
-    after = done.unionByName(failed).select("*", *released).select(*STATE)
-    store.write("chunks", chunks, batch_id)
-    named = [F.lit(provider).alias("provider"), F.lit(model).alias("model")]
-    points = index_points(chunks, vectors, provider, model, options).select("*", *named)
-    nobody = F.array().cast("array<string>")
-    if access is None:
-        points = points.withColumns({"collection_ids": nobody, "allowed_group_ids": nobody})
-    else:
-        lists = {c: F.coalesce(c, nobody) for c in ("collection_ids", "allowed_group_ids")}
-        points = points.join(access.select("doc_id", *lists), "doc_id", "left").withColumns(lists)
-    store.write("vectors", chunks.select("doc_id", "chunk_index", "chunk_id").join(vectors.where(F.size("vector") > 0), ["doc_id", "chunk_index"]).select(
-        "doc_id", "chunk_id", *named, "vector"), batch_id)
-    store.write("points", points, batch_id)
-    store.write("progress", ingest_progress(chunks, vectors, after.withColumn("processing_stage", F.lit(None).cast("string"))), batch_id)
-    store.write("documents", after, batch_id)  # last: a batch counts once its state is there
+    failed = state.join(exhausted, "doc_id", "left_semi").withColumn("status", F.lit("Failed")).withColumn("error_message", F.lit(vocab.ATTEMPTS_EXCEEDED))
+    _finish(store, cut_lineage(_released(done).unionByName(_released(failed))), batch_id)
+
+
+def _decided(decided: DataFrame, batch_id: int, store: IngestStore, texts: DataFrame, guard: Callable[[DataFrame], DataFrame],
+             embedder: Embedder, provider: str, model: str, options: Options, access: DataFrame | None) -> None:
+    """One micro-batch of decisions of the keyed state."""
+    decided = cut_lineage(decided)
+    store.write("dead_letters", decided.where("kind = 'lost'").select("value"), batch_id)
+    claimed = decided.where("kind = 'claimed'")
+    done = cut_lineage(_work(claimed, batch_id, store, texts, guard, embedder, provider, model, options, access))
+    failed = decided.where("kind = 'exhausted'").withColumn("chunks", F.lit(0).cast("bigint"))
+    _finish(store, cut_lineage(_released(done).unionByName(_released(failed))), batch_id)
+    store.write("outcomes", done.select("doc_id", "status", "lock_id"), batch_id)  # what the state hears with the next batch
 
 
 def start_ingestion(spark: SparkSession, source: str, store: IngestStore, texts: DataFrame, guard: Callable[[DataFrame], DataFrame],
                     embedder: Embedder, provider: str, model: str, options: Options = DEFAULTS, max_files: int = 1000,
                     access: DataFrame | None = None) -> StreamingQuery:
-    """Start the job over a folder of JSON-line files; it ends when the folder is drained."""
-    stream = spark.readStream.format("text").option("maxFilesPerTrigger", max_files).load(source)
-    return (stream.writeStream.foreachBatch(lambda df, n: process_batch(df, n, store, texts, guard, embedder, provider, model, options, access))
-            .option("checkpointLocation", f"{store.path}/_stream").trigger(availableNow=True).start())
+    """Start the job over a folder of JSON-line files; it ends when the folder is drained.
+
+    Registrations, jobs and the outcomes of earlier batches meet in the keyed state of their document.
+    """
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    # with processing-time timers a query that may run batches without data never drains; expired locks are noticed with the next events
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    spark.createDataFrame([], OUTCOME).write.mode("overwrite").parquet(f"{store.path}/outcomes/batch_id=-1")
+    raw = spark.readStream.format("text").option("maxFilesPerTrigger", max_files).load(source)
+    parsed = _parsed(raw)
+    jobs = event(ingest_jobs(raw), "job", doc_id="doc_id", at="queued_at", file_name=F.nullif("file_name", F.lit("")), file_id="file_id", user_id="user_id")
+    lost = event(parsed.where(~F.coalesce(_usable(), F.lit(False))), "lost", value="value")
+    registered = event(spark.readStream.schema(EVENT).parquet(f"{store.path}/registered"), "registered", **{c: c for c in (
+        "doc_id", "at", "status", "title", "document_type", "file_name", "file_id", "user_id")})
+    heard = spark.readStream.schema(f"{OUTCOME}, batch_id bigint").parquet(f"{store.path}/outcomes")
+    outcomes = event(heard, "outcome", doc_id="doc_id", status="status", lock_id="lock_id")
+    decided = decisions(registered.union(outcomes).union(jobs).union(lost), options)
+    return (decided.writeStream.foreachBatch(lambda df, n: _decided(df, n, store, texts, guard, embedder, provider, model, options, access))
+            .option("checkpointLocation", f"{store.path}/_stream").outputMode("update").trigger(availableNow=True).start())

@@ -80,3 +80,118 @@ def test_streamed_documents_are_found_by_vectors(spark, tmp_path):
     chunks = store.latest("chunks").select("chunk_id", "doc_id", "chunk_index", F.lit(None).cast("int").alias("page_number"))
     found = retrieval.exact_scan(scope, store.latest("documents"), chunks, store.latest("vectors").drop("doc_id", "batch_id"), asked)
     assert {x.doc_id for x in found.collect()} == {1, 2}
+
+
+def _files(path):
+    return {str(f): f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+
+
+def test_index_changes_write_new_files_only(spark, tmp_path):
+    path = tmp_path / "points"
+    schema = "index_name string, point_id string, doc_id bigint, vector array<float>"
+    make = lambda rows: spark.createDataFrame(rows, schema)
+    live = {}
+
+    def apply(version, rows, ended=None):
+        before = _files(path) if path.exists() else {}
+        ix.change_points(spark, str(path), make(rows), None if ended is None else make([("i", "", d, []) for d in ended]), version)
+        assert all(_files(path).get(f) == t for f, t in before.items() if f"version={version}/" not in f)
+        for d in {r[2] for r in rows} | set(ended or []):
+            live.pop(d, None)
+        for r in rows:
+            live.setdefault(r[2], []).append(r[1])
+
+    apply(0, [("i", f"{d}-{k}", d, [1.0]) for d in range(6) for k in range(3)])
+    apply(1, [("i", "4-new", 4, [2.0])])
+    apply(2, [], [0, 5, 77])
+    apply(2, [], [0, 5, 77])  # a replay of the same change
+    got = lambda: sorted(x.point_id for x in ix.load_points(spark, str(path)).collect())
+    want = lambda: sorted(p for ps in live.values() for p in ps)
+    assert got() == want()
+    assert not ix.compact_points(spark, str(path), 4) and ix.compact_points(spark, str(path), 3) and got() == want()
+    apply(3, [("i", "5-again", 5, [3.0]), ("i", "1-new", 1, [4.0])])
+    assert got() == want() and "5-again" in got()
+    ix.save_points(make([("i", "only", 9, [1.0])]), str(path))
+    assert got() == ["only"]
+
+
+def test_poison_documents_fail_alone_and_for_good(spark, tmp_path):
+    source = tmp_path / "jobs"
+    source.mkdir()
+    body = "Ett dokument om nät. " * 30
+    texts = spark.createDataFrame([(1, body), (2, "giftig " + body), (3, body + " sprängs"), (4, body), (5, "  ")], "doc_id bigint, text string")
+    store = ing.IngestStore(spark, str(tmp_path / "store"))
+    ing.register_documents(store, spark.createDataFrame([(d, f"Dok {d}", "Txt", f"f{d}", "Queued", d * 10, 7) for d in range(1, 7)],
+                                                        "doc_id bigint, title string, document_type string, file_name string, status string, file_id bigint, user_id bigint"))
+    plain = ing.hashing_embedder(8)
+
+    def embedder(batch):
+        if any("sprängs" in b for b in batch):
+            raise ValueError("bad text")
+        return plain(batch)
+
+    def guard(docs):
+        fine = F.when(F.startswith("text", F.lit("giftig")), F.raise_error(F.lit("GuardError: toxin"))).otherwise(F.lit(True))
+        return docs.select("doc_id", fine.cast("boolean").alias("should_continue"), F.lit(None).cast("string").alias("error_message"))
+
+    def run(n, ids):
+        (source / f"{n}.json").write_text("\n".join(json.dumps({"DocumentId": d, "FileName": f"in{d}", "QueuedAtUtc": f"2024-01-0{n}T00:00:00Z"}) for d in ids) + "\n")
+        q = ing.start_ingestion(spark, str(source), store, texts, guard, embedder, "acme", "small")
+        q.awaitTermination()
+        assert q.exception() is None
+        return {x.doc_id: (x.status, x.attempts, x.error_message, x.lock_id) for x in store.latest("documents").collect()}
+
+    state = run(1, [1, 2, 3, 4, 5, 6, 1, 99])
+    assert state[1] == state[4] == ("Ready", 1, None, None)
+    assert state[2][:2] == ("Failed", 1) and "toxin" in state[2][2]
+    assert state[3] == ("Failed", 1, "ValueError: bad text", None) and state[6] == ("Failed", 1, "Physical file not found on disk.", None)
+    stages = {}
+    for x in store.read("stages").orderBy("step").collect():
+        stages.setdefault(x.doc_id, []).append((x.status, x.stage, x.current, x.total, x.percent))
+    assert stages[1] == [("Extracting", "Extracting", 0, 0, 0.0), ("Chunking", "Chunking", 0, 0, 0.0), ("Embedding", "Embedding", 0, 1, 0.0),
+                         ("Indexing", "Indexing", 1, 1, 100.0), ("Ready", "Ready", 1, 1, 100.0)]
+    assert [s[:2] for s in stages[2]] == [("Extracting", "Extracting"), ("Failed", "Extracting")]
+    assert [s[:2] for s in stages[3]][-2:] == [("Embedding", "Embedding"), ("Failed", "Embedding")] and [s[:2] for s in stages[6]] == [("Failed", "Failed")]
+    before = _files(tmp_path / "store" / "index")
+    for n in (2, 3):
+        state = run(n, [2, 3])
+        assert state[2][:2] == state[3][:2] == ("Failed", n)
+    state = run(4, [1, 2, 3])
+    assert state[2][:3] == state[3][:3] == ("Failed", 3, "Maximum processing attempts exceeded.") and state[1] == ("Ready", 1, None, None)
+    after = _files(tmp_path / "store" / "index")
+    assert all(after[f] == t for f, t in before.items())  # no batch rewrote an older file
+    point = store.latest("points").where("doc_id = 1").first()
+    assert (point.document_title, point.file_name, point.user_id, point.file_id, point.provider, point.chunk_index) == ("Dok 1", "in1", 7, 10, "acme", 0)
+    followed = store.changes().writeStream.format("memory").queryName("followed").trigger(availableNow=True).start()
+    followed.awaitTermination()
+    assert spark.table("followed").where("doc_id = 3 and status = 'Failed'").count() == 3
+
+
+def test_expired_locks_are_free_again(spark, tmp_path):
+    from foliant.options import Options
+    from foliant.streaming import claims
+
+    folder = tmp_path / "events"
+    schema = claims.EVENT
+    seen = []
+
+    def run(n, rows):
+        base = spark.createDataFrame([tuple(r.get(f.split()[0]) for f in schema.split(", ")) for r in rows], schema)
+        base.coalesce(1).write.mode("append").parquet(str(folder))
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+        out = claims.decisions(spark.readStream.schema(schema).parquet(str(folder)), Options(lock_minutes=lock))
+        q = out.writeStream.foreachBatch(lambda df, b: seen.append((n, sorted((r.kind, r.doc_id, r.attempts) for r in df.collect())))).option(
+            "checkpointLocation", str(tmp_path / "cp")).outputMode("update").trigger(availableNow=True).start()
+        q.awaitTermination()
+        assert q.exception() is None
+
+    lock = 30
+    run(1, [{"kind": "registered", "doc_id": 1, "status": "Queued"}, {"kind": "job", "doc_id": 1}, {"kind": "lost", "value": "{"}])
+    run(2, [{"kind": "job", "doc_id": 1}, {"kind": "registered", "doc_id": 2, "status": "Queued"}])
+    lock = 0
+    run(3, [{"kind": "job", "doc_id": 2}])
+    run(4, [{"kind": "job", "doc_id": 2}])
+    assert seen[0] == (1, [("claimed", 1, 1), ("lost", None, None)]) and seen[1] == (2, [("locked", 1, 1)])
+    assert seen[2] == (3, [("claimed", 2, 1), ("expired", 2, 1)])  # a lock of no length ends by its timer at once
+    assert seen[3] == (4, [("claimed", 2, 2), ("expired", 2, 2)])

@@ -140,7 +140,7 @@ def pieces_sql(budget: int, head: str, tail: str, name: str = "body") -> str:
 
 NOTE = (f"'--- Dokument: ' || title || ' ---' || chr(10) || CASE WHEN document_type IN ('Excel', 'Csv') THEN {quote(vocab.TABLE_NOTE + chr(10))} "
         "ELSE '' END || chr(10)")
-register("direct_context", lambda t: cx.direct_context(t.questions, st.ready_texts(rq.scope_of(t), t.docs)),
+register("direct_context", lambda t: cx.direct_context(t.questions, st.ready_sizes(rq.scope_of(t), t.docs), texts=st.document_texts(t.docs)),
          f"""SELECT q.query_id, query_text || CASE WHEN tab THEN {quote(vocab.DIRECT_INSTRUCTION[True])} ELSE {quote(vocab.DIRECT_INSTRUCTION[False])} END
                || chr(10) || {TRIM('body')} AS prompt FROM questions q JOIN body b ON b.query_id = q.query_id JOIN (SELECT query_id,
                bool_or(document_type IN ('Excel', 'Csv')) AS tab FROM dtext GROUP BY query_id) z ON z.query_id = q.query_id""",
@@ -151,15 +151,15 @@ HINTS = f"""codes AS (SELECT query_id, min(code) AS code, upper(code) AS up FROM
     AS listed FROM codes GROUP BY query_id)"""
 _HEAD = vocab.ENUMERATION_HINT_HEAD.split("{n}")
 register("enumeration_context",
-         lambda t: cx.enumeration_context(an.classify(t.questions), st.ready_texts(rq.scope_of(t), t.docs)),
+         lambda t: cx.enumeration_context(an.classify(t.questions), st.ready_sizes(rq.scope_of(t), t.docs), texts=st.document_texts(t.docs)),
          f"""SELECT q.query_id, query_text || {quote(vocab.ENUMERATION_RULES)} || CASE WHEN {INTENT} = 'TableEnumeration' THEN
                {quote(vocab.ENUMERATION_TABLE_NOTE)} ELSE '' END || CASE WHEN n > 0 THEN {quote(_HEAD[0])} || n || {quote(_HEAD[1])} || listed ||
                {quote(vocab.ENUMERATION_HINT_TAIL)} ELSE '' END || {quote(vocab.ENUMERATION_CONTENT)} || {TRIM('body')} AS prompt
              FROM questions q JOIN body b ON b.query_id = q.query_id LEFT JOIN hints h ON h.query_id = q.query_id""",
          SCOPED, ",\n".join([rq.SCOPE, DTEXT, pieces_sql(48000, NOTE, "\n\n--- Slut ---\n\n"), HINTS]))
 register("structured_context",
-         lambda t: cx.structured_context(t.questions, doc_answers(t).drop("doc_set_id"), st.ready_texts(rq.scope_of(t), t.docs.where(
-             F.col("document_type").isin(vocab.TABLE_DOCUMENT_TYPES)))),
+         lambda t: cx.structured_context(t.questions, doc_answers(t).drop("doc_set_id"), st.ready_sizes(rq.scope_of(t), t.docs.where(
+             F.col("document_type").isin(vocab.TABLE_DOCUMENT_TYPES))), texts=st.document_texts(t.docs)),
          f"""SELECT q.query_id, query_text || {quote(vocab.ANSWER_HEAD)} || 'Result: ' || value || chr(10) || CASE WHEN {BLANK('column_used')} THEN '' ELSE
                'Source column: ' || column_used || chr(10) END || {quote(vocab.ANSWER_TAIL)} || {quote(vocab.ANSWER_CONTEXT_HEAD)} || coalesce(body, '') AS prompt
              FROM questions q JOIN answered a ON a.query_id = q.query_id LEFT JOIN body b ON b.query_id = q.query_id""",

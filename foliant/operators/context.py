@@ -1,8 +1,8 @@
 """Context texts under character budgets.
 
-Every budget bounds how many rows can contribute, because each row costs at
-least a few characters.  A group limit therefore prunes before the running
-sums, and no group is ever sorted whole in one task.
+What fits is decided on lengths, summed in two levels (buckets of a question's
+documents, then one row per bucket), so no task sorts a question whole; text is
+joined by its document or chunk to the rows that have room.
 """
 
 from __future__ import annotations
@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from foliant import vocab
 from foliant.functions import intents, kinds, text
-from foliant.operators.coverage import model_code_candidates
+from foliant.operators.coverage import ranked_codes
 from foliant.options import DEFAULTS, Options
-from foliant.plans.ranking import exclusive_running, join_text, top_per_group
+from foliant.plans.ranking import exclusive_running, join_text, order_buckets, text_parts, top_per_group
 from foliant.session import cut_lineage
 
 
@@ -21,6 +21,10 @@ def _before(keys: list[str], order: str) -> Window:
     return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
 
 
+def _named(column: str) -> Column:
+    return F.coalesce(F.col(column), F.lit(""))
+
+
 # ── whole documents, chunk by chunk ───────────────────────────────────────────
 
 
@@ -28,21 +32,23 @@ def ordered_chunks(sizes: DataFrame, budget: int) -> DataFrame:
     """Chunks of each question that fit, in document order.
 
     ``sizes``: query_id, chunk_id, doc_id, chunk_index, title, file_name, body_chars, … (no text: what
-    fits is decided on lengths).  Adds position, header and room, the characters left for the body.
+    fits is decided on lengths).  Adds position, header and room, the characters left for the body.  A missing
+    title or file name is empty.
     """
-    order = [F.col("doc_id"), F.col("chunk_index")]
-    near = top_per_group(sizes, ["query_id"], order, budget // 2 + 1, "position")  # a chunk costs two characters or more
-    w = Window.partitionBy("query_id").orderBy("position")
-    changed = ~F.col("title").eqNullSafe(F.lag("title").over(w)) | (F.col("position") == 1)
-    header = F.concat(F.lit("--- Dokument: "), "title", F.lit(" (Fil: "), "file_name", F.lit(") ---\n"))
-    sized = (near.withColumn("header", F.when(changed, header).otherwise(F.lit("")))
-             .withColumn("_cost", F.length("header") + F.col("body_chars") + 2))
-    running = sized.withColumn("_used", F.coalesce(F.sum("_cost").over(_before(["query_id"], "position")), F.lit(0)))
+    keys, at = ["query_id"], F.struct("doc_id", "chunk_index")
+    placed = order_buckets(cut_lineage(sizes.withColumn("_at", at)), keys, "_at", name="_place")
+    titled = exclusive_running(placed, keys, F.col("_place"), "_at", {}, {"_title": _named("title")})
+    header = F.concat(F.lit("--- Dokument: "), _named("title"), F.lit(" (Fil: "), _named("file_name"), F.lit(") ---\n"))
+    changed = F.col("_title").isNull() | (F.col("_title") != _named("title"))
+    sized = (titled.withColumn("header", F.when(changed, header).otherwise(F.lit("")))
+             .withColumn("_cost", F.length("header") + F.coalesce("body_chars", F.lit(0)) + 2))
+    running = exclusive_running(sized, keys, F.col("_place"), "_at", {"_used": F.col("_cost")}, {})
     left = F.lit(budget) - F.col("_used")
-    fits = (left > 0) & (F.length("header") <= left)
-    kept = running.withColumn("_ok", F.min(fits.cast("int")).over(
-        w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where(F.col("_ok") == 1)
-    return kept.withColumn("room", (left - F.length("header")).cast("int")).drop("_cost", "_used", "_ok")
+    near = running.where(left > 0).withColumn("room", (left - F.length("header")).cast("int"))  # a chunk costs two characters or more: bounded from here
+    stop = near.groupBy(*keys).agg(F.min(F.when(F.col("room") < 0, F.col("_at"))).alias("_stop"))
+    kept = near.join(stop, keys).where(F.col("_stop").isNull() | (F.col("_at") < F.col("_stop")))
+    return (kept.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy("_at")))
+            .drop("_at", "_place", "_title", "_cost", "_used", "_stop"))
 
 
 def ordered_context(sent: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -67,10 +73,10 @@ def ranked_context(retrieved: DataFrame, options: Options = DEFAULTS) -> DataFra
         (F.col("score") >= options.min_score) | ((F.col("_best") < options.min_score) & (F.col("position") == 1)))
     content = text.left("content", options.max_chunk_chars)
     head = F.concat(
-        F.lit("--- Dokument: "), "title", F.lit(" ---\nFil: "), "file_name", F.lit("\n"),
+        F.lit("--- Dokument: "), _named("title"), F.lit(" ---\nFil: "), _named("file_name"), F.lit("\n"),
         F.coalesce(F.concat(F.lit("Sida: "), F.col("page_number").cast("string"), F.lit("\n")), F.lit("")),
         F.when(text.is_blank("heading"), F.lit("")).otherwise(F.concat(F.lit("\nRubrik: "), F.col("heading"))),
-        F.lit("Chunk: "), F.col("chunk_index").cast("string"), F.lit("  Relevans: "),
+        F.lit("Chunk: "), F.coalesce(F.col("chunk_index").cast("string"), F.lit("")), F.lit("  Relevans: "),
         F.format_string("%.4f", "score"), F.lit("\n\n"))
     tail = "\n\n--- Slut utdrag ---\n\n"
     sized = (chosen.withColumn("_head", head).withColumn("_content", content)
@@ -114,32 +120,39 @@ def semantic_context(queries: DataFrame, retrieved: DataFrame, options: Options
 # ── whole texts ───────────────────────────────────────────────────────────────
 
 
-def _document_pieces(documents: DataFrame, budget: int, head: Column, tail: str) -> DataFrame:
-    """Documents of each question (query_id, doc_id, title, document_type, text) cut at the budget.
+def _apart(documents: DataFrame, texts: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Documents of questions with their sizes, and texts by document."""
+    if texts is not None:
+        return documents, texts
+    return documents.withColumn("chars", F.length("text")).drop("text"), documents.select("doc_id", "text").dropDuplicates(["doc_id"])
+
 
-    Room is decided on running lengths alone, in two levels where ids are numbers; text is joined to
-    the documents that have some left.  Blank texts cost nothing, so any number of them may come first.
+def _document_pieces(documents: DataFrame, budget: int, head: Column, tail: str, texts: DataFrame | None = None) -> DataFrame:
+    """Documents of each question (query_id, doc_id, title, document_type, chars) cut at the budget.
+
+    Room is decided on running lengths alone, in two levels; ``texts`` (doc_id, text) meet by document the few
+    that have some left.  Blank texts cost nothing, so any number of them may come first.  Without ``texts``
+    the documents carry their text.
     """
-    numeric = documents.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long")
-    bucket = F.floor(F.col("doc_id") / 1024) if numeric else F.lit(0)
-    sizes = documents.select("query_id", "doc_id", F.length("text").alias("_n"))
-    room = exclusive_running(sizes, ["query_id"], bucket, "doc_id", {"_used": F.col("_n")}, {}).select(
+    documents, texts = _apart(documents, texts)
+    sizes = order_buckets(cut_lineage(documents.select("query_id", "doc_id", "chars")), ["query_id"], "doc_id", name="_place")
+    room = exclusive_running(sizes, ["query_id"], F.col("_place"), "doc_id", {"_used": F.col("chars")}, {}).select(
         "query_id", "doc_id", (F.lit(budget) - F.col("_used")).cast("int").alias("_room")).where("_room > 0")
-    kept = documents.join(room, ["query_id", "doc_id"]).withColumn("position", F.col("doc_id"))
+    kept = documents.join(room, ["query_id", "doc_id"]).join(texts, "doc_id").withColumn("position", F.col("doc_id"))
     return kept.withColumn("piece", F.concat(head, text.strip(F.left("text", F.col("_room"))), F.lit(tail)))
 
 
-def _direct_body(documents: DataFrame, budget: int) -> DataFrame:
+def _direct_body(documents: DataFrame, budget: int, texts: DataFrame | None) -> DataFrame:
     note = F.when(kinds.is_table_type("document_type"), F.lit(vocab.TABLE_NOTE + "\n")).otherwise(F.lit(""))
-    head = F.concat(F.lit("--- Dokument: "), "title", F.lit(" ---\n"), note, F.lit("\n"))
-    pieces = _document_pieces(documents, budget, head, "\n\n--- Slut ---\n\n")
+    head = F.concat(F.lit("--- Dokument: "), _named("title"), F.lit(" ---\n"), note, F.lit("\n"))
+    pieces = _document_pieces(documents, budget, head, "\n\n--- Slut ---\n\n", texts)
     return (pieces.groupBy("query_id").agg(join_text("piece", "position", "").alias("body"))
             .withColumn("body", text.strip("body")))
 
 
-def direct_context(queries: DataFrame, documents: DataFrame, options: Options = DEFAULTS) -> DataFrame:
+def direct_context(queries: DataFrame, documents: DataFrame, options: Options = DEFAULTS, texts: DataFrame | None = None) -> DataFrame:
     """Prompt with whole documents in sequence, cut at the context budget."""
-    body = _direct_body(documents, options.max_context_chars)
+    body = _direct_body(documents, options.max_context_chars, texts)
     table = documents.groupBy("query_id").agg(F.bool_or(kinds.is_table_type("document_type")).alias("_table"))
     instruction = F.when(F.col("_table"), F.lit(vocab.DIRECT_INSTRUCTION[True])).otherwise(
         F.lit(vocab.DIRECT_INSTRUCTION[False]))
@@ -159,25 +172,30 @@ def enumeration_instruction(intent: Column, hints: Column, count: Column) -> Col
         F.when(count > 0, listed).otherwise(F.lit("")), F.lit(vocab.ENUMERATION_CONTENT))
 
 
-def candidate_hints(documents: DataFrame, options: Options = DEFAULTS) -> DataFrame:
-    """Number of model codes in a question's documents and the first of them."""
-    codes = model_code_candidates(documents.select("query_id", "text"), ["query_id"])
+def candidate_hints(documents: DataFrame, options: Options = DEFAULTS, texts: DataFrame | None = None) -> DataFrame:
+    """Number of model codes in a question's documents and the first of them.
+
+    A document's codes are found once, however many questions read it.
+    """
+    documents, texts = _apart(documents, texts)
+    found = texts.select("doc_id", F.explode(F.array_distinct(text.model_codes("text"))).alias("code"))
+    codes = cut_lineage(ranked_codes(documents.select("query_id", "doc_id").join(found, "doc_id").select("query_id", "code"), ["query_id"]))
     count = codes.groupBy("query_id").agg(F.count(F.lit(1)).alias("candidates"))
     first = (codes.where(F.col("rank") <= options.candidate_hints).groupBy("query_id")
              .agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "code"))), lambda x: x["code"]).alias("hints")))
     return count.join(first, "query_id")
 
 
-def enumeration_context(queries: DataFrame, documents: DataFrame, options: Options = DEFAULTS) -> DataFrame:
+def enumeration_context(queries: DataFrame, documents: DataFrame, options: Options = DEFAULTS, texts: DataFrame | None = None) -> DataFrame:
     """Prompt that asks for an inventory, with candidate hints.  ``queries`` carry intent."""
-    body = _direct_body(documents, options.full_document_chars)
-    asked = queries.join(body, "query_id").join(candidate_hints(documents, options), "query_id", "left")
+    body = _direct_body(documents, options.full_document_chars, texts)
+    asked = queries.join(body, "query_id").join(candidate_hints(documents, options, texts), "query_id", "left")
     instruction = enumeration_instruction(F.col("intent"), F.col("hints"), F.coalesce("candidates", F.lit(0)))
     return asked.select("query_id", F.concat("query_text", instruction, "body").alias("prompt"))
 
 
 def structured_context(queries: DataFrame, answers: DataFrame, documents: DataFrame, options: Options = DEFAULTS,
-                       debug: bool = False) -> DataFrame:
+                       debug: bool = False, texts: DataFrame | None = None) -> DataFrame:
     """Prompt that explains an exact answer."""
     def line(label: str, value: Column | str) -> Column:
         value = F.col(value) if isinstance(value, str) else value
@@ -202,8 +220,8 @@ def structured_context(queries: DataFrame, answers: DataFrame, documents: DataFr
     else:
         block = F.concat(F.lit(vocab.ANSWER_HEAD), line("Result: ", "value"),
                          optional("Source column: ", "column_used", has_column), F.lit(vocab.ANSWER_TAIL))
-    head = F.concat(F.lit("--- "), "title", F.lit(" ---\n"))
-    pieces = (_document_pieces(documents, options.max_context_chars, head, "\n--- End ---\n").groupBy("query_id")
+    head = F.concat(F.lit("--- "), _named("title"), F.lit(" ---\n"))
+    pieces = (_document_pieces(documents, options.max_context_chars, head, "\n--- End ---\n", texts).groupBy("query_id")
               .agg(join_text("piece", "position", "").alias("_excerpt")))
     return (queries.select("query_id", "query_text").join(answers, "query_id").join(pieces, "query_id", "left")
             .select("query_id", F.concat("query_text", block, F.lit(vocab.ANSWER_CONTEXT_HEAD),
@@ -220,8 +238,8 @@ def batch_split(sizes: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     starts follow from running lengths by one small aggregate per batch, and the
     running lengths are summed in two levels.  No task walks a whole document set.
     """
-    sized = sizes.select("query_id", "chunk_id", "doc_id", F.struct("doc_id", "chunk_index").alias("_at"), F.col("chars").alias("_len"))
-    placed = exclusive_running(sized, ["query_id"], F.floor(F.col("doc_id") / 64), "_at", {"_used": F.col("_len")}, {})
+    sized = cut_lineage(sizes.select("query_id", "chunk_id", F.struct("doc_id", "chunk_index").alias("_at"), F.col("chars").alias("_len")))
+    placed = exclusive_running(order_buckets(sized, ["query_id"], "_at", name="_place"), ["query_id"], F.col("_place"), "_at", {"_used": F.col("_len")}, {})
     # positions and running lengths only, read once per batch below
     ids = cut_lineage(placed.select("query_id", "chunk_id", "_at", "_used", "_len"))
     starts = ids.groupBy("query_id").agg(F.array(F.min(F.struct("_at", "_used"))).alias("starts"))
@@ -236,20 +254,29 @@ def batch_split(sizes: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     return ids.join(starts, "query_id").select("query_id", "chunk_id", number.alias("batch_no"))
 
 
+def _batch_pieces(batched: DataFrame, sizes: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Chunks of each batch as text, with a title line where the document changes; positions without text come first."""
+    keys = ["query_id", "batch_no"]
+    where = cut_lineage(batched.join(sizes.select("query_id", "chunk_id", "title", F.struct("doc_id", "chunk_index").alias("_at")), ["query_id", "chunk_id"]))
+    placed = exclusive_running(order_buckets(where, keys, "_at", name="_place"), keys, F.col("_place"), "_at", {}, {"_title": _named("title")})
+    changed = F.col("_title").isNull() | (F.col("_title") != _named("title"))
+    title = F.when(changed, F.concat(F.lit("--- "), _named("title"), F.lit(" ---\n"))).otherwise(F.lit(""))
+    return (placed.join(chunks.select("chunk_id", "content"), "chunk_id")
+            .select(*keys, "_at", F.concat(title, text.strip("content"), F.lit("\n\n")).alias("piece")))
+
+
 def batch_context(batched: DataFrame, sizes: DataFrame, chunks: DataFrame) -> DataFrame:
     """Text of each batch with a title line where the document changes."""
-    batched = (batched.join(sizes.select("query_id", "chunk_id", "doc_id", "chunk_index", "title"), ["query_id", "chunk_id"])
-               .join(chunks.select("chunk_id", "content"), "chunk_id"))
-    w = Window.partitionBy("query_id", "batch_no").orderBy("doc_id", "chunk_index")
-    changed = ~F.col("title").eqNullSafe(F.lag("title").over(w)) | (F.row_number().over(w) == 1)
-    piece = F.concat(F.when(changed, F.concat(F.lit("--- "), "title", F.lit(" ---\n"))).otherwise(F.lit("")),
-                     text.strip("content"), F.lit("\n\n"))
-    return (batched.withColumn("piece", piece).withColumn("_at", F.struct("doc_id", "chunk_index"))
-            .groupBy("query_id", "batch_no").agg(join_text("piece", "_at", "").alias("context"),
-                                                 F.count(F.lit(1)).alias("chunks"))
+    return (_batch_pieces(batched, sizes, chunks).groupBy("query_id", "batch_no")
+            .agg(join_text("piece", "_at", "").alias("context"), F.count(F.lit(1)).alias("chunks"))
             .withColumn("context", text.strip("context")))
 
 
+def batch_context_parts(batched: DataFrame, sizes: DataFrame, chunks: DataFrame, part_chars: int = DEFAULTS.full_document_chars) -> DataFrame:
+    """The same texts, not stripped, as parts of about ``part_chars`` characters: the last batch, which takes all that is left, may be of any length."""
+    return text_parts(cut_lineage(_batch_pieces(batched, sizes, chunks)), ["query_id", "batch_no"], "_at", "piece", part_chars)
+
+
 def extraction_requests(queries: DataFrame, contexts: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     """One request per batch and a merge request where there are several.
 

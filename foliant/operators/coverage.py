@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from foliant.functions import numbers, text
+from foliant.plans.ranking import bucketed_rank, order_buckets
+from foliant.session import cut_lineage
 
 
 def percent(part: Column, whole: Column) -> Column:
@@ -51,10 +53,18 @@ def context_coverage(sizes: DataFrame, sent: DataFrame, context: DataFrame) -> D
 
 
 def model_code_candidates(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """Distinct model codes per key in alphabetical order, case ignored: keys, code, rank."""
-    found = texts.select(*keys, F.posexplode(text.model_codes("text")).alias("_p", "code"))
-    one = found.groupBy(*keys, F.upper("code").alias("_up")).agg(F.min("code").alias("code"))
-    return one.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("_up"))).drop("_up")
+    """Distinct model codes per key in alphabetical order, case ignored: keys, code, rank.
+
+    A key with very many codes is ranked in buckets of the alphabet that its own codes decide.
+    """
+    return ranked_codes(texts.select(*keys, F.explode(F.array_distinct(text.model_codes("text"))).alias("code")), keys)
+
+
+def ranked_codes(found: DataFrame, keys: list[str]) -> DataFrame:
+    """The same from codes found: keys, code."""
+    one = cut_lineage(found.groupBy(*keys, F.upper("code").alias("_up")).agg(F.min("code").alias("code")))
+    placed = order_buckets(one, keys, "_up")
+    return bucketed_rank(placed, keys, {"_b": F.col("_bucket")}, [F.col("_up")], "rank").select(*keys, "code", F.col("rank").cast("int").alias("rank"))
 
 
 def verification_gap(source: DataFrame, answers: DataFrame) -> DataFrame:

@@ -18,6 +18,17 @@ def ready_texts(scope: DataFrame, docs: DataFrame) -> DataFrame:
     return scope.join(usable.select("doc_id", "title", "document_type", F.col("extracted_text").alias("text")), "doc_id")
 
 
+def ready_sizes(scope: DataFrame, docs: DataFrame) -> DataFrame:
+    """The same documents with their number of characters in place of text: query_id, doc_id, title, document_type, chars."""
+    usable = docs.where((F.col("status") == "Ready") & F.col("extracted_text").isNotNull())
+    return scope.join(usable.select("doc_id", "title", "document_type", F.length("extracted_text").alias("chars")), "doc_id")
+
+
+def document_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text of Ready documents, once each, for operators that decide on sizes first."""
+    return docs.where((F.col("status") == "Ready") & F.col("extracted_text").isNotNull()).select("doc_id", F.col("extracted_text").alias("text"))
+
+
 def ready_scope_texts(scope: DataFrame, docs: DataFrame) -> DataFrame:
     """Ready documents with text that any question has in scope, once each."""
     usable = docs.where((F.col("status") == "Ready") & F.col("extracted_text").isNotNull())

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from foliant import vocab
 from foliant.functions import columns as names, text
-from foliant.plans.ranking import exclusive_running
+from foliant.plans.ranking import exclusive_running, order_buckets
 from foliant.session import cut_lineage
 
 _SHEET_LINE = r"(?mdU)^[^\S\n]*---[^\S\n]*Sheet:[^\S\n]*(.+?)[^\S\n]*---[^\S\n]*$"
@@ -65,7 +65,7 @@ def _summary(blocks: DataFrame) -> DataFrame:
         F.max(F.when(F.col("block") == 0, first)).alias("lead"), F.bool_or(F.size("lines") > 0).alias("has_table")))
 
 
-def table_rows(texts: DataFrame, sparse: int = 4096) -> DataFrame:
+def table_rows(texts: DataFrame) -> DataFrame:
     """Every table row of every document set.
 
     The texts of a set are read one after another, so rows before a document's
@@ -75,11 +75,11 @@ def table_rows(texts: DataFrame, sparse: int = 4096) -> DataFrame:
     seen, which is the header.
     """
     blocks = _blocks(texts)
-    return _rows(blocks, _summary(blocks), sparse)
+    return _rows(blocks, _summary(blocks))
 
 
-def _rows(blocks: DataFrame, summary: DataFrame, sparse: int = 4096) -> DataFrame:
-    placed = exclusive_running(summary, ["doc_set_id"], F.floor(F.col("doc_id") / sparse), "doc_id",
+def _rows(blocks: DataFrame, summary: DataFrame) -> DataFrame:
+    placed = exclusive_running(order_buckets(summary, ["doc_set_id"], "doc_id", name="_place"), ["doc_set_id"], F.col("_place"), "doc_id",
                                {"sheet_base": F.col("markers"), "run": (F.col("markers") > 0).cast("int")}, {})
     parts = F.array(
         F.struct(F.col("run").alias("run"), F.lit(0).alias("part"), F.lit(None).cast("string").alias("name"),

@@ -19,6 +19,36 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], l
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= limit)
 
 
+#: Rows of a group that one task may put in order.
+BUCKET_ROWS = 65536
+#: Sampled rows for each splitter; a bucket then holds about BUCKET_ROWS, give or take a fifth.
+_OVERSAMPLING = 32
+
+
+def order_buckets(df: DataFrame, keys: Sequence[str], order: str, rows: int | None = None, name: str = "_bucket") -> DataFrame:
+    """Adds the number of a bucket that grows with ``order`` inside each group and holds about ``rows`` rows.
+
+    ``order`` may be of any type that sorts: text, numbers, structs.  Groups with more rows are sampled (rows are
+    chosen by a hash of ``order``), every so many-th of the sorted sample is a splitter, and a row counts the
+    splitters up to its own value, first among every root-th and then between two of those.  Equal values share a bucket.
+    ``df`` is read several times: cut it off from long work before.
+    """
+    limit = rows or BUCKET_ROWS
+    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).withColumn("_parts", F.ceil(F.col("_n") / limit))
+    sample = (df.select(*keys, F.col(order).alias("_o")).join(large, list(keys))
+              .where(F.col("_o").isNotNull() & (F.pmod(F.xxhash64("_o", F.lit("splitter")), F.col("_n")) < _OVERSAMPLING * F.col("_parts"))))
+    sorted_sample = sample.groupBy(*keys).agg(F.max("_parts").alias("_parts"), F.sort_array(F.collect_set("_o")).alias("_s"))
+    cuts = F.expr("array_distinct(transform(sequence(1, greatest(1, cast(_parts as int) - 1)), i -> _s[least(size(_s) - 1, cast(i * size(_s) / _parts as int))]))")
+    nested = F.expr("transform(sequence(0, cast(floor((size(_cuts) - 1) / _root) as int)), j -> slice(_cuts, j * _root + 1, _root))")
+    splitters = sorted_sample.withColumn("_cuts", cuts).withColumn("_root", F.ceil(F.sqrt(F.size("_cuts").cast("double"))).cast("int")).select(
+        *keys, "_root", nested.alias("_nested"))
+    group = F.size(F.filter("_nested", lambda c: c[0] <= F.col(order)))
+    inside = F.size(F.filter(F.get("_nested", F.col("_g") - 1), lambda c: c <= F.col(order)))
+    placed = df.join(splitters, list(keys), "left").withColumn("_g", F.when(F.col("_nested").isNotNull(), group).otherwise(0))
+    number = F.when(F.col("_g") > 0, (F.col("_g") - 1) * F.col("_root") + inside).otherwise(0)
+    return placed.withColumn(name, F.coalesce(number, F.lit(0))).drop("_g", "_root", "_nested")
+
+
 def bucketed_rank(df: DataFrame, keys: Sequence[str], bucket: dict[str, Column], order: Sequence[Column],
                   rank: str = "position", total: str | None = None) -> DataFrame:
     """Exact 1-based rank over a whole group without sorting the group in one task.
@@ -77,3 +107,18 @@ def join_text(value: str, order: str, separator: str) -> Column:
     """Ordered string aggregation with the order written out."""
     sep = separator.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
     return F.expr(f"listagg({value}, '{sep}') within group (order by {order})")
+
+
+def text_parts(pieces: DataFrame, keys: Sequence[str], order: str, piece: str, chars: int) -> DataFrame:
+    """A group's pieces in ``order`` as parts of about ``chars`` characters: keys, part_no (from 0), text.
+
+    A piece goes where it begins, so a part is longer than ``chars`` by less than one piece, and no text
+    grows with its group.  The parts in order are the group's text.
+    """
+    placed = exclusive_running(order_buckets(pieces, keys, order), keys, F.col("_bucket"), order, {"_used": F.length(piece)}, {})
+    number = F.floor(F.col("_used") / chars)
+    numbered = placed.withColumn("_no", number)
+    parts = numbered.groupBy(*keys, "_no").agg(join_text(piece, order, "").alias("text"))
+    # numbers without gaps: a long piece may skip some
+    dense = bucketed_rank(order_buckets(parts.select(*keys, "_no"), keys, "_no", name="_place"), keys, {"_b": F.col("_place")}, [F.col("_no")], "_rank")
+    return parts.join(dense.select(*keys, "_no", (F.col("_rank") - 1).alias("part_no")), [*keys, "_no"]).select(*keys, "part_no", "text")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["text", "retrieval", "tables", "operations", "understanding", "segmentation", "ingestion"]
+_MODULES = ["text", "retrieval", "tables", "operations", "understanding", "segmentation", "ingestion", "row_answers"]
 
 
 def load_all() -> None:

@@ -176,6 +176,21 @@ DERIVED: dict[str, tuple] = {
     "sheet_questions": (["questions"], """
         SELECT query_id, CASE WHEN (query_id * 13) % 56 > 50 THEN (query_id * 13) % 56 + 50 ELSE (query_id * 13) % 56 END AS doc_set_id,
                query_text FROM {questions}"""),
+    # questions with a condition and for figures per group, over the same document sets
+    "filter_questions": (["sheet_questions"], """
+        SELECT query_id, doc_set_id, CASE query_id % 7
+               WHEN 0 THEN 'Show rows where vlan above ' || CAST(query_id * 37 % 4000 AS STRING)
+               WHEN 1 THEN 'Which rows have a balance below ' || CAST(query_id % 9 AS STRING) || ',500?'
+               WHEN 2 THEN 'rows with vlan above ' || CAST(query_id % 900 AS STRING) || ' and below ' || CAST(query_id % 900 + 800 AS STRING)
+               WHEN 3 THEN 'Show rows where status is ' || CASE query_id % 4 WHEN 0 THEN 'BUILDING' WHEN 1 THEN 'machinery?' WHEN 2 THEN 'o' ELSE 'automobile' END
+               WHEN 4 THEN 'Visa rader där amount över ' || CAST(query_id % 300 * 1000 AS STRING)
+               WHEN 5 THEN 'links with bandwidth above 1G' ELSE 'vlan under ' || CAST(query_id % 500 AS STRING) END AS query_text
+        FROM {sheet_questions}"""),
+    "group_questions": (["sheet_questions"], """
+        SELECT query_id, doc_set_id, CASE query_id % 8 WHEN 0 THEN 'Count per status' WHEN 1 THEN 'sum of balance per status'
+               WHEN 2 THEN 'average balance by bandwidth' WHEN 3 THEN 'Högsta vlan per status' WHEN 4 THEN 'breakdown by vlan'
+               WHEN 5 THEN 'sum of amount per status' WHEN 6 THEN 'lowest amount per status' ELSE 'antal per bandwidth' END AS query_text
+        FROM {sheet_questions}"""),
     # ── operations ──
     "models": (["part"], """
         SELECT p_partkey AS model_id, CASE WHEN p_partkey % 23 = 7 THEN NULL ELSE p_partkey % 110 END AS provider_id,

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 from tokenizers import Tokenizer
 
@@ -14,14 +19,61 @@ from foliant.llm.common import id_field, map_texts, stage, texts_of, worker_tabl
 
 #: UTF-8 bytes of text that a worker turns into words at a time.
 SLICE_BYTES = 1 << 20
-#: Words in the newer half of a worker's table; a full one takes the place of the older half.
-TABLE_ENTRIES = 220_000
+#: Words in the newer half of a worker's table (some 40 MB); a full one takes the place of the older half.
+TABLE_ENTRIES = 1_000_000
 #: Longer words (bytes) are encoded where they stand and not kept.
 LONG_WORD = 96
+#: Words that are encoded as one text, and what stands between them there: a character with an id of its own.
+WORDS_AT_ONCE, MARK = 1_000, "|"
 #: Pieces of one length that one task puts in order.
 BUCKET_ROWS = 200_000
 
 
+_LETTER_RUNS, _AFTER_LETTER = json.dumps(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")[1:-1], re.compile(r"(?<=[A-Za-z])(?=[.,;:!?])")
+
+
+class _Entries:
+    """Words and their ids in two byte strings, found by sorted hashes: some 40 bytes a word.
+
+    Hashes are sorted in runs; a new run is merged with those before it that are no longer than twice its length.
+    """
+
+    def __init__(self) -> None:
+        self.words, self.ids = bytearray(), bytearray()
+        self.word_ends, self.id_ends = array("I", [0]), array("I", [0])
+        self.runs: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def __len__(self) -> int:
+        return len(self.word_ends) - 1
+
+    def find(self, words: list[bytes], hashes: np.ndarray, found: dict[bytes, bytes]) -> None:
+        """Adds the words that are here to ``found``; equal hashes are told apart by the words."""
+        place = np.full(len(words), -1, np.int64)
+        for keys, at in self.runs:
+            near = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+            place = np.where(keys[near] == hashes, at[near], place)
+        at, word_ends, id_ends = np.flatnonzero(place >= 0), np.frombuffer(self.word_ends, np.uint32), np.frombuffer(self.id_ends, np.uint32)
+        k = place[at]
+        bounds = [x.tolist() for x in (at, word_ends[k], word_ends[k + 1], id_ends[k], id_ends[k + 1])]
+        with memoryview(self.words) as text, memoryview(self.ids) as ids:
+            for i, a, b, c, d in zip(*bounds, strict=True):
+                if text[a:b] == words[i]:
+                    found[words[i]] = ids[c:d].tobytes()
+
+    def add(self, words: list[bytes], hashes: np.ndarray, ids: list[bytes]) -> None:
+        first = len(self)
+        self.word_ends.frombytes((np.cumsum([len(x) for x in words]) + len(self.words)).astype(np.uint32).tobytes())
+        self.id_ends.frombytes((np.cumsum([len(x) for x in ids]) + len(self.ids)).astype(np.uint32).tobytes())
+        self.words += b"".join(words)
+        self.ids += b"".join(ids)
+        keys, at = hashes, np.arange(first, first + len(words), dtype=np.uint32)
+        while self.runs and len(self.runs[-1][0]) <= 2 * len(keys):
+            before = self.runs.pop()
+            keys, at = np.concatenate([before[0], keys]), np.concatenate([before[1], at])
+        order = np.argsort(keys, kind="stable")
+        self.runs.append((keys[order], at[order]))
+
+
 class WordTable:
     """Ids of words as little-endian bytes.
 
@@ -33,25 +85,57 @@ class WordTable:
     def __init__(self, tokenizer_file: str, entries: int = TABLE_ENTRIES) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer, self.entries = Tokenizer.from_file(tokenizer_file), entries
-        self.newer: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.newer, self.older = _Entries(), _Entries()
+        self.parts_letters = _LETTER_RUNS in self.tokenizer.to_str()
+        mark = self._ids(MARK)
+        self.mark = mark[0] if len(mark) == 1 else None
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _encoded(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word; many words are encoded as one text, cut at the mark between them."""
+        if self.mark is not None:
+            ids = np.array(self._ids(f" {MARK} ".join([w.decode() for w in words])), "<u4")
+            cuts = 4 * np.flatnonzero(ids == self.mark)
+            if len(cuts) == len(words) - 1:
+                data = ids.tobytes()
+                return [data[a:b] for a, b in zip([0, *(cuts + 4).tolist()], [*cuts.tolist(), len(data)], strict=True)]
+        # a word that holds the mark itself, whatever form of it
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+
+    def words_of(self, text: str) -> list[bytes]:
+        """Words in order, whose ids one after another are the text's.
+
+        Where the tokenizer takes runs of letters apart from what follows and lower-cases, a mark after an ASCII letter is
+        a word of its own and A-Z are a-z, which leaves fewer words to encode.  Only texts of ASCII without special tokens
+        are lower-cased: composed letters and special tokens depend on case.
+        """
+        if self.parts_letters:
+            text = _AFTER_LETTER.sub(" ", text.lower() if text.isascii() and "<|" not in text else text)
+        return text.encode("utf-8").split()
 
     def ids_of(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """A table that holds the ids of these words."""
+        """The ids of these words."""
         if len(self.newer) > self.entries:
-            self.newer, self.older = {}, self.newer
-        missing = []
-        for word in words:
-            if word not in self.newer:
-                if word in self.older:
-                    self.newer[word] = self.older[word]
-                else:
-                    missing.append(word)
-        for start in range(0, len(missing), 2_000):
-            part = missing[start:start + 2_000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.newer[word] = b"".join([i.to_bytes(4, "little") for i in e.ids])
-        return self.newer
+            self.newer, self.older = _Entries(), self.newer
+        asked, found = list(words), {}
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, asked), np.uint64, len(asked))
+        self.newer.find(asked, hashes, found)
+        again: dict[bytes, bytes] = {}
+        if len(self.older) and len(found) < len(asked):
+            left = [i for i, w in enumerate(asked) if w not in found]
+            self.older.find([asked[i] for i in left], hashes[left], again)
+        new = [i for i, w in enumerate(asked) if w not in found]
+        missing = [asked[i] for i in new if asked[i] not in again]
+        for start in range(0, len(missing), WORDS_AT_ONCE):
+            part = missing[start:start + WORDS_AT_ONCE]
+            again.update(zip(part, self._encoded(part), strict=True))
+        found |= again
+        kept = [i for i in new if len(asked[i]) <= LONG_WORD]
+        if kept:
+            self.newer.add([asked[i] for i in kept], hashes[kept], [again[asked[i]] for i in kept])
+        return found
 
 
 def cut_pieces(docs: DataFrame, tokenizer_file: str, capacity: int, end_id: int) -> DataFrame:
@@ -60,12 +144,12 @@ def cut_pieces(docs: DataFrame, tokenizer_file: str, capacity: int, end_id: int)
     last, name = end_id.to_bytes(4, "little"), f"words of {tokenizer_file}"
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        split = [t.encode("utf-8").split() for t in texts_of(batch)]
-        distinct = set().union(*split)
-        table = worker_table(name, lambda: WordTable(tokenizer_file)).ids_of(distinct)
+        words = worker_table(name, lambda: WordTable(tokenizer_file))
+        split = [words.words_of(t) for t in texts_of(batch)]
+        table = words.ids_of(set().union(*split))
         rows, starts, lengths, sums, totals = [], [], [], [], []
-        for i, words in enumerate(split):
-            ids = b"".join(map(table.__getitem__, words)) + last
+        for i, parts in enumerate(split):
+            ids = b"".join(map(table.__getitem__, parts)) + last
             for start in range(0, len(ids), 4 * capacity):
                 part = ids[start:start + 4 * capacity]
                 rows.append(i)
@@ -73,9 +157,6 @@ def cut_pieces(docs: DataFrame, tokenizer_file: str, capacity: int, end_id: int)
                 lengths.append(len(part) // 4)
                 sums.append(zlib.crc32(part))
                 totals.append(len(ids) // 4)
-        for word in distinct:
-            if len(word) > LONG_WORD:
-                del table[word]
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *[pa.array(v, pa.int64()) for v in (starts, lengths, sums, totals)]],
                                           schema.names)
 
@@ -156,7 +237,9 @@ def pack_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
     inside = Window.partitionBy("length", "_bucket").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
     ranked = marked.withColumn("_in", F.row_number().over(inside) - 1).join(sizes, ["length", "_bucket"])
     ranked = ranked.withColumn("_rank", F.col("_in") + F.col("_before"))
-    placed = ranked.join(patterns, ["length"]).where("_rank >= rank_from and _rank < rank_to")
+    ranges = patterns.groupBy("length").agg(F.collect_list(F.struct(*[c for c in patterns.columns if c != "length"])).alias("_ranges"))
+    taken = F.expr("filter(_ranges, x -> _rank >= x.rank_from and _rank < x.rank_to)[0]")  # one row a piece, not one for each pattern of its length
+    placed = ranked.join(ranges, "length").withColumn("_taken", taken).select("*", "_taken.*")
     place = F.col("_rank") - F.col("rank_from")
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens",
                          (F.col("first_sequence") + (place / F.col("times")).cast("long")).alias("sequence_id"),

@@ -179,6 +179,29 @@ WALK = """seq AS (SELECT query_id, chunk_id, length(content) AS n, row_number()
 PASSES = ",\n".join([rq.SCOPE, ALLC, WALK])
 register("batch_split", lambda t: cx.batch_split(sizes_of(t)),
          "SELECT query_id, chunk_id, CAST(batch_no AS INTEGER) AS batch_no FROM walk", CHUNKED, PASSES)
+_BPIECES = WALK.replace("bctx AS (SELECT query_id, batch_no, " + TRIM("string_agg(piece, '' ORDER BY rn)") + " AS context, count(*) AS chunks FROM (", "bpieces AS (SELECT * FROM (").replace(
+    " z GROUP BY query_id, batch_no)", " z)")
+
+
+def parts_sql(source: str, keys: str, order: str, chars: int) -> str:
+    """Parts of ordered pieces: a piece belongs where it begins."""
+    return f"""SELECT {keys}, part_no, string_agg(piece, '' ORDER BY {order}) AS text FROM (SELECT *, dense_rank() OVER (PARTITION BY {keys} ORDER BY used // {chars}) - 1 AS part_no
+      FROM (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY {keys} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM {source}) y) z
+      GROUP BY {keys}, part_no"""
+
+
+def batch_parts_of(t: Tables) -> DataFrame:
+    sizes = cut_lineage(sizes_of(t))
+    return cx.batch_context_parts(cx.batch_split(sizes), sizes, t.chunks, 8000)
+
+
+register("batch_context_parts", batch_parts_of,
+         f"SELECT query_id, CAST(batch_no AS INTEGER) AS batch_no, part_no, text FROM ({parts_sql('bpieces', 'query_id, batch_no', 'rn', 8000)}) p",
+         CHUNKED, ",\n".join([rq.SCOPE, ALLC, _BPIECES]))
+register("pending_parts", lambda t: st.pending_parts(rq.scope_of(t), t.docs, 60),
+         parts_sql("""(SELECT s.query_id, d.doc_id, '- ' || title || ': ' || coalesce(processing_stage, status) || coalesce(' ' || progress_current || '/' || progress_total, '')
+           || chr(10) AS piece FROM scope s JOIN docs d ON d.doc_id = s.doc_id WHERE status NOT IN ('Ready', 'Blocked', 'Failed')) l""", "query_id", "doc_id", 60),
+         SCOPED, rq.SCOPE)
 register("batch_context", batches_of,
          "SELECT query_id, CAST(batch_no AS INTEGER) AS batch_no, context, chunks FROM bctx", CHUNKED, PASSES)
 

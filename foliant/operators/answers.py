@@ -7,6 +7,7 @@ questions about it, and joined to the questions at the end.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -16,23 +17,81 @@ from foliant.functions import columns as names, intents, numbers, text
 from foliant.operators import tables as tb
 from foliant.options import DEFAULTS, Options
 from foliant.plans.ranking import top_per_group
-from foliant.session import cut_lineage
+from foliant.session import cut_columns, cut_lineage
 
 ANSWER = ["query_id", "doc_set_id", "value", "confidence", "method", "rows_processed", "column_used", "sheet_name",
           "is_exact", "column_matched", "fallback_extractor", "values_extracted", "distinct_values", "rejected_rows",
           "first_values", "extractor_name", "extractor_version", "extractor_priority", "extractor_order"]
-_EXTRACTOR = {name: (i, version, priority) for i, (name, version, priority, _, _) in enumerate(vocab.EXTRACTORS)}
 _VLAN_TARGET = "\x00vlan"
 
 
+# ── extractors ────────────────────────────────────────────────────────────────
+
+
+@dataclass(frozen=True)
+class Basis:
+    """What extractors answer from, made once for all of them.
+
+    ``rows``, ``sheets``, ``headers``, ``totals``: the tables; ``eligible``: questions with the extractors that may answer them;
+    ``targets``: the same with the column they are about; ``asked``: those with a column, joined to its figures.
+    """
+
+    rows: DataFrame
+    sheets: DataFrame
+    headers: DataFrame
+    totals: DataFrame
+    eligible: DataFrame
+    targets: DataFrame
+    asked: DataFrame
+    options: Options
+
+
+@dataclass(frozen=True)
+class Extractor:
+    """A way to answer a class of questions: who may ask it, and its answers as ``answer_rows``.
+
+    ``eligible`` is a condition on intent and lower-case text; with equal confidence the higher priority wins, then more
+    values, then the earlier registration.  ``needs_column``: whether the question's column is to be looked up.
+    """
+
+    name: str
+    version: str
+    priority: int
+    eligible: Callable[[Column, Column], Column]
+    answers: Callable[[Basis], DataFrame]
+    needs_column: bool = True
+
+
+_REGISTRY: dict[str, Extractor] = {}
+
+
+def register_extractor(extractor: Extractor) -> Extractor:
+    """Add an extractor, or replace the one of that name in its place."""
+    _REGISTRY[extractor.name] = extractor
+    return extractor
+
+
+def unregister_extractor(name: str) -> None:
+    _REGISTRY.pop(name, None)
+
+
+def extractors() -> list[Extractor]:
+    """The registered extractors in the order of their registration."""
+    return list(_REGISTRY.values())
+
+
+def serves(served: list[str], terms: list[str] | None) -> Callable[[Column, Column], Column]:
+    """Eligibility by intent and, where given, by words in the question."""
+    return lambda intent, q: intent.isin(served) & (intents.mentions(q, terms) if terms else F.lit(True))
+
+
 # ── eligibility ───────────────────────────────────────────────────────────────
 
 
 def extractor_eligibility(queries: DataFrame) -> DataFrame:
     """Which extractors may answer a question: query_id, doc_set_id, intent, query_text, extractor."""
     q = F.lower("query_text")
-    offers = [F.when(F.col("intent").isin(list(serves)) & (intents.mentions(q, terms) if terms else F.lit(True)), F.lit(name))
-              for name, _, _, serves, terms in vocab.EXTRACTORS]
+    offers = [F.when(e.eligible(F.col("intent"), q), F.lit(e.name)) for e in extractors()]
     return queries.withColumn("extractor", F.explode(F.array_compact(F.array(*offers))))
 
 
@@ -82,8 +141,9 @@ def column_figures(values: DataFrame, options: Options = DEFAULTS) -> DataFrame:
 # ── answer rows ───────────────────────────────────────────────────────────────
 
 
-def _answers(df: DataFrame, extractor: str, **fields: Column | str | int | bool | float | None) -> DataFrame:
-    order, version, priority = _EXTRACTOR[extractor]
+def answer_rows(df: DataFrame, extractor: str, **fields: Column | str | int | bool | float | None) -> DataFrame:
+    """Answers in the common form, from questions joined to their set's totals; fields that are not given have defaults."""
+    order, (version, priority) = list(_REGISTRY).index(extractor), (_REGISTRY[extractor].version, _REGISTRY[extractor].priority)
     given = {"confidence": 100.0, "column_used": None, "sheet_name": None, "is_exact": True, "column_matched": True,
              "fallback_extractor": None, "values_extracted": 0, "distinct_values": 0, "rejected_rows": 0,
              "first_values": None, **fields, "rows_processed": F.col("total_rows"), "extractor_name": extractor,
@@ -112,7 +172,7 @@ def _verb() -> Column:
 
 def count_row_answers(eligible: DataFrame, totals: DataFrame) -> DataFrame:
     asked = eligible.where((F.col("extractor") == "GenericColumn") & F.col("intent").isin("Count", "Aggregation"))
-    return _answers(asked.join(totals, "doc_set_id"), "GenericColumn", value=F.col("total_rows").cast("string"),
+    return answer_rows(asked.join(totals, "doc_set_id"), "GenericColumn", value=F.col("total_rows").cast("string"),
                     method="Count(rows)", column_matched=False, sheet_name=F.col("only_sheet"))
 
 
@@ -131,8 +191,9 @@ def _fallback_columns(headers: DataFrame) -> DataFrame:
 
 def question_columns(eligible: DataFrame, headers: DataFrame) -> DataFrame:
     """Each eligible question and extractor with the column it works on (null: none)."""
+    without = [e.name for e in extractors() if not e.needs_column]
     needs = eligible.where(~((F.col("extractor") == "GenericColumn") & F.col("intent").isin("Count", "Aggregation"))
-                           & (F.col("extractor") != "VlanExtractor"))
+                           & ~F.col("extractor").isin(without))
     asked = needs.select("query_id", "doc_set_id", "query_text").distinct()
     return (needs.join(tb.resolve_target_column(asked, headers), ["query_id", "doc_set_id"], "left")
             .join(_fallback_columns(headers), ["doc_set_id", "extractor"], "left")
@@ -154,7 +215,7 @@ def column_count_answers(asked: DataFrame, extractor: str) -> DataFrame:
     df = asked.where((F.col("extractor") == extractor) & F.col("intent").isin("Count", "DistinctCount"))
     filled, distinct = F.coalesce("filled", F.lit(0)), F.coalesce("distinct_n", F.lit(0))
     value = F.when(F.col("intent") == "DistinctCount", distinct).otherwise(filled)
-    return _answers(df, extractor, value=value.cast("string"), method=_method(_verb()), column_used=F.col("col_name"),
+    return answer_rows(df, extractor, value=value.cast("string"), method=_method(_verb()), column_used=F.col("col_name"),
                     values_extracted=filled, distinct_values=distinct,
                     first_values=F.coalesce("first_values", F.lit("")))
 
@@ -171,7 +232,7 @@ def numeric_answers(asked: DataFrame) -> DataFrame:
     df = asked.where((F.col("extractor") == "GenericColumn") & F.col("intent").isin("Sum", "Average", "Maximum", "Minimum"))
     # filtered on the number: a filter on its text would repeat the formatting
     df = df.withColumn("_v", _aggregate("plain")).where(F.col("_v").isNotNull())
-    return _answers(df, "GenericColumn", value=numbers.format_result("_v"),
+    return answer_rows(df, "GenericColumn", value=numbers.format_result("_v"),
                     method=_method(_verb()), column_used=F.col("col_name"))
 
 
@@ -181,7 +242,7 @@ def bandwidth_answers(asked: DataFrame) -> DataFrame:
     plain_n, mbps_n = F.coalesce("plain_n", F.lit(0)), F.coalesce("mbps_n", F.lit(0))
     plain = ~F.coalesce("has_unit", F.lit(False)) & (plain_n > mbps_n)
     df = df.withColumn("_v", F.when(plain, _aggregate("plain")).otherwise(_aggregate("mbps"))).where(F.col("_v").isNotNull())
-    return _answers(df, "BandwidthExtractor", value=numbers.format_result("_v"), method=_method(_verb()),
+    return answer_rows(df, "BandwidthExtractor", value=numbers.format_result("_v"), method=_method(_verb()),
                     column_used=F.col("col_name"))
 
 
@@ -215,7 +276,7 @@ def vlan_answers(eligible: DataFrame, rows: DataFrame, sheets: DataFrame, totals
     df = df.where(is_distinct | is_count | F.col("_v").isNotNull())
     value = (F.when(is_distinct, distinct.cast("string")).when(is_count, filled.cast("string"))
              .otherwise(numbers.format_result("_v")))
-    return _answers(df, "VlanExtractor", value=value, column_used=F.col("col_name"),
+    return answer_rows(df, "VlanExtractor", value=value, column_used=F.col("col_name"),
                     method=F.concat(_method(_verb()), F.lit(" in '"), "vlan_sheet", F.lit("'")),
                     values_extracted=F.when(is_distinct | is_count, filled).otherwise(0),
                     distinct_values=F.when(is_distinct, distinct).otherwise(0),
@@ -247,7 +308,7 @@ def vlan_first_token_answers(eligible: DataFrame, rows: DataFrame, sheets: DataF
              .when(F.col("intent") == "Maximum", F.col("hi")).otherwise(F.col("lo")))
     method = (F.when(is_distinct, "Distinct(VLAN_ID_FROM_FIRST_TOKEN)").when(is_count, "Count(VLAN_ROWS_FROM_FIRST_TOKEN)")
               .when(F.col("intent") == "Maximum", "Max(VLAN_ID_FROM_FIRST_TOKEN)").otherwise("Min(VLAN_ID_FROM_FIRST_TOKEN)"))
-    return _answers(df, "VlanExtractor", value=value.cast("string"), method=method, confidence=95.0, is_exact=False,
+    return answer_rows(df, "VlanExtractor", value=value.cast("string"), method=method, confidence=95.0, is_exact=False,
                     column_matched=False, column_used="VLAN(first-token)", fallback_extractor="VlanFirstToken",
                     values_extracted=F.when(is_distinct | is_count, F.col("extracted")).otherwise(0),
                     distinct_values=F.when(is_distinct, F.col("ids")).otherwise(0),
@@ -270,7 +331,7 @@ def _scan_answers(targets: DataFrame, rows: DataFrame, totals: DataFrame, extrac
              .agg(F.array_join(F.sort_array(F.collect_list("v")), ",").alias("first_values")))
     figures = per_value.groupBy("doc_set_id").agg(F.count(F.lit(1)).alias("n")).join(first, "doc_set_id")
     df = asked.join(totals, "doc_set_id").join(figures, "doc_set_id")
-    return _answers(df, extractor, value=F.col("n").cast("string"), confidence=95.0,
+    return answer_rows(df, extractor, value=F.col("n").cast("string"), confidence=95.0,
                     method=F.concat(_verb(), F.lit(f"({label})")), column_used=column, is_exact=False, column_matched=False,
                     fallback_extractor=fallback, distinct_values=F.col("n"), first_values=F.col("first_values"))
 
@@ -293,21 +354,15 @@ def ip_scan_answers(targets: DataFrame, rows: DataFrame, totals: DataFrame, opti
 
 def answer_candidates(queries: DataFrame, rows: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     """Every extractor's answer to every question.  ``queries``: query_id, doc_set_id, query_text, intent."""
-    rows = cut_lineage(rows)  # the parsed tables, read by every extractor
+    rows = cut_columns(rows)  # the parsed tables, read by every extractor
     sheets = cut_lineage(tb.sheets_of(rows))
     headers, totals = tb.headers_of(sheets), set_totals(sheets)
     # questions are few next to cells; cut here so that no filter drags the phrase tests along
     eligible = cut_lineage(extractor_eligibility(queries))
     targets = cut_lineage(question_columns(eligible, headers))
     asked = cut_lineage(with_figures(targets, rows, headers, totals, options))
-    parts = [count_row_answers(eligible, totals), numeric_answers(asked), bandwidth_answers(asked),
-             vlan_answers(eligible, rows, sheets, totals, options),
-             vlan_first_token_answers(eligible, rows, sheets, totals, options),
-             interface_scan_answers(targets, rows, totals, options), ip_scan_answers(targets, rows, totals, options)]
-    distinct_only = asked.where(F.col("intent") == "DistinctCount")
-    parts.append(column_count_answers(distinct_only, "GenericColumn"))
-    parts += [column_count_answers(asked, e) for e in ("CircuitExtractor", "InterfaceExtractor", "IpAddressExtractor")]
-    return reduce(DataFrame.unionByName, parts)
+    basis = Basis(rows, sheets, headers, totals, eligible, targets, asked, options)
+    return reduce(DataFrame.unionByName, [e.answers(basis).select(*ANSWER) for e in extractors()])
 
 
 def answer_arbitration(candidates: DataFrame, options: Options = DEFAULTS) -> DataFrame:
@@ -325,3 +380,26 @@ def exact_answers(queries: DataFrame, texts: DataFrame, options: Options = DEFAU
     """Questions that ask for a calculation, answered from the tables of their document sets."""
     asked = cut_lineage(classify(queries)).where(intents.is_structured("intent"))
     return answer_arbitration(answer_candidates(asked, tb.load_tables(texts), options), options)
+
+
+# ── the built-in extractors ───────────────────────────────────────────────────
+
+
+def _generic(b: Basis) -> DataFrame:
+    distinct = column_count_answers(b.asked.where(F.col("intent") == "DistinctCount"), "GenericColumn")
+    return count_row_answers(b.eligible, b.totals).unionByName(numeric_answers(b.asked)).unionByName(distinct)
+
+
+_ANSWERS: dict[str, Callable[[Basis], DataFrame]] = {
+    "VlanExtractor": lambda b: vlan_answers(b.eligible, b.rows, b.sheets, b.totals, b.options).unionByName(
+        vlan_first_token_answers(b.eligible, b.rows, b.sheets, b.totals, b.options)),
+    "BandwidthExtractor": lambda b: bandwidth_answers(b.asked),
+    "CircuitExtractor": lambda b: column_count_answers(b.asked, "CircuitExtractor"),
+    "InterfaceExtractor": lambda b: column_count_answers(b.asked, "InterfaceExtractor").unionByName(
+        interface_scan_answers(b.targets, b.rows, b.totals, b.options)),
+    "IpAddressExtractor": lambda b: column_count_answers(b.asked, "IpAddressExtractor").unionByName(
+        ip_scan_answers(b.targets, b.rows, b.totals, b.options)),
+    "GenericColumn": _generic,
+}
+for _name, _version, _priority, _served, _terms in vocab.EXTRACTORS:
+    register_extractor(Extractor(_name, _version, _priority, serves(_served, _terms), _ANSWERS[_name], _name != "VlanExtractor"))

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from foliant import vocab
 from foliant.functions import text
-from foliant.plans.ranking import join_text
+from foliant.options import DEFAULTS
+from foliant.plans.ranking import join_text, text_parts
+from foliant.session import cut_lineage
 
 LINE_TOLERANCE = 3.0
 COLUMN_GAP = 20.0
@@ -127,15 +129,31 @@ def _row_texts(filled: DataFrame, depth: DataFrame) -> DataFrame:
             .withColumn("line", F.concat(F.lit("| "), "line", F.lit(" |"))))
 
 
+def _sheet_head(filled: DataFrame, depth: DataFrame) -> DataFrame:
+    """Marker, header and rule of each sheet as ``head``."""
+    heads = qualified_headers(filled, depth).withColumn("_dash", F.repeat(F.lit("-"), F.greatest(F.lit(3), F.length("header"))))
+    top = heads.groupBy(*_SHEET).agg(join_text("header", "col_no", " | ").alias("_h"), join_text("_dash", "col_no", " | ").alias("_d"))
+    return depth.select(*_SHEET, "sheet_name").join(top, _SHEET).select(*_SHEET, F.concat(
+        F.lit("--- Sheet: "), "sheet_name", F.lit(" ---\n| "), "_h", F.lit(" |\n| "), "_d", F.lit(" |\n")).alias("head"))
+
+
 def sheet_render(cells: DataFrame, merged: DataFrame) -> DataFrame:
     """Markdown text of each sheet with its marker, header and rule: doc_id, sheet_no, text."""
     filled, depth = merged_cell_fill(cells, merged), header_depth(cells, merged)
-    heads = qualified_headers(filled, depth).withColumn("_dash", F.repeat(F.lit("-"), F.greatest(F.lit(3), F.length("header"))))
-    top = heads.groupBy(*_SHEET).agg(join_text("header", "col_no", " | ").alias("_h"), join_text("_dash", "col_no", " | ").alias("_d"))
     rows = _row_texts(filled, depth).groupBy(*_SHEET).agg(join_text("line", "row_no", "\n").alias("_rows"))
-    return (depth.select(*_SHEET, "sheet_name").join(top, _SHEET).join(rows, _SHEET, "left")
-            .select(*_SHEET, F.concat(F.lit("--- Sheet: "), "sheet_name", F.lit(" ---\n| "), "_h", F.lit(" |\n| "), "_d", F.lit(" |\n"),
-                                      F.coalesce(F.concat("_rows", F.lit("\n")), F.lit("")), F.lit("\n")).alias("text")))
+    return _sheet_head(filled, depth).join(rows, _SHEET, "left").select(
+        *_SHEET, F.concat("head", F.coalesce(F.concat("_rows", F.lit("\n")), F.lit("")), F.lit("\n")).alias("text"))
+
+
+def sheet_parts(cells: DataFrame, merged: DataFrame, part_chars: int = DEFAULTS.full_document_chars) -> DataFrame:
+    """The same texts as parts of about ``part_chars`` characters: doc_id, sheet_no, part_no, text; a large sheet is many rows here."""
+    filled, depth = merged_cell_fill(cells, merged), header_depth(cells, merged)
+    place = lambda kind, row: F.struct(F.lit(kind).alias("kind"), row.cast("int").alias("row_no")).alias("_at")
+    head = _sheet_head(filled, depth)
+    pieces = (head.select(*_SHEET, place(0, F.lit(0)), F.col("head").alias("piece"))
+              .union(_row_texts(filled, depth).select(*_SHEET, place(1, F.col("row_no")), F.concat("line", F.lit("\n"))))
+              .union(head.select(*_SHEET, place(2, F.lit(0)), F.lit("\n"))))
+    return text_parts(cut_lineage(pieces), _SHEET, "_at", "piece", part_chars)
 
 
 def sheet_extract_stats(cells: DataFrame, merged: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from foliant import vocab
 from foliant.functions import intents
 from foliant.options import DEFAULTS, Options
-from foliant.plans.ranking import join_text
+from foliant.plans.ranking import join_text, text_parts
+from foliant.session import cut_lineage
 
 SETTLED = ["Ready", "Blocked", "Failed"]
 
@@ -36,13 +37,27 @@ def ready_scope_texts(scope: DataFrame, docs: DataFrame) -> DataFrame:
             .join(scope.select("doc_id").distinct(), "doc_id", "left_semi"))
 
 
+def _pending_line() -> Column:
+    return F.concat(F.lit("- "), F.coalesce("title", F.lit("")), F.lit(": "), F.coalesce("processing_stage", "status"), F.coalesce(F.concat(
+        F.lit(" "), F.col("progress_current").cast("string"), F.lit("/"), F.col("progress_total").cast("string")), F.lit("")))
+
+
+def pending_parts(scope: DataFrame, docs: DataFrame, part_chars: int = DEFAULTS.max_context_chars) -> DataFrame:
+    """The lines about a question's pending documents as parts of about ``part_chars`` characters: query_id, part_no, text.
+
+    A question may wait for any number of documents; here no string grows with that number.
+    """
+    d = scope.join(docs.where(~F.col("status").isin(SETTLED)).select(
+        "doc_id", "title", "status", "processing_stage", "progress_current", "progress_total"), "doc_id")
+    lines = cut_lineage(d.select("query_id", "doc_id", F.concat(_pending_line(), F.lit("\n")).alias("piece")))
+    return text_parts(lines, ["query_id"], "doc_id", "piece", part_chars)
+
+
 def processing_guard(queries: DataFrame, scope: DataFrame, docs: DataFrame) -> DataFrame:
     """Documents of a question that are still being processed, and the prompt that says so."""
     d = scope.join(docs.select("doc_id", "title", "status", "processing_stage", "progress_current", "progress_total"), "doc_id")
-    line = F.concat(F.lit("- "), "title", F.lit(": "), F.coalesce("processing_stage", "status"), F.coalesce(F.concat(
-        F.lit(" "), F.col("progress_current").cast("string"), F.lit("/"), F.col("progress_total").cast("string")), F.lit("")))
     pending = ~F.col("status").isin(SETTLED)
-    per = (d.withColumn("_line", F.when(pending, line)).groupBy("query_id").agg(
+    per = (d.withColumn("_line", F.when(pending, _pending_line())).groupBy("query_id").agg(
         F.count_if(pending).alias("pending"), F.count_if(F.col("status") == "Ready").alias("ready"),
         join_text("_line", "doc_id", "\n").alias("_lines")))
     none = F.coalesce("pending", F.lit(0)) == 0

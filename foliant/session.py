@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,14 +49,12 @@ def ship_package(spark: SparkSession) -> None:
         spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(folder, "foliant"), "zip", os.path.dirname(root), os.path.basename(root)))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint for a result that several later steps read.
+def _checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the shared one the cluster names in ``spark.checkpoint.dir``.
     A local session without that setting (tests, bench) gets a folder of its
     own; a cluster session without it is an error.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -64,4 +63,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         if not folder:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint for a small result that several later steps read."""
+    _checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cut_columns(df: DataFrame) -> DataFrame:
+    """The same for a large result: Parquet in the shared folder, so that each later step reads only its columns."""
+    path = f"{_checkpoint_folder(df.sparkSession).rstrip('/')}/columns-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

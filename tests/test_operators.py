@@ -4,11 +4,13 @@ import random
 from dataclasses import replace
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from foliant.operators import (answers as an, chunking as ch, context as cx, layout as ly, operations as op, retrieval as r, segments as sg,
                                tables as tb)
 from foliant.options import DEFAULTS
+from foliant.plans import ranking
 
 
 def scored_rows(seed):
@@ -241,3 +243,78 @@ def test_blank_documents_do_not_use_up_the_budget(spark):
             expected.append((doc, f"<{body[:7 - used]}>"))
         used += len(body)
     assert [(r["doc_id"], r["piece"]) for r in got] == expected
+
+
+def test_a_seventh_extractor_answers(spark):
+    """Registered from outside: eligibility, priority and answers, without a change to the built-in ones."""
+    def answers(basis):
+        sheets = basis.sheets.groupBy("doc_set_id").agg(F.count(F.lit(1)).alias("sheets"))
+        asked = basis.eligible.where(F.col("extractor") == "SheetCounter").join(sheets, "doc_set_id").join(basis.totals, "doc_set_id")
+        return an.answer_rows(asked, "SheetCounter", value=F.col("sheets").cast("string"), method="Count(sheets)")
+
+    text = "--- Sheet: A ---\n| Site | Cost |\n| x | 1 |\n| y | 2 |\n--- Sheet: B ---\n| Site | Cost |\n| z | 3 |\n"
+    texts = spark.createDataFrame([(1, 10, "Excel", text)], "doc_set_id int, doc_id int, document_type string, text string")
+    queries = spark.createDataFrame([(1, 1, "How many sheets? number of rows"), (2, 1, "number of rows"), (3, 1, "sum of cost")], "query_id int, doc_set_id int, query_text string")
+    plain = {x.query_id: (x.value, x.extractor_name) for x in an.exact_answers(queries, texts).collect()}
+    assert plain == {1: ("3", "GenericColumn"), 2: ("3", "GenericColumn"), 3: ("6", "GenericColumn")}
+    an.register_extractor(an.Extractor("SheetCounter", "1.0", 2000, an.serves(["Count"], ["sheets"]), answers, needs_column=False))
+    try:
+        got = {x.query_id: (x.value, x.extractor_name, x.candidate_count) for x in an.exact_answers(queries, texts).collect()}
+    finally:
+        an.unregister_extractor("SheetCounter")
+    assert got == {1: ("2", "SheetCounter", 2), 2: ("3", "GenericColumn", 1), 3: ("6", "GenericColumn", 1)}
+
+
+@pytest.mark.parametrize("ids", ["bigint", "string"])
+def test_buckets_of_a_hot_group_keep_the_order(spark, ids):
+    rnd = random.Random(4)
+    make = (lambda n: n) if ids == "bigint" else (lambda n: f"k{n * 7919 % 5000:05d}")
+    rows = [(1, make(i), rnd.randrange(9)) for i in range(3000)] + [(2, make(i), 1) for i in range(5)]
+    df = spark.createDataFrame(rows, f"g int, o {ids}, n int").repartition(3)
+    placed = ranking.order_buckets(df, ["g"], "o", 100)
+    sizes = [x["count"] for x in placed.where("g = 1").groupBy("_bucket").count().collect()]
+    assert len(sizes) > 15 and max(sizes) < 400 and placed.where("g = 2").select("_bucket").distinct().count() == 1
+    ranked = ranking.bucketed_rank(placed, ["g"], {"_b": F.col("_bucket")}, [F.col("o")])
+    want = {}
+    for g in (1, 2):
+        for i, o in enumerate(sorted(r[1] for r in rows if r[0] == g), 1):
+            want[(g, o)] = i
+    assert {(x.g, x.o): x.position for x in ranked.collect()} == want
+    running = ranking.exclusive_running(placed, ["g"], F.col("_bucket"), "o", {"before": F.col("n")}, {})
+    total = {}
+    for g, o, n in sorted(rows):
+        total[(g, o)] = total.get(("sum", g), 0)
+        total[("sum", g)] = total.get(("sum", g), 0) + n
+    assert all(x.before == total[(x.g, x.o)] for x in running.collect())
+
+
+def test_parts_join_to_the_whole(spark):
+    pieces = [(1, i, "x" * (i % 7) + f"{i}\n") for i in range(200)] + [(1, 300, "y" * 90), (1, 301, "end"), (2, 0, "one")]
+    df = spark.createDataFrame(pieces, "k int, o int, piece string").repartition(4)
+    parts = ranking.text_parts(df, ["k"], "o", "piece", 40).orderBy("k", "part_no").collect()
+    for k in (1, 2):
+        mine = [p for p in parts if p.k == k]
+        assert [p.part_no for p in mine] == list(range(len(mine))) and "".join(p.text for p in mine) == "".join(p for g, _, p in pieces if g == k)
+        assert all(len(p.text) < 40 + 90 for p in mine)
+
+
+def test_sheet_parts_join_to_the_rendered_sheet(spark):
+    cells = spark.createDataFrame([(1, 1, "S", r, c, f"v{r}{c}") for r in range(1, 40) for c in (1, 2)], "doc_id int, sheet_no int, sheet_name string, row_no int, col_no int, value string")
+    merged = spark.createDataFrame([], "doc_id int, sheet_no int, r1 int, c1 int, r2 int, c2 int")
+    whole = ly.sheet_render(cells, merged).first().text
+    parts = ly.sheet_parts(cells, merged, 100).orderBy("part_no").collect()
+    assert len(parts) > 3 and "".join(p.text for p in parts) == whole
+
+
+def test_missing_titles_lose_no_text(spark):
+    chunks = spark.createDataFrame([(1, 1, 0, "aaa"), (2, 2, 0, "bbb"), (3, 2, 1, "ccc")], "chunk_id int, doc_id int, chunk_index int, content string")
+    sizes = spark.createDataFrame([(1, 1, 1, 0, None, None, 3), (1, 2, 2, 0, "T", None, 3), (1, 3, 2, 1, "T", None, 3)],
+                                  "query_id int, chunk_id int, doc_id int, chunk_index int, title string, file_name string, body_chars int")
+    got = cx.ordered_context(cx.ordered_chunks(sizes, 500), chunks).first()
+    assert got.chunks_sent == 3 and got.context == "--- Dokument:  (Fil: ) ---\naaa\n\n--- Dokument: T (Fil: ) ---\nbbb\n\nccc"
+    found = spark.createDataFrame([(1, 5, 0.9, None, None, None, None, 0, "text")],
+                                  "query_id int, chunk_id int, score double, title string, file_name string, page_number int, heading string, chunk_index int, content string")
+    assert "text" in cx.ranked_context(found).first().context
+    late = spark.createDataFrame([(1, f"d{i:03d}", None, "Txt", "x" * 10) for i in range(30)], "query_id int, doc_id string, title string, document_type string, text string")
+    queries = spark.createDataFrame([(1, "q")], "query_id int, query_text string")
+    assert cx.direct_context(queries, late).first().prompt.count("x" * 10) == 30

@@ -11,7 +11,7 @@ from foliant import vocab
 from foliant.functions import intents, text
 from foliant.operators import answers as an, context as cx, coverage as cv, retrieval as r, strategy as st
 from foliant.options import DEFAULTS
-from foliant.plans import session as sm
+from foliant.plans import prompts as pr, session as sm
 from foliant.session import cut_lineage
 
 INTENT = tq.intent_sql("lower(query_text)")
@@ -341,3 +341,43 @@ register("session_metrics", lambda t: metrics_of(t).withColumns({c: F.round(c, 6
  FROM strategies s JOIN questions q ON q.query_id = s.query_id LEFT JOIN answered a ON a.query_id = s.query_id LEFT JOIN used u ON u.query_id = s.query_id
    LEFT JOIN cover v ON v.query_id = s.query_id LEFT JOIN rstat h ON h.query_id = s.query_id LEFT JOIN rctx x ON x.query_id = s.query_id
    LEFT JOIN tcodes tc ON tc.query_id = s.query_id LEFT JOIN ccodes cc ON cc.query_id = s.query_id""", rq.ALL, METRICS)
+
+
+# ── the whole answer path ─────────────────────────────────────────────────────
+
+
+def prompts_of(t: Tables) -> DataFrame:
+    return pr.answer_prompts(an.classify(t.questions), t.query_files, t.files, t.docs, t.chunks, t.vectors, rq.points_of(t), t.query_vectors,
+                             doc_answers(t).drop("doc_set_id"), rq.LOW)
+
+
+def _apart(sql: str, n: str) -> str:
+    """Another set of names for the cut documents of a path."""
+    return sql.replace("dp AS", f"dp{n} AS").replace("FROM dp ", f"FROM dp{n} ").replace("FROM dtext", f"FROM dtext{n}")
+
+
+_DOCS = [DTEXT, DTEXT.replace("dtext AS", "dtext3 AS").replace("d.extracted_text IS NOT NULL)", "d.extracted_text IS NOT NULL AND d.document_type IN ('Excel', 'Csv'))")]
+_CCODES = HINTS.replace("codes AS", "ccodes AS").replace("FROM codes", "FROM ccodes").replace("hints AS", "chints AS").replace("FROM dtext", "FROM (SELECT query_id, content AS text FROM allc) d")
+_LIST = f"""{quote(vocab.ENUMERATION_RULES)} || CASE WHEN a.intent = 'TableEnumeration' THEN {quote(vocab.ENUMERATION_TABLE_NOTE)} ELSE '' END || CASE WHEN %s.n > 0 THEN
+      {quote(_HEAD[0])} || %s.n || {quote(_HEAD[1])} || %s.listed || {quote(vocab.ENUMERATION_HINT_TAIL)} ELSE '' END || {quote(vocab.ENUMERATION_CONTENT)}"""
+_ENUM = f"a.intent IN ({in_list(vocab.ENUMERATION_INTENTS)})"
+_PATH = ",\n".join([ANSWERED, f"strat AS ({STRATEGY})", rq.final(0.1).replace(rq.SCOPE + ",\n", ""), RETR, ranked_sql(0.1), INSTR, ALLC, ORDERED, *_DOCS,
+                    pieces_sql(16000, NOTE, "\n\n--- Slut ---\n\n", "dbody"), _apart(pieces_sql(48000, NOTE, "\n\n--- Slut ---\n\n", "ebody"), "2").replace("FROM dtext2", "FROM dtext"),
+                    _apart(pieces_sql(16000, "'--- ' || title || ' ---' || chr(10)", "\n--- End ---\n", "sbody"), "3"), HINTS, _CCODES])
+register("answer_prompts", prompts_of,
+         f"""SELECT a.query_id, CASE WHEN f.query_id IS NULL THEN 'NoFiles' ELSE a.strategy END AS strategy, CASE WHEN f.query_id IS NULL OR a.strategy = 'StillProcessing' THEN g.prompt
+               WHEN a.strategy = 'StructuredDataEngine' THEN g.prompt || {quote(vocab.ANSWER_HEAD)} || 'Result: ' || x.value || chr(10) || CASE WHEN {BLANK('x.column_used')} THEN '' ELSE
+                 'Source column: ' || x.column_used || chr(10) END || {quote(vocab.ANSWER_TAIL)} || {quote(vocab.ANSWER_CONTEXT_HEAD)} || coalesce(s.body, '')
+               WHEN a.strategy = 'SmallDocumentDirectContext' AND {_ENUM} THEN g.prompt || {_LIST % ('h', 'h', 'h')} || {TRIM('e.body')}
+               WHEN a.strategy = 'SmallDocumentDirectContext' THEN g.prompt || CASE WHEN tab THEN {quote(vocab.DIRECT_INSTRUCTION[True])} ELSE {quote(vocab.DIRECT_INSTRUCTION[False])} END
+                 || chr(10) || {TRIM('d.body')}
+               WHEN a.strategy = 'FullDocumentRetrieval' THEN CASE WHEN c.query_id IS NULL THEN g.prompt || {quote(vocab.NO_FILE_CHUNKS)} ELSE g.prompt || CASE WHEN {_ENUM} THEN
+                 {_LIST % ('k', 'k', 'k')} ELSE {quote(vocab.FULL_DOCUMENT_INSTRUCTION)} END || chr(10) || coalesce(o.context, '') END
+               ELSE g.prompt || CASE WHEN r.context IS NULL THEN {quote(vocab.NO_FILE_CONTEXT)} ELSE i.instruction || chr(10) || r.context END END AS prompt
+             FROM strat a JOIN guard g ON g.query_id = a.query_id LEFT JOIN answered x ON x.query_id = a.query_id LEFT JOIN sbody s ON s.query_id = a.query_id
+             LEFT JOIN dbody d ON d.query_id = a.query_id LEFT JOIN ebody e ON e.query_id = a.query_id LEFT JOIN hints h ON h.query_id = a.query_id
+             LEFT JOIN chints k ON k.query_id = a.query_id LEFT JOIN octx o ON o.query_id = a.query_id LEFT JOIN rctx r ON r.query_id = a.query_id
+             LEFT JOIN instr i ON i.query_id = a.query_id LEFT JOIN (SELECT DISTINCT query_id FROM allc) c ON c.query_id = a.query_id
+             LEFT JOIN (SELECT DISTINCT query_id FROM query_files) f ON f.query_id = a.query_id
+             LEFT JOIN (SELECT query_id, bool_or(document_type IN ('Excel', 'Csv')) AS tab FROM dtext GROUP BY query_id) t ON t.query_id = a.query_id""",
+         sorted(set(rq.ALL + CHUNKED)), _PATH)

@@ -108,15 +108,6 @@ def collection_context(queries: DataFrame, retrieved: DataFrame, options: Option
         .otherwise(F.concat(F.lit(vocab.COLLECTION_INSTRUCTION + "\n"), "context"))).alias("prompt"))
 
 
-def semantic_context(queries: DataFrame, retrieved: DataFrame, options: Options = DEFAULTS) -> DataFrame:
-    """Prompt of the semantic path."""
-    context = ranked_context(retrieved, options).join(
-        context_instruction(queries, retrieved).select("query_id", "instruction"), "query_id")
-    return queries.join(context, "query_id", "left").select("query_id", F.concat(
-        "query_text", F.when(F.col("context").isNull(), F.lit(vocab.NO_FILE_CONTEXT))
-        .otherwise(F.concat("instruction", F.lit("\n"), "context"))).alias("prompt"))
-
-
 # ── whole texts ───────────────────────────────────────────────────────────────
 
 
@@ -179,7 +170,12 @@ def candidate_hints(documents: DataFrame, options: Options = DEFAULTS, texts: Da
     """
     documents, texts = _apart(documents, texts)
     found = texts.select("doc_id", F.explode(F.array_distinct(text.model_codes("text"))).alias("code"))
-    codes = cut_lineage(ranked_codes(documents.select("query_id", "doc_id").join(found, "doc_id").select("query_id", "code"), ["query_id"]))
+    return first_hints(ranked_codes(documents.select("query_id", "doc_id").join(found, "doc_id").select("query_id", "code"), ["query_id"]), options)
+
+
+def first_hints(codes: DataFrame, options: Options = DEFAULTS) -> DataFrame:
+    """query_id, candidates, hints from ranked codes."""
+    codes = cut_lineage(codes)
     count = codes.groupBy("query_id").agg(F.count(F.lit(1)).alias("candidates"))
     first = (codes.where(F.col("rank") <= options.candidate_hints).groupBy("query_id")
              .agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "code"))), lambda x: x["code"]).alias("hints")))

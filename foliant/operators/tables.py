@@ -181,11 +181,6 @@ def headers_of(sheets: DataFrame) -> DataFrame:
 # ── column resolution ─────────────────────────────────────────────────────────
 
 
-def _table_order(*rest: str) -> Column:
-    """Larger tables first, then table and column order."""
-    return F.struct((-F.col("n_rows")).alias("size"), F.col("sheet_no"), *[F.col(c) for c in rest])
-
-
 def find_best_column(concepts: DataFrame, headers: DataFrame) -> DataFrame:
     """Column of a document set that stands for a concept: same flattened name, same
     alias group, or same canonical name.  ``concepts``: doc_set_id, concept."""

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from catalog.inputs import Tables, register
-from catalog.sqltext import BLANK, CLEANUP, TRIM
+from catalog.sqltext import BLANK, CLEANUP, HEADING, NORMALIZE, TRIM, quote
+from foliant import vocab
 from foliant.operators import chunking as ch, layout as ly, segments as sg
 
 register("page_segments", lambda t: sg.page_segments(t.paged_docs),
@@ -35,9 +36,57 @@ def texts(t: Tables) -> DataFrame:
             .unionByName(t.workbooks.select(F.concat(F.lit("w"), "doc_id").alias("doc_id"), "text")))
 
 
-register("chunk_text", lambda t: ch.chunk_text(texts(t).where(~F.contains("text", F.lit("--- Sheet:")))))
-register("chunk_table_rows", lambda t: ch.chunk_table_rows(t.workbooks.select("doc_id", "text")))
-register("chunk_router", lambda t: ch.chunk_router(texts(t)))
+def _last(n: str) -> str:
+    return f"CASE WHEN contains(c, {n}) THEN length(c) - strpos(reverse(c), reverse({n})) - length({n}) + 1 ELSE -1 END"
+
+
+_END = f"""SELECT *, CASE WHEN cut > 150 THEN s + cut ELSE full_end END AS e FROM (SELECT *, CASE WHEN full_end >= size THEN -1 WHEN p > 1500 THEN p WHEN greatest(d, x, q) > 1500
+      THEN greatest(d, x, q) + 1 WHEN l > 1500 THEN l WHEN w > 1500 THEN w ELSE -1 END AS cut FROM (SELECT *, {", ".join(f"{_last(n)} AS {a}" for n, a in (
+          ("chr(10) || chr(10)", "p"), ("'. '", "d"), ("'! '", "x"), ("'? '", "q"), ("chr(10)", "l"), ("' '", "w")))}
+    FROM (SELECT *, substr(work, s + 1, full_end - s) AS c FROM (SELECT *, length(work) AS size, least(s + 3000, length(work)) AS full_end FROM (%s) t0) t1) t2) t3) t4"""
+ALLTEXT = """alltext AS (SELECT 'p' || doc_id AS doc_id, text FROM paged_docs UNION ALL SELECT 'd' || doc_id, text FROM documents
+    UNION ALL SELECT 'w' || doc_id, text FROM workbooks)"""
+#: Windows slide over each segment and the tail of the one before: one step of the recursion per piece.
+WINDOWS = f"""segs0 AS (SELECT doc_id, i, paged, CASE WHEN paged THEN TRY_CAST(nums[i - 1] AS INTEGER) END AS page_number, CASE WHEN paged THEN {TRIM('parts[i]')} ELSE parts[i] END AS content
+    FROM (SELECT *, len(nums) > 0 AS paged, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '(?m)^--- Page [0-9]+ ---') AS parts,
+      regexp_extract_all(text, '(?m)^--- Page ([0-9]+) ---', 1) AS nums FROM alltext WHERE NOT contains(text, '--- Sheet:') AND NOT {BLANK('text')}) a) b),
+  segs AS (SELECT doc_id, page_number, content, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS seg FROM (SELECT doc_id, i, page_number,
+      {TRIM(f"CASE WHEN paged THEN {CLEANUP('n')} ELSE n END")} AS content FROM (SELECT *, {NORMALIZE('content')} AS n FROM segs0 WHERE NOT paged OR content <> '') x) y WHERE content <> ''),
+  win AS (SELECT doc_id, seg, 1 AS k, work, s, e, size FROM ({_END % "SELECT doc_id, seg, content AS work, 0 AS s FROM segs WHERE seg = 1"}) w1
+    UNION ALL SELECT doc_id, seg, k, work, s, e, size FROM ({_END % ("SELECT w.doc_id, CASE WHEN w.e >= w.size THEN w.seg + 1 ELSE w.seg END AS seg, w.k + 1 AS k, CASE WHEN w.e >= w.size THEN "
+        + TRIM("right(w.work, 300)") + " || chr(10) || chr(10) || g.content ELSE w.work END AS work, CASE WHEN w.e >= w.size THEN 0 WHEN w.e - w.s > 300 THEN w.e - 300 ELSE w.e END AS s "
+        "FROM win w LEFT JOIN segs g ON g.doc_id = w.doc_id AND g.seg = w.seg + 1 WHERE w.e < w.size OR g.seg IS NOT NULL")}) w2),
+  heads9 AS (SELECT doc_id, seg, arg_min(l || chr(10) || nxt, i) AS header FROM (SELECT *, lead(l) OVER (PARTITION BY doc_id, seg ORDER BY i) AS nxt FROM (
+      SELECT doc_id, seg, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, seg, [x for x in [{TRIM('y')} for y in string_split(content, chr(10))] if x <> ''] AS ls FROM segs) a) b) c
+      WHERE i <= 8 AND starts_with(l, '|') AND regexp_matches(nxt, '^\\|[|\\- ]*$') GROUP BY doc_id, seg),
+  cutp AS (SELECT doc_id, seg, k, {TRIM('substr(work, s + 1, e - s)')} AS piece FROM win),
+  held AS (SELECT p.*, h.header, min(k) FILTER (length(piece) >= 80) OVER (PARTITION BY p.doc_id, p.seg) AS first_k FROM cutp p LEFT JOIN heads9 h ON h.doc_id = p.doc_id AND h.seg = p.seg),
+  textc AS (SELECT doc_id, seg, k, CASE WHEN k > first_k AND header IS NOT NULL AND starts_with(piece, '|') AND NOT starts_with(piece, header) THEN header || chr(10) || piece ELSE piece END AS content
+      FROM held),
+  tchunks AS (SELECT c.doc_id, CAST(row_number() OVER (PARTITION BY c.doc_id ORDER BY c.seg, k) - 1 AS INTEGER) AS chunk_index, g.page_number, {HEADING('c.content')} AS heading, c.content,
+      CAST(length(c.content) AS INTEGER) AS character_count, CAST(greatest(1, ceil(length(c.content) / 4.0)) AS INTEGER) AS token_count
+    FROM textc c JOIN segs g ON g.doc_id = c.doc_id AND g.seg = c.seg WHERE length(c.content) >= 80)"""
+#: Rows are packed greedily under a repeated header: one step of the recursion per chunk.
+PACKED = f"""layout0 AS (SELECT doc_id, segment_no, sheet_name, [x for x in [rtrim(y, {quote(''.join(vocab.WHITESPACE))}) for y in string_split(content, chr(10))] if starts_with(x, '|')] AS rs FROM parts),
+  layout1 AS (SELECT *, rs[1] AS header, rs[2:] AS rest, coalesce(list_min([i for i in range(1, len(rs)) if regexp_matches(rs[i + 1], '^[|\\- :]+$')]), 0) AS rule_at FROM layout0 WHERE len(rs) > 0),
+  layout2 AS (SELECT doc_id, segment_no, sheet_name, '--- Sheet: ' || sheet_name || ' ---' || chr(10) || header || chr(10) || CASE WHEN rule_at > 0 THEN rest[rule_at] ELSE
+      '| ' || array_to_string([repeat('-', greatest(3, length({TRIM('x')}))) for x in string_split(header, '|') if x <> ''], ' | ') || ' |' END AS block,
+      [rest[i] for i in range(1, len(rest) + 1) if i <> rule_at] AS data FROM layout1),
+  layout3 AS (SELECT *, list_transform(range(1, len(data) + 1), lambda i: list_sum(list_transform(data[1:i], lambda y: length(y) + 1))) AS ends FROM layout2),
+  packs AS (SELECT doc_id, segment_no, 0 AS a, greatest(len(list_filter(ends, lambda x: x <= 3000 - length(block))), 1) AS b FROM layout3 WHERE len(data) > 0
+    UNION ALL SELECT p.doc_id, p.segment_no, p.b, greatest(len(list_filter(l.ends, lambda x: x <= l.ends[p.b] + 3000 - length(l.block))), p.b + 1)
+      FROM packs p JOIN layout3 l ON l.doc_id = p.doc_id AND l.segment_no = p.segment_no WHERE p.b < len(l.data)),
+  rowc AS (SELECT l.doc_id, l.segment_no, p.a, sheet_name, {TRIM("block || chr(10) || array_to_string(data[p.a + 1:p.b], chr(10))")} AS content FROM layout3 l JOIN packs p
+      ON p.doc_id = l.doc_id AND p.segment_no = l.segment_no UNION ALL SELECT doc_id, segment_no, 0, sheet_name, block FROM layout3 WHERE len(data) = 0),
+  rchunks AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY segment_no, a) - 1 AS INTEGER) AS chunk_index, CAST(NULL AS INTEGER) AS page_number, sheet_name AS heading,
+      {TRIM('content')} AS content, CAST(length(content) AS INTEGER) AS character_count, CAST(greatest(1, ceil(length(content) / 4.0)) AS INTEGER) AS token_count
+    FROM rowc WHERE length(content) >= 80)"""
+register("chunk_text", lambda t: ch.chunk_text(texts(t).where(~F.contains("text", F.lit("--- Sheet:")))),
+         "SELECT * FROM tchunks", ["paged_docs", "workbooks"], ",\n".join([ALLTEXT, WINDOWS]))
+register("chunk_table_rows", lambda t: ch.chunk_table_rows(t.workbooks.select("doc_id", "text")),
+         "SELECT * FROM rchunks", ["workbooks"], ",\n".join([SHEETS, PACKED]))
+register("chunk_router", lambda t: ch.chunk_router(texts(t)),
+         "SELECT * FROM tchunks UNION ALL SELECT * REPLACE ('w' || doc_id AS doc_id) FROM rchunks", ["paged_docs", "workbooks"], ",\n".join([ALLTEXT, WINDOWS, SHEETS, PACKED]))
 
 # ── layout ────────────────────────────────────────────────────────────────────
 LINES = """placed AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id, page ORDER BY slot) AS line_no FROM (

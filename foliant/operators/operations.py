@@ -49,25 +49,30 @@ def rank_models(requests: DataFrame, metrics: DataFrame, models: DataFrame, prov
     """Candidates per request (request_id, profile_id, capability) by weighted score.
 
     A profile that names providers admits only those, except for embeddings and
-    audio, which serve every profile.
+    audio, which serve every profile.  A list is ranked once for all requests of a
+    profile and capability.
     """
-    scored = _scored(requests, metrics, models, providers, profiles)
+    keys = ["profile_id", "capability"]
+    scored = _scored(requests.select(*keys).distinct(), metrics, models, providers, profiles)
     restricted = profile_providers.select("profile_id").distinct().withColumn("_restricted", F.lit(True))
     allowed = profile_providers.select("profile_id", "provider_id").distinct().withColumn("_allowed", F.lit(True))
     free = F.col("capability").isin("Embeddings", "Audio") | F.col("_restricted").isNull()
     kept = (scored.join(restricted, "profile_id", "left").join(allowed, ["profile_id", "provider_id"], "left")
             .where(free | F.col("_allowed")))
-    w = Window.partitionBy("request_id").orderBy(F.col("score").desc(), "model_order", "provider_order", "metric_id")
-    return kept.select("request_id", "metric_id", "model_id", "provider_id", "score", F.row_number().over(w).alias("rank"))
+    w = Window.partitionBy(*keys).orderBy(F.col("score").desc(), "model_order", "provider_order", "metric_id")
+    ranked = kept.select(*keys, "metric_id", "model_id", "provider_id", "score", F.row_number().over(w).alias("rank"))
+    return requests.select("request_id", *keys).join(ranked, keys).drop(*keys)
 
 
 def rank_models_excluding(requests: DataFrame, metrics: DataFrame, models: DataFrame, providers: DataFrame,
                           profiles: DataFrame) -> DataFrame:
     """Candidates without the request's excluded provider type; no profile restriction, ties by model order."""
-    kept = (_scored(requests, metrics, models, providers, profiles)
+    keys = ["profile_id", "capability", "excluded_provider_type"]
+    kept = (_scored(requests.select(*keys).distinct(), metrics, models, providers, profiles)
             .where(F.col("provider_type") != F.col("excluded_provider_type")))
-    w = Window.partitionBy("request_id").orderBy(F.col("score").desc(), "model_order", "metric_id")
-    return kept.select("request_id", "metric_id", "model_id", "provider_id", "score", F.row_number().over(w).alias("rank"))
+    w = Window.partitionBy(*keys).orderBy(F.col("score").desc(), "model_order", "metric_id")
+    ranked = kept.select(*keys, "metric_id", "model_id", "provider_id", "score", F.row_number().over(w).alias("rank"))
+    return requests.select("request_id", *keys).join(ranked, keys).drop(*keys)
 
 
 def resolve_profile(requests: DataFrame, profiles: DataFrame, settings: DataFrame, users: DataFrame | None = None) -> DataFrame:

@@ -143,6 +143,45 @@ register("structured_ready", lambda t: t.doc_state.select("doc_id", ing.structur
 register("embed_chunks", lambda t: ing.embed_chunks(t.chunks.select("doc_id", "chunk_index", "content"), ing.hashing_embedder()).select(
     "doc_id", "chunk_index", F.size("vector").alias("dimensions")),
     "SELECT doc_id, chunk_index, CAST(64 AS INTEGER) AS dimensions FROM chunks", ["chunks"])
+
+
+def letters(batch: list[str]) -> list[list[float]]:
+    """An embedder that SQL can follow: counts of characters; it refuses texts about one circuit."""
+    if any("FNT000007" in x for x in batch):
+        raise ValueError("refused")
+    return [[float(len(x)), *(float(x.count(c)) for c in "ae ")] for x in batch]
+
+
+register("embed_failures",
+         lambda t: ing.embed_chunks(t.chunks.select("doc_id", "chunk_index", "content"), letters, isolate=True).select(
+             "doc_id", "chunk_index", F.array_join(F.transform("vector", lambda v: v.cast("int").cast("string")), ",").alias("vector"), "failure"),
+         """SELECT doc_id, chunk_index, CASE WHEN bad THEN '' ELSE array_to_string([length(content), length(content) - length(replace(content, 'a', '')),
+              length(content) - length(replace(content, 'e', '')), length(content) - length(replace(content, ' ', ''))], ',') END AS vector,
+              CASE WHEN bad THEN 'ValueError: refused' END AS failure FROM (SELECT *, contains(content, 'FNT000007') AS bad FROM chunks) c""", ["chunks"])
+
+
+def outcomes(t: Tables) -> DataFrame:
+    """Documents as they leave a batch: judged by the guard, embedded unless their number says otherwise."""
+    made = ing.ingest_transition(t.doc_state, verdicts(t), counts(t)).select("doc_id", "status", "error_message")
+    passed = verdicts(t).select("doc_id", "should_continue")
+    return (t.doc_state.select("doc_id", "has_file", F.trim("extracted_text").alias("_text")).join(made, "doc_id").join(passed, "doc_id").join(counts(t), "doc_id", "left")
+            .select("doc_id", "has_file", (F.col("has_file") & F.col("should_continue") & (F.col("_text") != "")).alias("passed"), F.lit(True).alias("embedded"),
+                    F.coalesce("chunks", F.lit(0)).alias("chunks"), "status", "error_message"))
+
+
+register("stage_changes", lambda t: ing.stage_changes(outcomes(t)),
+         f"""SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS INTEGER) AS step, status, stage, current, total,
+               CASE WHEN total > 0 THEN round_even(current / total * 100, 1) ELSE 0.0 END AS percent, CASE WHEN place = 5 THEN error_message END AS error_message
+             FROM (SELECT doc_id, error_message, unnest([{{'place': 1, 'status': 'Extracting', 'stage': 'Extracting', 'current': 0::BIGINT, 'total': 0::BIGINT, 'there': has_file}},
+               {{'place': 2, 'status': 'Chunking', 'stage': 'Chunking', 'current': 0, 'total': 0, 'there': passed}}, {{'place': 3, 'status': 'Embedding', 'stage': 'Embedding', 'current': 0, 'total': n, 'there': passed}},
+               {{'place': 4, 'status': 'Indexing', 'stage': 'Indexing', 'current': n, 'total': n, 'there': passed}}, {{'place': 5, 'status': final, 'stage': CASE WHEN final = 'Ready' THEN 'Ready'
+                 WHEN passed THEN 'Indexing' WHEN has_file THEN 'Extracting' ELSE final END, 'current': CASE WHEN passed THEN n ELSE 0 END, 'total': CASE WHEN passed THEN n ELSE 0 END, 'there': true}}], recursive := true)
+               FROM (SELECT d.doc_id, has_file, has_file AND s.doc_id IS NULL AND NOT {BLANK('extracted_text')} AS passed, coalesce(n, 0) AS n,
+                 CASE WHEN NOT has_file OR {BLANK('extracted_text')} THEN 'Failed' WHEN s.doc_id IS NOT NULL THEN 'Blocked' ELSE 'Ready' END AS final,
+                 CASE WHEN NOT has_file THEN 'Physical file not found on disk.' WHEN {BLANK('extracted_text')} THEN 'Document contains no readable text.' ELSE s.reason END AS error_message
+                 FROM doc_state d LEFT JOIN stops s ON s.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, count(*) AS n FROM chunks GROUP BY doc_id) c ON c.doc_id = d.doc_id) z) s
+             WHERE there""",
+         ["doc_state", "guard_steps", "guard_verdicts", "chunks"], GUARDED)
 register("ingest_progress",
          lambda t: ing.ingest_progress(t.chunks, t.chunks.join(t.vectors, "chunk_id"), t.doc_state),
          """SELECT s.doc_id, title AS file_name, status, coalesce(processing_stage, status) AS stage, coalesce(cur, 0) AS current, coalesce(tot, 0) AS total,

@@ -43,7 +43,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality", quality), ("toxicity", toxicity), ("near_duplicates", near_duplicates), ("secrets", secrets), ("packing", packing)]
 
-#: The tokenizer and the fitted model are beyond SQL; tests compare with a brute-force version.
+#: The tokenizer and the fitted model are beyond SQL; tests compare each operator with brute force, and the rows of every stage with its operator's.
 ORACLE_SQL = None
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 #: UTF-8 bytes of text that a Python worker turns into words at a time.
 SLICE_BYTES = 4 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: What this Python worker has learnt, by the name of the operator's table; one at most.
 _LEARNT: dict[str, object] = {}
 
@@ -35,11 +36,26 @@ def shared_folder(spark: SparkSession) -> str:
 def stage(df: DataFrame) -> DataFrame:
     """Write a result that several later steps read as Parquet in the shared folder and read it back.
 
-    Columnar files keep column pruning for the readers, cut the lineage, and survive lost executors.
+    Columnar files keep column pruning for the readers, cut the lineage, and survive lost executors.  Once the files are
+    there nobody reads the shuffles that made them, so Spark is asked to remove those when the write has ended.
     """
-    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def unstage(staged: DataFrame) -> None:
+    """Remove the files of a staged table that nothing reads any more: what was made from it is staged itself."""
+    spark = staged.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in staged.inputFiles()}:
+        if folder.rsplit("/", 1)[1].startswith("stage-"):
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -134,5 +150,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = edges.join(nearest, "v").select("u", F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stage(small.union(least.select("u", "m")).distinct())
+        before, edges = edges, stage(small.union(least.select("u", "m")).distinct())
+        unstage(before)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from foliant.llm.common import anchors, connected_components, id_field, map_texts, stage, texts_of
+from foliant.llm.common import anchors, connected_components, id_field, map_texts, stage, texts_of, unstage
 
 #: Fragments of the n-gram order in which the overlap of a candidate pair is counted.
 PARTS = 8
@@ -20,10 +20,12 @@ SMALL_SET = 64
 MIDDLE_SET = 256
 #: ... and of those the first so many; see ``signatures`` for what that means for a pair.
 FRAGMENTS = 128
+#: Parts of the signature space that are worked through one after the other.
+SLICES = 4
 #: Bits of the filter that keeps unlinked documents from being read again; 4 MB at most reach the driver.
 FILTER_BITS = 1 << 25
-#: Documents of a block, and n-grams of a slice, where families of components are compared.
-BLOCK_ROWS, SLICE_GRAMS = 1024, 4096
+#: Documents and n-grams of a block, and n-grams of a slice, where families of components are compared.
+BLOCK_ROWS, BLOCK_GRAMS, SLICE_GRAMS = 1024, 1 << 20, 4096
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -105,15 +107,15 @@ def signatures(grams: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
 
 def _signature_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
     schema = T.StructType([id_field(docs), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()),
-                           T.StructField("need", T.LongType()), T.StructField("signatures", T.ArrayType(T.LongType()))])
+                           T.StructField("need", T.LongType()), *[T.StructField(f"signatures_{k}", T.ArrayType(T.LongType())) for k in range(SLICES)]])
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(texts_of(batch), n)
         signed = [signatures(s, percent) if len(s) else (s, 0) for s in sets]
         digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-        lists = _lists([s for s, _ in signed])
+        lists = [_lists([s[s % np.uint64(SLICES) == k] for s, _ in signed]) for k in range(SLICES)]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
-                                           pa.array([k for _, k in signed], pa.int64()), lists], schema.names)
+                                           pa.array([k for _, k in signed], pa.int64()), *lists], schema.names)
 
     return map_texts(docs.select("doc_id", "text"), work, schema)
 
@@ -192,6 +194,23 @@ def _ordered(pairs: DataFrame, percent: int) -> DataFrame:
     return fits.select(pick("x", "y").alias("a"), pick("n_x", "n_y").alias("n_a"), pick("y", "x").alias("b"), pick("n_y", "n_x").alias("n_b"))
 
 
+def _met_signatures(first: DataFrame) -> DataFrame:
+    """(sig, node, n) of the signatures that more than one node has.
+
+    Nearly all signatures have one node only, and all must be shuffled to know.  The signature space is cut into ``SLICES``, a
+    column each, one after the other: what a slice shuffles is gone when its survivors are written.
+    """
+    parts = []
+    for k in range(SLICES):
+        entries = first.select("node", "n", F.explode(f"signatures_{k}").alias("sig"))
+        often = entries.groupBy("sig").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("sig")
+        parts.append(stage(entries.join(often, "sig").select("sig", "node", "n")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
+
+
 def _rarest(shared: DataFrame) -> DataFrame:
     """The signatures of each node, rarest first, without its last ``need - 1``.
 
@@ -238,7 +257,7 @@ def _between_components(shared: DataFrame, components: DataFrame, sets: DataFram
     families = connected_components(mixed.select(F.col("component").alias("a"), F.col("top").alias("b")))
     nodes = mixed.select("node", "n", "component").distinct().join(families.toDF("component", "family"), "component", "left")
     nodes = stage(nodes.withColumn("family", F.coalesce("family", "component")))
-    blocks = nodes.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
+    blocks = nodes.groupBy("family").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks"))
     dealt = nodes.join(blocks, "family").withColumn("own", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
     dealt = dealt.join(sets.select("node", "grams"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
@@ -286,15 +305,19 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     """
     if not 80 <= percent <= 100:
         raise ValueError("percent must be 80 to 100: below, pairs share fewer fragments than are asked for")
-    rows = stage(_signature_rows(docs, n, percent))
+    signed = stage(_signature_rows(docs, n, percent))
+    parts = [f"signatures_{k}" for k in range(SLICES)]
+    rows = stage(signed.drop(*parts))
     classes = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
-    first = rows.join(classes.select("digest", F.col("node").alias("doc_id")), ["digest", "doc_id"])
-    entries = first.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "digest", "need", F.explode("signatures").alias("sig"))
-    often = entries.select("sig").groupBy("sig").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("sig")
-    shared = stage(entries.select("sig", "node", "n").join(often, "sig"))
+    first = stage(signed.join(classes.select("digest", F.col("node").alias("doc_id")), ["digest", "doc_id"]).select(
+        F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "digest", "need", *parts))
+    unstage(signed)
+    shared = _met_signatures(first)
     having = shared.groupBy("node").agg(F.count(F.lit(1)).alias("have"))
-    nodes = stage(first.select(F.col("doc_id").alias("node"), "digest", "need").join(having, "node").where("have >= need").groupBy("node").agg(F.min("need").alias("need"), F.min("digest").alias("digest")))
-    shared = stage(_rarest(shared.join(nodes.select("node", "need"), "node")))
+    nodes = stage(first.select("node", "digest", "need").join(having, "node").where("have >= need").groupBy("node").agg(F.min("need").alias("need"), F.min("digest").alias("digest")))
+    unstage(first)
+    met, shared = shared, stage(_rarest(shared.join(nodes.select("node", "need"), "node")))
+    unstage(met)
     sets = _sets_of(docs, nodes, n)
 
     heads = shared.groupBy("sig").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n")).alias("head"))

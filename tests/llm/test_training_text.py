@@ -269,6 +269,18 @@ def test_licences(spark, empty):
     assert licenses.scan_licences(empty.select(F.col("doc_id").alias("file"), F.lit("a/b").alias("path"), "text")).count() == 0
 
 
+def test_licences_by_row(spark):
+    mit, apache = "Licensed under the MIT License.", "Licensed under the Apache License, Version 2.0"
+    rows = [(None, "a/LICENSE", mit, "x"), (None, "a/b/c.txt", "plain", "x"), (7, "m/one.txt", mit, "x"), (7, "m/two.txt", apache, "x"), (7, "m/one.txt", mit, "x"),
+            (8, "a/d/UNLICENSE", "a text of my own", "x"), (9, "a/d/e.txt", None, "x"), (10, "a/f/LICENSE", " ", "x"), (11, None, "plain", "x")]
+    got = [(r["file"], r["path"], r["licence"], r["origin"]) for r in licenses.scan_licences(
+        spark.createDataFrame(rows, "file long, path string, text string, licence string")).collect()]
+    assert sorted(got, key=str) == sorted([
+        (None, "a/LICENSE", "MIT", "own"), (None, "a/b/c.txt", "MIT", "inherited"), (7, "m/one.txt", "MIT", "own"), (7, "m/two.txt", "Apache-2.0", "own"),
+        (7, "m/one.txt", "MIT", "own"), (8, "a/d/UNLICENSE", None, None), (9, "a/d/e.txt", "MIT", "inherited"), (10, "a/f/LICENSE", "MIT", "inherited"),
+        (11, None, None, None)], key=str)
+
+
 def test_licences_of_headers_and_whole_texts(spark):
     whole = {k: text for k, text, _ in licenses.templates_of() if len(text) > 600 and "\n" in text}
     gpl = ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by",
@@ -357,3 +369,56 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in kept.select("doc_id").collect()}
     rules = {r["doc_id"] for r in repetition.repetition_rules(spark.read.parquet(f"{directory}/documents.parquet")).where("kept").collect()}
     assert {r["doc_id"] for r in rows} <= rules and len(rows) > 50
+
+
+def test_pipeline_stages_by_brute_force(spark):
+    """Near duplicates by all pairs of shingle sets, base rules by counting, packed ids by the library: each from its stage's own input."""
+    directory = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{directory}/documents.parquet")
+    stages, before = dict(corpus_pipeline.STAGES), {r["doc_id"]: r["text"] for r in docs.collect()}
+    good = stages["quality"](spark, docs, directory).collect()
+    for doc_id, text in before.items():
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        windows = Counter(tuple(words[i:i + 5]) for i in range(len(words) - 4))
+        repeated = {i + k for i in range(len(words) - 4) if windows[tuple(words[i:i + 5])] > 1 for k in range(5)}
+        if len(words) < 10 or 100 * len(repeated) > 20 * len(words):
+            assert all(r["doc_id"] != doc_id for r in good)
+    assert 0.7 * len(before) < len(good) < len(before)
+
+    def shingles(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+        return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    copies = spark.createDataFrame([(10_000 + r["doc_id"], r["text"] + " tail", *list(r)[2:]) for r in good[::7]], docs.schema)
+    given = spark.createDataFrame(good, docs.schema).union(copies)
+    sets = {r["doc_id"]: shingles(r["text"]) for r in given.collect()}
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    ids = sorted(sets)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1:]:
+            if sets[a] and sets[b] and min(len(sets[a]), len(sets[b])) * 100 >= 80 * max(len(sets[a]), len(sets[b])):
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    x, y = sorted((root(a), root(b)))
+                    parent[y] = x
+    kept = stages["near_duplicates"](spark, given, directory).collect()
+    assert sorted(r["doc_id"] for r in kept) == [i for i in ids if root(i) == i] and len(kept) < len(ids)
+
+    library = Tokenizer.from_file(WORDS)
+    pieces_of = {}
+    for r in stages["packing"](spark, spark.createDataFrame(kept, docs.schema), directory).collect():
+        pieces_of.setdefault(r["doc_id"], []).append((r["start"], r["length"], r["ids_crc32"], r["sequence_id"], r["offset"]))
+    filled = Counter()
+    for r in kept:
+        all_ids = [*library.encode(r["text"] or "", add_special_tokens=False).ids, 1]
+        at = 0
+        for start, length, crc, sequence, _ in sorted(pieces_of[r["doc_id"]]):
+            assert start == at and crc == zlib.crc32(np.array(all_ids[start:start + length], "<u4").tobytes())
+            at, filled[sequence] = at + length, filled[sequence] + length
+        assert at == len(all_ids)
+    assert max(filled.values()) <= 2048

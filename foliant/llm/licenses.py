@@ -67,7 +67,7 @@ NAMED_BY = {
 HINTS = (r"licen[sc]|copyright|spdx|redistribution[^A-Za-z0-9]+and[^A-Za-z0-9]+use|permission[^A-Za-z0-9]+is[^A-Za-z0-9]+hereby|"
          r"permission[^A-Za-z0-9]+to[^A-Za-z0-9]+use|free[^A-Za-z0-9]+software|creative[^A-Za-z0-9]+commons|cc0|waived[^A-Za-z0-9]+all")
 #: Names of licence files.
-FILE_NAMES = ["license", "licence", "copying"]
+FILE_NAMES = ["license", "licence", "copying", "unlicense"]
 #: Cosine that a match needs.
 LEAST_COSINE = 0.6
 #: Cosine from which a match covers the matches inside it.
@@ -197,16 +197,20 @@ class Matcher:
 
 
 def _own_licences(files: DataFrame, matcher: Matcher) -> DataFrame:
-    """(file, licence, cosine) of each row with a licence of its own; decided where the text is read."""
-    docs = files.where(F.col("text").isNotNull() & (F.col("text").rlike(f"(?i){HINTS}") | F.col("is_licence"))).select(F.col("file").alias("doc_id"), "text", "is_licence")
-    schema = T.StructType([id_field(docs), T.StructField("licence", T.StringType()), T.StructField("cosine", T.DoubleType())])
+    """Each row (file, path, text, is_licence) with a licence of its own or none; decided where the text is read, so that no id is joined."""
+    readable = F.col("text").rlike(f"(?i){HINTS}") | F.col("is_licence")
+    docs = files.select(F.col("file").alias("doc_id"), F.when(readable, F.col("text")).alias("text"), "is_licence", "path",
+                        (F.col("is_licence") & F.coalesce(F.trim("text") != "", F.lit(False))).alias("says"))
+    schema = T.StructType([id_field(docs), docs.schema["path"], docs.schema["is_licence"], docs.schema["says"],
+                           T.StructField("licence", T.StringType()), T.StructField("cosine", T.DoubleType())])
     known = files.sparkSession.sparkContext.broadcast(matcher)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [known.value.licence_of(t, whole) or (None, None) for t, whole in zip(texts_of(batch), batch.column(2).to_pylist(), strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[1] for f in found], pa.string()), pa.array([f[0] for f in found], pa.float64())], schema.names)
+        found = [(known.value.licence_of(t, whole) if t else None) or (None, None) for t, whole in zip(texts_of(batch), batch.column(2).to_pylist(), strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), batch.column(2), batch.column(4), pa.array([f[1] for f in found], pa.string()),
+                                           pa.array([f[0] for f in found], pa.float64())], schema.names)
 
-    return map_texts(docs, work, schema).where("licence is not null").withColumnRenamed("doc_id", "file")
+    return map_texts(docs, work, schema).withColumnRenamed("doc_id", "file")
 
 
 def scan_licences(files: DataFrame, templates: Mapping[str, str | Iterable[str]] | None = None, least: float = LEAST_COSINE) -> DataFrame:
@@ -217,25 +221,24 @@ def scan_licences(files: DataFrame, templates: Mapping[str, str | Iterable[str]]
     directory has the best match of its licence files (ties: the first name); a file without a match
     of its own takes that of its nearest directory with one.
 
-    Null and empty texts have no match of their own; a null path has no directories; repeated rows
-    count as one file each time they are joined; an empty table gives no rows; other columns are not
-    read.  ``origin`` is "own", "inherited" or null.
+    Null and empty texts have no match of their own; a licence file that says something else than the templates
+    takes no other licence; a null path has no directories; every row is a file of its own, whether its id is
+    null or repeated; an empty table gives no rows; other columns are not read.  ``origin`` is "own",
+    "inherited" or null.
     """
     name = F.lower(F.element_at(F.split("path", "/"), -1))
     is_licence = F.coalesce(F.regexp_extract(name, r"^([a-z]+)", 1).isin(FILE_NAMES), F.lit(False))
     marked = files.select("file", "path", "text", is_licence.alias("is_licence"))
-    best = stage(_own_licences(marked, Matcher(templates_of(templates), least)).groupBy("file").agg(
-        F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("best")).select("file", F.col("best.licence").alias("licence"), (-F.col("best.c")).alias("cosine")))
-    placed = stage(marked.select("file", "path", "is_licence").join(best, "file", "left"))
+    placed = stage(_own_licences(marked, Matcher(templates_of(templates), least)))
     folder = F.regexp_replace("path", "/?[^/]*$", "")
     of_folder = placed.where("is_licence and licence is not null and path is not null").groupBy(folder.alias("folder")).agg(
         F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("best")).select("folder", F.col("best.licence").alias("from_folder"))
     parts = F.split(folder, "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
-    folders = placed.where("licence is null and path is not null").select(folder.alias("own_folder"), F.array_distinct(above).alias("above")).distinct()
+    folders = placed.where("licence is null and not says and path is not null").select(folder.alias("own_folder"), F.array_distinct(above).alias("above")).distinct()
     nearest = folders.select("own_folder", F.explode("above").alias("folder")).join(of_folder, "folder").groupBy("own_folder").agg(
         F.max(F.struct(F.length("folder").alias("l"), "folder", "from_folder")).alias("near"))
     nearest = nearest.select("own_folder", F.col("near.folder").alias("near_folder"), F.col("near.from_folder").alias("from_folder"))
-    out = placed.withColumn("own_folder", F.when(F.col("licence").isNull(), folder)).join(nearest, "own_folder", "left")
+    out = placed.withColumn("own_folder", F.when(F.col("licence").isNull() & ~F.col("says"), folder)).join(nearest, "own_folder", "left")
     return out.select("file", "path", F.coalesce("licence", "from_folder").alias("licence"), "cosine",
                       F.when(F.col("licence").isNotNull(), "own").when(F.col("from_folder").isNotNull(), "inherited").alias("origin"), "near_folder")

@@ -16,38 +16,56 @@ from foliant.session import cut_lineage
 
 LINE_TOLERANCE = 3.0
 COLUMN_GAP = 20.0
+#: Words whose pages one task puts into lines.
+TASK_WORDS = 1 << 20
 _SHEET = ["doc_id", "sheet_no"]
 
 
 # ── pages ─────────────────────────────────────────────────────────────────────
 
 
-def words_to_lines(words: DataFrame) -> DataFrame:
-    """Line of every height on a page: doc_id, page, bottom, line_no.
+def _by_page(words: DataFrame) -> DataFrame:
+    """Words dealt to tasks by page, as many tasks as words ask for: every step up to the page's lines stays inside its task."""
+    return words.repartition(int(words.count() // TASK_WORDS + 1), "doc_id", "page")
+
+
+def _lines(heights: DataFrame, carried: list[str]) -> DataFrame:
+    """Adds the line of every distinct height of a page, dealt by page; ``carried`` columns stay with their height.
 
     Words join the line whose first word is less than three units away.  Only
     distinct heights matter, and a gap of three or more always starts a line, so
     the greedy choice is confined to short runs of close heights.
     """
-    heights = words.select("doc_id", "page", "bottom").distinct()
     w = Window.partitionBy("doc_id", "page").orderBy(F.col("bottom").desc())
     apart = F.coalesce((F.lag("bottom").over(w) - F.col("bottom")) >= LINE_TOLERANCE, F.lit(True))
     runs = (heights.withColumn("_new", apart.cast("int")).withColumn("_run", F.sum("_new").over(w))
-            .groupBy("doc_id", "page", "_run").agg(F.sort_array(F.collect_list("bottom"), asc=False).alias("h")))
+            .groupBy("doc_id", "page", "_run").agg(F.sort_array(F.collect_list(F.struct("bottom", *carried)), asc=False).alias("r"))
+            .withColumn("h", F.col("r.bottom")))
 
     def anchor(done, height):
         last = F.element_at(done, -1)
         return F.array_append(done, F.when((F.size(done) > 0) & (last - height < LINE_TOLERANCE), last).otherwise(height))
     anchors = F.aggregate(text.tail_of(F.col("h")), F.slice(F.col("h"), 1, 1), anchor)
-    lines = (runs.select("doc_id", "page", F.explode(F.arrays_zip(F.col("h").alias("bottom"), anchors.alias("anchor"))).alias("z"))
-             .select("doc_id", "page", "z.bottom", "z.anchor"))
+    lines = (runs.select("doc_id", "page", F.explode(F.arrays_zip("r", anchors.alias("anchor"))).alias("z"))
+             .select("doc_id", "page", "z.r.bottom", *[F.col(f"z.r.{c}") for c in carried], "z.anchor"))
     order = Window.partitionBy("doc_id", "page").orderBy(F.col("anchor").desc())
-    return lines.select("doc_id", "page", "bottom", F.dense_rank().over(order).alias("line_no"))
+    return lines.select("doc_id", "page", "bottom", *carried, F.dense_rank().over(order).alias("line_no"))
+
+
+def words_to_lines(words: DataFrame) -> DataFrame:
+    """Line of every height on a page: doc_id, page, bottom, line_no."""
+    return _lines(_by_page(words.select("doc_id", "page", "bottom")).distinct(), [])
 
 
 def line_render(words: DataFrame) -> DataFrame:
-    """Text of each line, wide gaps shown as column bars."""
-    placed = words.join(words_to_lines(words), ["doc_id", "page", "bottom"])
+    """Text of each line, wide gaps shown as column bars.
+
+    A page's words move once: they stay with their height while its line is found.
+    """
+    known = words.where(F.col("doc_id").isNotNull() & F.col("page").isNotNull() & F.col("bottom").isNotNull())
+    heights = (_by_page(known.select("doc_id", "page", "bottom", "left_x", "right_x", "word")).groupBy("doc_id", "page", "bottom")
+               .agg(F.collect_list(F.struct("left_x", "right_x", "word")).alias("_words")))
+    placed = _lines(heights, ["_words"]).select("doc_id", "page", "bottom", "line_no", F.inline("_words"))
     w = Window.partitionBy("doc_id", "page", "line_no").orderBy("left_x", F.col("bottom").desc())
     gap = F.col("left_x") - F.lag("right_x").over(w)
     lead = F.when(gap.isNull(), F.lit("")).when(gap > COLUMN_GAP, F.lit(" | ")).otherwise(F.lit(" "))

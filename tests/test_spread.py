@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from foliant.operators import tables as tb
+from foliant.operators import layout as ly, tables as tb
 
 TEXTS = "doc_set_id bigint, doc_id bigint, document_type string, text string"
 
@@ -29,3 +29,17 @@ def test_padding_reads_a_line_once(spark):
     parsed = df.select(tb.pad_or_trim(tb.split_row(F.concat(F.lit("| "), F.col("cells")[0], F.lit(" |"))), F.lit(3)).alias("c"))
     plan = parsed._jdf.queryExecution().analyzed().toString()
     assert plan.count("split(") == 1 and "sequence(" not in plan
+
+
+def test_words_move_once_on_their_way_to_lines(spark, monkeypatch):
+    monkeypatch.setattr(ly, "TASK_WORDS", 50, raising=False)
+    words = spark.createDataFrame([(d, p, f"w{i}", float(i % 3 * 40), float(i % 3 * 40 + 15), 800.0 - i // 3 * 12 + i % 3 * 0.5 - 0.5)
+                                   for d in range(6) for p in range(3) for i in range(30)],
+                                  "doc_id bigint, page int, word string, left_x double, right_x double, bottom double")
+    lines = ly.line_render(words)
+    assert lines._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    got = lines.where("doc_id = 4 and page = 2").orderBy("line_no").collect()
+    assert [x.line for x in got] == [f"w{3 * i} | w{3 * i + 1} | w{3 * i + 2}" for i in range(10)]
+    assert lines.count() == 180 and parts_with_rows(lines) > 4
+    heights = ly.words_to_lines(words)
+    assert heights.count() == 6 * 3 * 30 and parts_with_rows(heights) > 4

@@ -1,4 +1,4 @@
-"""Phrase collocations by stripes: each prefix keys a counter of next words; stripes are merged elementwise."""
+"""Phrase collocations by stripes: each prefix keys a counter of next words; stripes travel by bucket and are merged elementwise."""
 
 from __future__ import annotations
 
@@ -16,8 +16,10 @@ from foliant.plans.ranking import top_per_group
 
 #: Bytes of text, and distinct words, whose stripes a task counts before it hands them on.
 FLUSH_BYTES, FLUSH_WORDS = 32 << 20, 1 << 20
-#: Next words in one row of a stripe on its way to be merged; a batch of such rows stays small.
+#: Next words in one row of stripes on its way to be merged; a batch of such rows stays small.
 PIECE = 256
+#: Buckets of a language that stripes are dealt to, at least, and words of the texts for each where there are more.
+BUCKETS, BUCKET_WORDS = 1024, 2_000_000
 #: Bits of the filter of frequent phrases (8 MB); it lets some others through, which costs volume only.
 FILTER_BITS = 1 << 26
 #: A prefix this frequent has its stripe cut into segments by the hash of the next word.
@@ -29,7 +31,8 @@ SORT_ROWS = 100_000
 #: Piece ends become a full stop, which no word can hold, tabs become spaces, and A-Z become a-z.
 _LETTERS = bytes.maketrans(bytes(range(65, 91)) + b",;:!?\x0a\x0b\x0c\x0d\x09", bytes(range(97, 123)) + b"." * 9 + b" ")
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
-_STRIPES = "lang string, prefix string, segment int, next array<string>, count array<long>"
+#: Stripes of one bucket: ``size`` next words each, which follow one another in ``next`` and ``count``.
+_STRIPES = "lang string, bucket int, prefix array<string>, segment array<int>, size array<int>, next array<string>, count array<long>"
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -65,8 +68,11 @@ class _Buffer(dict):
         self.parts.append(np.fromiter(map(self.__getitem__, words), np.int32, len(words)))
         self.bytes += len(joined)
 
-    def stripes(self, size: int, known: np.ndarray | None, hot: np.ndarray | None) -> pa.RecordBatch | None:
-        """Counts of the phrases of ``size`` words whose first and last ``size - 1`` words are frequent, as stripes."""
+    def stripes(self, size: int, buckets: int, known: np.ndarray | None, hot: np.ndarray | None) -> pa.RecordBatch | None:
+        """Counts of the phrases of ``size`` words whose first and last ``size - 1`` words are frequent, as stripes.
+
+        A row holds stripes of one bucket, and a stripe may run on into the next row.
+        """
         seed = self.lang.encode("utf-8")
         hashes = np.fromiter((xxhash.xxh3_64_intdigest(seed + b" " + w) for w in self), np.uint64, len(self))
         ids = np.concatenate([*self.parts, np.zeros(size, np.int32)]).astype(np.int64)
@@ -76,6 +82,7 @@ class _Buffer(dict):
             nexts = np.flatnonzero(counts)
             counts, first = counts[nexts], None
             group, segment = np.zeros(len(nexts), np.int64), (hashes[nexts] % np.uint64(WORD_SEGMENTS)).astype(np.int64)
+            bucket = segment
         else:
             part = len(ids) - size + 1
             inside, h = ids[:part + 1] > 0, hashes[ids[:part + 1]]
@@ -93,29 +100,37 @@ class _Buffer(dict):
             first, group, nexts = at[place], code // len(self), code % len(self)
             split = _has(hot, h[first])
             segment = np.where(split, (hashes[nexts] % np.uint64(SEGMENTS)).astype(np.int64), 0)
+            bucket = (_chain(h[first], segment.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
         if not len(nexts):
             return None
-        order = np.lexsort((nexts, segment, group))
-        group, segment, nexts, counts = group[order], segment[order], nexts[order], counts[order]
-        new = np.r_[True, (group[1:] != group[:-1]) | (segment[1:] != segment[:-1])]
-        begin = np.flatnonzero(new)
-        run = np.arange(len(new)) - np.repeat(begin, np.diff(np.r_[begin, len(new)]))
-        begin = np.flatnonzero(run % PIECE == 0)
+        order = np.lexsort((nexts, segment, group, bucket))
+        bucket, group, segment, nexts, counts = (x[order] for x in (bucket, group, segment, nexts, counts))
+        same = bucket[1:] == bucket[:-1]
+        begin = np.flatnonzero(np.r_[True, ~same])
+        run = np.arange(len(nexts)) - np.repeat(begin, np.diff(np.r_[begin, len(nexts)]))
+        row = run % PIECE == 0
+        stripe = np.flatnonzero(row | np.r_[True, ~same | (group[1:] != group[:-1]) | (segment[1:] != segment[:-1])])
+        begin = np.flatnonzero(row)
         words = pa.array([w.decode("utf-8") for w in self], pa.string())
         if first is None:
-            prefix = pa.array([""] * len(begin), pa.string())
+            prefix = pa.array([""] * len(stripe), pa.string())
         else:
-            start = first[order][begin]
+            start = first[order][stripe]
             prefix = pc.binary_join_element_wise(*[words.take(pa.array(ids[start + k])) for k in range(size - 1)], " ")
-        ends = pa.array(np.r_[begin, len(nexts)].astype(np.int32))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([self.lang] * len(begin), pa.string()), prefix, pa.array(segment[begin].astype(np.int32)),
-             pa.ListArray.from_arrays(ends, words.take(pa.array(nexts))), pa.ListArray.from_arrays(ends, pa.array(counts.astype(np.int64)))],
-            ["lang", "prefix", "segment", "next", "count"])
+        inner, ends = (pa.array(np.r_[x, n].astype(np.int32)) for x, n in ((np.searchsorted(stripe, begin), len(stripe)), (begin, len(nexts))))
+        sizes = np.diff(np.r_[stripe, len(nexts)])
+        lists = [pa.ListArray.from_arrays(inner, x) for x in (prefix, pa.array(segment[stripe].astype(np.int32)), pa.array(sizes.astype(np.int32)))]
+        lists += [pa.ListArray.from_arrays(ends, x) for x in (words.take(pa.array(nexts)), pa.array(counts.astype(np.int64)))]
+        return pa.RecordBatch.from_arrays([pa.array([self.lang] * len(begin), pa.string()), pa.array(bucket[begin].astype(np.int32)), *lists],
+                                          ["lang", "bucket", "prefix", "segment", "size", "next", "count"])
+
 
+def _partial_stripes(docs: DataFrame, size: int, buckets: int = BUCKETS, known: object = None, hot: object = None) -> DataFrame:
+    """Stripes of phrases of ``size`` words, counted over some 32 MB of text at a time.
 
-def _partial_stripes(docs: DataFrame, size: int, known: object = None, hot: object = None) -> DataFrame:
-    """Stripes of phrases of ``size`` words, counted over some 32 MB of text at a time."""
+    A count over such a run of texts gives at most a row for each bucket of a language and one for every PIECE next words, however many
+    prefixes there are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = [np.frombuffer(x.value, np.uint8) if x is not None else None for x in (known, hot)]
@@ -123,7 +138,7 @@ def _partial_stripes(docs: DataFrame, size: int, known: object = None, hot: obje
 
         def flush() -> Iterator[pa.RecordBatch]:
             for buffer in buffers.values():
-                out = buffer.stripes(size, *filters)
+                out = buffer.stripes(size, buckets, *filters)
                 if out is not None:
                     yield out
             buffers.clear()
@@ -146,23 +161,23 @@ def _partial_stripes(docs: DataFrame, size: int, known: object = None, hot: obje
 def _merged(partial: DataFrame, least: int) -> DataFrame:
     """One stripe for each prefix and segment: counts of next words added up, those of ``least`` or more kept, and the sum of all.
 
-    Rows of a stripe follow one another in a partition, so a task holds one batch and the stripe that
+    Rows of a bucket follow one another in a partition, so a task holds one batch and the counts of the bucket that
     runs on into the next batch.
     """
-    keys = ["lang", "prefix", "segment"]
+    keys = ["lang", "bucket", "prefix", "segment"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            counts = batch.column(4)
-            parent = pc.list_parent_indices(counts)
-            flat = pa.table({**{k: batch.column(i).take(parent) for i, k in enumerate(keys)}, "next": batch.column(3).flatten(), "count": counts.flatten()})
+            lang, bucket, prefix, segment, size, following, counts = batch.columns
+            row, stripe = pc.list_parent_indices(prefix), pa.array(np.repeat(np.arange(len(prefix.flatten())), size.flatten().to_numpy()))
+            of_stripe = [lang.take(row), bucket.take(row), prefix.flatten(), segment.flatten()]
+            flat = pa.table([*(c.take(stripe) for c in of_stripe), following.flatten(), counts.flatten()], [*keys, "next", "count"])
             flat = flat if held is None else pa.concat_tables([held, flat])
             added = flat.group_by([*keys, "next"], use_threads=False).aggregate([("count", "sum")]).rename_columns([*keys, "next", "count"])
-            last = [batch.column(i)[batch.num_rows - 1] for i in range(3)]
-            running = pc.and_(pc.and_(pc.equal(added["lang"], last[0]), pc.equal(added["prefix"], last[1])), pc.equal(added["segment"], last[2]))
+            running = pc.and_(pc.equal(added["lang"], lang[-1]), pc.equal(added["bucket"], bucket[-1]))
             held = added.filter(running).combine_chunks()
             yield from stripes_of(added.filter(pc.invert(running)))
         if held is not None:
@@ -171,9 +186,11 @@ def _merged(partial: DataFrame, least: int) -> DataFrame:
     def stripes_of(table: pa.Table) -> Iterator[pa.RecordBatch]:
         if not table.num_rows:
             return
-        table = table.combine_chunks()
-        columns = [table[c].chunk(0) for c in table.column_names]
-        codes = [c.dictionary_encode().indices.to_numpy() if i < 2 else c.to_numpy() for i, c in enumerate(columns[:3])]
+        table = table.drop_columns("bucket").combine_chunks()
+        codes = [c.dictionary_encode().indices.to_numpy() if i < 2 else c.to_numpy() for i, c in enumerate(table[k].chunk(0) for k in ("lang", "prefix", "segment"))]
+        order = np.lexsort(codes[::-1])
+        codes = [c[order] for c in codes]
+        columns = [table[c].chunk(0).take(pa.array(order)) for c in table.column_names]
         begin = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in codes], axis=0)])
         counts = columns[4].to_numpy()
         keep = counts >= least
@@ -188,7 +205,7 @@ def _merged(partial: DataFrame, least: int) -> DataFrame:
         if rows.num_rows:
             yield rows
 
-    near = partial.repartition(*keys).sortWithinPartitions(*keys)
+    near = partial.repartition("lang", "bucket").sortWithinPartitions("lang", "bucket")
     return stage(near.mapInArrow(run, "lang string, prefix string, segment int, total long, next array<string>, count array<long>"))
 
 
@@ -243,7 +260,8 @@ def mine_collocations(docs: DataFrame, longest: int = 4, least: int = 30, keep:
     """Phrases of 2 to ``longest`` words that stand together more often than their parts would.
 
     A phrase is counted in the stripe of its prefix: (language, prefix) keys a counter of next words.
-    Tasks count stripes of their texts, and equal prefixes' stripes are merged elementwise.  Extensions
+    Tasks count stripes of their texts and deal them to buckets by prefix; stripes of a bucket travel in one row, and equal prefixes' stripes are merged
+    elementwise.  Extensions
     are a stripe's entries, the total of a prefix is its entry in the stripe one word shorter, and the
     largest entry of the stripe, or among phrases with the same words after their first, says whether
     a phrase is subsumed.  A phrase can't be frequent unless both its parts one word shorter are, so each
@@ -260,9 +278,10 @@ def mine_collocations(docs: DataFrame, longest: int = 4, least: int = 30, keep:
     """
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").where("text is not null")
     levels = [_merged(_partial_stripes(docs, 1), least)]
+    n = levels[0].agg(F.sum("total")).first()[0] or 0
     for size in range(2, longest + 1):
         known, hot = _filters(_entries(levels[-1]))
-        levels.append(_merged(_partial_stripes(docs, size, known, hot), least))
+        levels.append(_merged(_partial_stripes(docs, size, max(BUCKETS, n // BUCKET_WORDS), known, hot), least))
     words = levels[0].groupBy("lang").agg(F.sum("total").alias("n"))
     entries = [_entries(x) for x in levels]
     phrases = stage(_union([e.select("*", F.lit(k).alias("words")) for k, e in enumerate(entries, 1)]))

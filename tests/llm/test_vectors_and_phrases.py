@@ -182,3 +182,14 @@ def test_stripes_keep_all_counts(spark, phrase_rows):
     merged = collocations._merged(collocations._partial_stripes(docs, 1), 1)
     total = merged.agg(F.sum("total"), F.sum(F.aggregate("count", F.lit(0).cast("long"), lambda a, b: a + b))).first()
     assert total[0] == total[1] == _phrases([r for r in phrase_rows if r[0] == "en"], 2, 1, 1, 101)[0][6]
+
+
+def test_rows_of_stripes_are_bounded_by_buckets(spark):
+    docs = spark.createDataFrame([("en", " ".join(f"w{i} v{i % 7}" for i in range(3000)))], "lang string, text string").coalesce(1)
+    every = spark.sparkContext.broadcast(b"\xff" * 64)
+    none = spark.sparkContext.broadcast(bytes(64))
+    partial = collocations._partial_stripes(docs, 2, 8, every, none)
+    entries = partial.select(F.sum(F.size("next"))).first()[0]
+    assert entries == 6000 - 1 and partial.count() <= 8 + entries // collocations.PIECE
+    got = {(r["prefix"], n, c) for r in collocations._merged(partial, 1).collect() for n, c in zip(r["next"], r["count"], strict=True)}
+    assert len(got) == entries and ("w5", "v5", 1) in got and ("v5", "w6", 1) in got

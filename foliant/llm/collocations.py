@@ -19,7 +19,9 @@ FLUSH_BYTES, FLUSH_WORDS = 32 << 20, 1 << 20
 #: Next words in one row of stripes on its way to be merged; a batch of such rows stays small.
 PIECE = 256
 #: Buckets of a language that stripes are dealt to, at least, and words of the texts for each where there are more.
-BUCKETS, BUCKET_WORDS = 1024, 2_000_000
+BUCKETS, BUCKET_WORDS = 1024, 1_000_000
+#: Rows of stripes that are merged at a time.
+MERGE_ROWS = 1024
 #: Bits of the filter of frequent phrases (8 MB); it lets some others through, which costs volume only.
 FILTER_BITS = 1 << 26
 #: A prefix this frequent has its stripe cut into segments by the hash of the next word.
@@ -161,16 +163,14 @@ def _partial_stripes(docs: DataFrame, size: int, buckets: int = BUCKETS, known:
 def _merged(partial: DataFrame, least: int) -> DataFrame:
     """One stripe for each prefix and segment: counts of next words added up, those of ``least`` or more kept, and the sum of all.
 
-    Rows of a bucket follow one another in a partition, so a task holds one batch and the counts of the bucket that
-    runs on into the next batch.
+    Rows of a bucket follow one another in a partition, so a task merges some MERGE_ROWS rows at a time and holds the counts of the bucket that
+    runs on into the next ones.
     """
     keys = ["lang", "bucket", "prefix", "segment"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(start, MERGE_ROWS) for b in batches for start in range(0, b.num_rows, MERGE_ROWS)):
             lang, bucket, prefix, segment, size, following, counts = batch.columns
             row, stripe = pc.list_parent_indices(prefix), pa.array(np.repeat(np.arange(len(prefix.flatten())), size.flatten().to_numpy()))
             of_stripe = [lang.take(row), bucket.take(row), prefix.flatten(), segment.flatten()]

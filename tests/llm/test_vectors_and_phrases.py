@@ -193,3 +193,15 @@ def test_rows_of_stripes_are_bounded_by_buckets(spark):
     assert entries == 6000 - 1 and partial.count() <= 8 + entries // collocations.PIECE
     got = {(r["prefix"], n, c) for r in collocations._merged(partial, 1).collect() for n, c in zip(r["next"], r["count"], strict=True)}
     assert len(got) == entries and ("w5", "v5", 1) in got and ("v5", "w6", 1) in got
+
+
+def test_stripes_of_a_bucket_meet_over_many_batches(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "MERGE_ROWS", 1)
+    monkeypatch.setattr(collocations, "PIECE", 3)
+    docs = spark.createDataFrame([("en", " ".join(f"w{i % 40} v{i % 7}" for i in range(300)))] * 4, "lang string, text string").repartition(4)
+    every, none = (spark.sparkContext.broadcast(x * 64) for x in (b"\xff", b"\x00"))
+    merged = collocations._merged(collocations._partial_stripes(docs, 2, 2, every, none), 1).collect()
+    words = [x for i in range(300) for x in (f"w{i % 40}", f"v{i % 7}")]
+    counts = Counter(zip(words, words[1:]))
+    assert {(r["prefix"], n): c for r in merged for n, c in zip(r["next"], r["count"], strict=True)} == {k: 4 * c for k, c in counts.items()}
+    assert len(merged) == len({a for a, _ in counts}) and all(r["total"] == sum(r["count"]) for r in merged)

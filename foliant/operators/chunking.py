@@ -12,6 +12,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from foliant import vocab
@@ -19,6 +21,9 @@ from foliant.functions import text
 from foliant.operators.segments import page_parts, sheet_parts, table_header
 from foliant.options import DEFAULTS, Options
 
+#: UTF-8 bytes of text that a Python worker cuts at a time.
+SLICE_BYTES = 4 << 20
+_PIECES = pa.list_(pa.list_(pa.string()))
 CHUNK = ["doc_id", "chunk_index", "page_number", "heading", "content", "character_count", "token_count"]
 
 
@@ -63,6 +68,18 @@ def slide(segments: list[str], options: Options) -> list[list[str]]:
     return out
 
 
+def slide_batch(batch: pa.ListArray, options: Options) -> Iterator[pa.ListArray]:
+    """``slide`` of every row of a batch (arrays of segments), SLICE_BYTES of text at a time, one row at least."""
+    sizes = np.zeros(len(batch), np.int64)
+    np.add.at(sizes, pc.list_parent_indices(batch).to_numpy(), pc.fill_null(pc.binary_length(batch.flatten()), 0).to_numpy(zero_copy_only=False))
+    ends, start = np.cumsum(sizes), 0
+    while start < len(batch):
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+        yield pa.array([slide(s, options) for s in batch.slice(start, end - start).to_pylist()], _PIECES)
+        start = end
+
+
 def pack(lengths: np.ndarray, header: int, limit: int) -> list[dict[str, int]]:
     """Consecutive row ranges whose lines and header stay within the limit, one row at least."""
     ends = np.cumsum(np.asarray(lengths, dtype=np.int64) + 1)
@@ -80,9 +97,10 @@ def pack(lengths: np.ndarray, header: int, limit: int) -> list[dict[str, int]]:
 
 def chunk_text(docs: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     """Sliding chunks of documents (doc_id, text) without sheet markers."""
-    @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
-    def pieces_of(segments: pd.Series) -> pd.Series:
-        return segments.map(lambda s: slide(list(s), options))
+    @F.arrow_udf(T.ArrayType(T.ArrayType(T.StringType())))
+    def pieces_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield from slide_batch(batch, options)
 
     paged = text.has_page_marker("text")
     parts = F.transform(page_parts(F.col("text")), lambda p: F.struct(
@@ -90,17 +108,23 @@ def chunk_text(docs: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     segments = (docs.where(~text.is_blank("text")).select("doc_id", "text", paged.alias("_paged"))
                 .select("doc_id", F.filter(parts, lambda p: F.length(p["content"]) > 0).alias("segments")))
     cut = segments.withColumn("_pieces", pieces_of(F.transform("segments", lambda s: s["content"])))
-    whole = F.flatten(F.transform(F.arrays_zip("segments", "_pieces"), lambda z: _with_headers(
-        z["segments"]["page_number"], table_header(z["segments"]["content"]), z["_pieces"], options)))
+    # header and first piece once per segment: inside the function over the pieces they would be worked out for each
+    marked = F.transform(F.arrays_zip("segments", "_pieces"), lambda z: F.struct(
+        z["segments"]["page_number"].alias("page"), table_header(z["segments"]["content"]).alias("header"),
+        _first_long(z["_pieces"], options).alias("first"), z["_pieces"].alias("pieces")))
+    whole = F.flatten(F.transform(marked, lambda m: _with_headers(m["page"], m["header"], m["first"], m["pieces"], options)))
     return (cut.select("doc_id", F.posexplode(whole).alias("chunk_index", "c"))
             .select("doc_id", "chunk_index", "c.page_number", text.detect_heading("c.content").alias("heading"), "c.content",
                     F.length("c.content").alias("character_count"), text.token_estimate("c.content").alias("token_count")))
 
 
-def _with_headers(page: Column, header: Column, pieces: Column, options: Options) -> Column:
-    """Chunks of one segment: table continuations get the header, short pieces go."""
-    first = F.array_position(F.transform(pieces, lambda p: F.length(p) >= options.min_chunk_chars), True)
+def _first_long(pieces: Column, options: Options) -> Column:
+    """Place of the first piece that is long enough, 0 without one."""
+    return F.array_position(F.transform(pieces, lambda p: F.length(p) >= options.min_chunk_chars), True)
 
+
+def _with_headers(page: Column, header: Column, first: Column, pieces: Column, options: Options) -> Column:
+    """Chunks of one segment: table continuations get the header, short pieces go."""
     def chunk(piece: Column, i: Column) -> Column:
         continued = ((first > 0) & (i + 1 > first) & header.isNotNull() & F.startswith(piece, F.lit("|"))
                      & ~F.startswith(piece, header))

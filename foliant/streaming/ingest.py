@@ -32,6 +32,8 @@ from foliant.streaming.claims import EVENT, decisions, event
 JOB = ("DocumentId bigint, FileId bigint, StoredFileId bigint, UserId bigint, ConversationId bigint, FileName string, "
        "DocumentType string, Attempt int, QueuedAtUtc timestamp, _bad string")
 Embedder = Callable[[list[str]], list[list[float]]]
+#: Characters that the embedder gets at a time, one text at least.
+EMBED_CHARS = 1 << 20
 
 
 # ── jobs ──────────────────────────────────────────────────────────────────────
@@ -189,7 +191,7 @@ def _vectors(embedder: Embedder, contents: list[str], isolate: bool) -> list[tup
 
 
 def embed_chunks(chunks: DataFrame, embedder: Embedder, isolate: bool = False) -> DataFrame:
-    """One vector per chunk, empty for blank content; the embedder gets Arrow batches.
+    """One vector per chunk, empty for blank content; the embedder gets runs of texts with EMBED_CHARS characters or one text.
 
     With ``isolate`` a text that the embedder fails on gets an empty vector and the reason in ``failure``; the rest go on.
     """
@@ -198,10 +200,16 @@ def embed_chunks(chunks: DataFrame, embedder: Embedder, isolate: bool = False) -
     @F.pandas_udf(made)
     def vectors_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            filled = (batch.fillna("").str.strip() != "").to_numpy()
-            found = iter(_vectors(embedder, batch[filled].tolist(), isolate) if filled.any() else [])
-            rows = [next(found) if f else ([], None) for f in filled]
-            yield pd.DataFrame({"vector": [v for v, _ in rows], "failure": [f for _, f in rows]})
+            texts = batch.fillna("")
+            ends, start = texts.str.len().cumsum().to_numpy(), 0
+            while start < len(texts):
+                end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + EMBED_CHARS, side="right")))
+                part = texts.iloc[start:end]
+                filled = (part.str.strip() != "").to_numpy()
+                found = iter(_vectors(embedder, part[filled].tolist(), isolate) if filled.any() else [])
+                rows = [next(found) if f else ([], None) for f in filled]
+                yield pd.DataFrame({"vector": [v for v, _ in rows], "failure": [f for _, f in rows]})
+                start = end
 
     out = chunks.withColumn("_made", vectors_of("content")).withColumn("vector", F.col("_made.vector"))
     return (out.withColumn("failure", F.col("_made.failure")) if isolate else out).drop("_made")

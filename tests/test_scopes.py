@@ -1,8 +1,11 @@
 """Questions that share a scope get what each would get alone."""
 
+from dataclasses import replace
+
 import numpy as np
 
 from foliant.operators import context as cx, coverage as cv, retrieval as r, strategy as st
+from foliant.options import DEFAULTS
 from foliant.plans import blocks, scopes
 
 DOCS = "doc_id bigint, title string, status string, document_type string, processing_stage string, progress_current int, progress_total int, extracted_text string"
@@ -86,3 +89,29 @@ def test_retrieval_by_scope(spark, monkeypatch):
     hits = {(q, c) for q in range(12) for c in range(54) if (q, c % 9) in {(x.query_id, x.doc_id) for x in alone.collect()} and c % 9 != 8
             and (c % 4 in (q % 4, 0) or c % 5 == q % 5)}
     assert sorted((x.query_id, x.chunk_id) for x in r.keyword_search(queries, shared, docs, chunks, asked=asked).collect()) == sorted(hits)
+
+
+def pairs_and_hits(spark):
+    """Documents, chunks, vectors (two spaces, one without length, one infinite, one chunk twice), question vectors and keyword hits."""
+    rnd = np.random.default_rng(8)
+    vector = lambda: [float(x) for x in rnd.standard_normal(4).astype(np.float32)]
+    docs = spark.createDataFrame([(d, "Queued" if d == 8 else "Ready") for d in range(9)], "doc_id bigint, status string")
+    chunks = spark.createDataFrame([(c, c % 9, None if c == 20 else c // 9, 1) for c in [*range(54), 13]], "chunk_id bigint, doc_id bigint, chunk_index int, page_number int")
+    vectors = spark.createDataFrame([(c, "" if c % 5 == 0 else "acme", "m", [0.0] * 4 if c == 4 else [float("inf")] * 4 if c == 9 else vector()) for c in range(54)],
+                                    "chunk_id bigint, provider string, model string, vector array<float>")
+    asking = spark.createDataFrame([(q, p, "m", vector()) for q in range(12) for p in (("acme", "other") if q == 4 else ("other",) if q == 3 else ("acme",))],
+                                   "query_id bigint, provider string, model string, query_vector array<float>")
+    hits = spark.createDataFrame([(q, c, c % 9) for q in range(12) for c in range(54) if (q + c) % 7 == 0] + [(1, 13, 5), (1, 22, 4), (1, 22, 3), (2, None, 1), (None, 2, 2), (77, 2, 2)],
+                                 "query_id int, chunk_id int, doc_id int")
+    return docs, chunks, vectors, asking, hits
+
+
+def test_keyword_hits_meet_pairs_where_they_are_made(spark):
+    docs, chunks, vectors, asking, hits = pairs_and_hits(spark)
+    asked, sets = scopes.shared_scopes(spark.createDataFrame(links(), "query_id bigint, set_no bigint"), "set_no")
+    shared = sets.join(docs.selectExpr("doc_id", "doc_id % 3 AS set_no"), "set_no").select("query_id", "doc_id")
+    marked = r.keyword_boost(r.exact_scan(shared, docs, chunks, vectors, asking, asked=asked, marks=hits))
+    got = rows(marked)
+    assert got == rows(r.keyword_boost(r.exact_scan(shared, docs, chunks, vectors, asking, asked=asked), hits)) != []
+    assert marked.columns == r.RANKING and sum(x[-1] == "0.92" for x in got) > 9
+    assert "Join" not in marked._jdf.queryExecution().sparkPlan().toString().split("FlatMapCoGroups")[0]

@@ -121,6 +121,31 @@ def exact_scan(scope: DataFrame, docs: DataFrame, chunks: DataFrame, vectors: Da
     return scored.select(*RANKING, *([] if marks is None else [F.col("marked").alias("hit")]))
 
 
+def wide_scan(scope: DataFrame, docs: DataFrame, chunks: DataFrame, vectors: DataFrame, query_vectors: DataFrame, top: int,
+              options: Options = DEFAULTS, asked: DataFrame | None = None) -> DataFrame:
+    """The rows of ``exact_scan`` that ``document_wide_sample`` can choose, without a row for every pair.
+
+    Positions in chunk order hang on the scope and on the spaces looked into, not on the question: questions that share both
+    share a list, which is ranked once.  The column spread tells rows at places of a list from the best by score.
+    """
+    half = top // 2
+    best = exact_scan(scope, docs, chunks, vectors, query_vectors, options=options, asked=asked, limit=max(half, options.fallback_rows))
+    ready, looking = ready_scope(scope, docs).select(F.col("query_id").alias("scope_id"), "doc_id").distinct(), _asked(query_vectors, F.col("provider"), F.lit(""))
+    if asked is None:
+        asked = ready.select(F.col("scope_id").alias("query_id"), "scope_id").distinct()
+    lists = (looking.join(asked, "query_id").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("scope_id", "space"))).alias("_sees"))
+             .withColumn("list", F.to_json("_sees")))
+    sees = lists.select("list", "_sees").distinct().select("list", F.inline("_sees"))
+    stored = _stored(chunks, vectors).withColumn("key", F.to_json(F.struct("space", "point_id", "doc_id", "chunk_index", "page_number")))
+    inside = stored.drop("vector").withColumnRenamed("point_id", "chunk_id").join(ready, "doc_id").join(sees, ["scope_id", "space"])
+    # places only, read twice below
+    spread = cut_lineage(_spread(inside.select("list", "key", "chunk_id", "chunk_index"), "list", half).select("list", "key").distinct())
+    mine = lists.select("query_id", F.col("list").alias("scope_id"))
+    found = blocked_cosines(stored.join(spread.select("key").distinct(), "key", "left_semi"), looking, spread.select(F.col("list").alias("query_id"), "key"),
+                            carry=["doc_id", "chunk_index", "page_number"], asked=mine).withColumnRenamed("point_id", "chunk_id")
+    return best.withColumn("spread", F.lit(False)).unionByName(found.withColumn("spread", F.lit(True)))
+
+
 def _best(points: DataFrame, query_vectors: DataFrame, scope: DataFrame, limit: int, asked: DataFrame | None) -> DataFrame:
     stored = points.select(space("provider", "model", "vector").alias("space"), "key", "point_id", "doc_id", "vector")
     best = blocked_cosines(stored, _asked(query_vectors, F.col("provider")), scope, limit, 0.0, ["doc_id"], asked)
@@ -307,9 +332,25 @@ def select_ranked(scored: DataFrame, top: int, options: Options = DEFAULTS) -> D
             .drop("_page_rank", "_passed"))
 
 
+def _spread(scored: DataFrame, key: str, half: int) -> DataFrame:
+    """Rows evenly spread over the chunk order of each ``key``."""
+    numeric = dict(scored.dtypes)["chunk_id"] in ("int", "bigint")
+    slot = F.floor(F.col("chunk_id") / 65536) if numeric else F.substring("chunk_id", 1, 2)
+    placed = bucketed_rank(scored, [key], {"_index": F.col("chunk_index"), "_slot": slot}, [F.col("chunk_id")], "_pos", "_n")
+    step = F.greatest(F.lit(1), F.floor(F.col("_n") / (half + 1)))
+    at = F.col("_pos") - 1
+    return placed.where((at > 0) & (at % step == 0) & (at / step <= half)).drop("_pos", "_n")
+
+
 def document_wide_sample(scored: DataFrame, top: int, options: Options = DEFAULTS) -> DataFrame:
-    """Half best by score, half evenly spread over the chunk order, duplicates not refilled."""
+    """Half best by score, half evenly spread over the chunk order, duplicates not refilled.
+
+    ``scored``: all candidates, or those of ``wide_scan``, whose places are known.
+    """
     half = top // 2
+    known = "spread" in scored.columns
+    spread = scored.where("spread").drop("spread") if known else _spread(scored, "query_id", half)
+    scored = scored.where(~F.col("spread")).drop("spread") if known else scored
     best = top_per_group(scored, ["query_id"], by_score(), max(half, options.fallback_rows), "_r")
     peak = F.max("score").over(Window.partitionBy("query_id"))
     best = (best.withColumn("_peak", peak)
@@ -317,13 +358,6 @@ def document_wide_sample(scored: DataFrame, top: int, options: Options = DEFAULT
                                             | ((F.col("_peak") < options.min_score)
                                                & (F.col("_r") <= options.fallback_rows))))
             .drop("_r", "_peak"))
-    numeric = dict(scored.dtypes)["chunk_id"] in ("int", "bigint")
-    slot = F.floor(F.col("chunk_id") / 65536) if numeric else F.substring("chunk_id", 1, 2)
-    placed = bucketed_rank(scored, ["query_id"], {"_index": F.col("chunk_index"), "_slot": slot},
-                           [F.col("chunk_id")], "_pos", "_n")
-    step = F.greatest(F.lit(1), F.floor(F.col("_n") / (half + 1)))
-    at = F.col("_pos") - 1
-    spread = placed.where((at > 0) & (at % step == 0) & (at / step <= half)).drop("_pos", "_n")
     chosen = best.unionByName(spread.select(*best.columns)).dropDuplicates(["query_id", "chunk_id"])
     w = Window.partitionBy("query_id").orderBy(*by_score())
     return chosen.withColumn("rank", F.row_number().over(w))

@@ -115,3 +115,14 @@ def test_keyword_hits_meet_pairs_where_they_are_made(spark):
     assert got == rows(r.keyword_boost(r.exact_scan(shared, docs, chunks, vectors, asking, asked=asked), hits)) != []
     assert marked.columns == r.RANKING and sum(x[-1] == "0.92" for x in got) > 9
     assert "Join" not in marked._jdf.queryExecution().sparkPlan().toString().split("FlatMapCoGroups")[0]
+
+
+def test_a_wide_sample_without_all_pairs(spark):
+    docs, chunks, vectors, asking, _ = pairs_and_hits(spark)
+    chunks = chunks.dropDuplicates(["chunk_id"])
+    asked, sets = scopes.shared_scopes(spark.createDataFrame(links(), "query_id bigint, set_no bigint"), "set_no")
+    shared = sets.join(docs.selectExpr("doc_id", "doc_id % 3 AS set_no"), "set_no").select("query_id", "doc_id")
+    options = replace(DEFAULTS, min_score=0.1)
+    scan = r.wide_scan(shared, docs, chunks, vectors, asking, 6, options, asked)
+    assert rows(r.document_wide_sample(scan, 6, options)) == rows(r.document_wide_sample(r.exact_scan(shared, docs, chunks, vectors, asking, asked=asked), 6, options)) != []
+    assert scan.groupBy("query_id").count().agg({"count": "max"}).first()[0] <= 6 + 3

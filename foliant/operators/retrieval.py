@@ -106,10 +106,11 @@ def embedding_candidates(scope: DataFrame, docs: DataFrame, chunks: DataFrame, v
 
 def exact_scan(scope: DataFrame, docs: DataFrame, chunks: DataFrame, vectors: DataFrame,
                query_vectors: DataFrame, keyword_hits: DataFrame | None = None,
-               options: Options = DEFAULTS, asked: DataFrame | None = None, limit: int | None = None, marks: DataFrame | None = None) -> DataFrame:
+               options: Options = DEFAULTS, asked: DataFrame | None = None, limit: int | None = None, marks: DataFrame | None = None,
+               reach: float | None = None) -> DataFrame:
     """Score of every candidate, raised to the keyword score where an identifier occurs.
 
-    With a ``limit`` the best of each question only.  With ``marks`` (query_id, chunk_id) the column hit says which candidates are
+    With a ``limit`` the best of each question only, with a ``reach`` those that score as high.  With ``marks`` (query_id, chunk_id) the column hit says which candidates are
     among them; they meet where the pairs are made, so that pairs are not shuffled for it.
     """
     if keyword_hits is not None:
@@ -117,7 +118,7 @@ def exact_scan(scope: DataFrame, docs: DataFrame, chunks: DataFrame, vectors: Da
     seen = ready_scope(scope, docs).select("query_id", F.col("doc_id").alias("key"))
     named = None if marks is None else marks.select("query_id", F.col("chunk_id").alias("point_id"))
     scored = blocked_cosines(_stored(chunks, vectors), _asked(query_vectors, F.col("provider"), F.lit("")), seen, limit, float("-inf"),
-                             ["doc_id", "chunk_index", "page_number"], asked, named).withColumnRenamed("point_id", "chunk_id")
+                             ["doc_id", "chunk_index", "page_number"], asked, named, reach).withColumnRenamed("point_id", "chunk_id")
     return scored.select(*RANKING, *([] if marks is None else [F.col("marked").alias("hit")]))
 
 
@@ -146,6 +147,38 @@ def wide_scan(scope: DataFrame, docs: DataFrame, chunks: DataFrame, vectors: Dat
     return best.withColumn("spread", F.lit(False)).unionByName(found.withColumn("spread", F.lit(True)))
 
 
+def threshold_scan(scope: DataFrame, docs: DataFrame, chunks: DataFrame, vectors: DataFrame, query_vectors: DataFrame,
+                   options: Options = DEFAULTS, asked: DataFrame | None = None) -> DataFrame:
+    """The rows of ``exact_scan`` that ``threshold_or_top`` can choose: those that reach the threshold leave the blocks, and the best few of each question.
+
+    The column best tells the latter, which may be among the former as well.
+    """
+    passing, best = (exact_scan(scope, docs, chunks, vectors, query_vectors, asked=asked, **most)
+                     for most in ({"reach": options.min_score}, {"limit": options.fallback_rows}))
+    return passing.withColumn("best", F.lit(False)).unionByName(best.withColumn("best", F.lit(True)))
+
+
+def page_scan(scope: DataFrame, docs: DataFrame, chunks: DataFrame, vectors: DataFrame, query_vectors: DataFrame, top: int, per_page: int,
+              asked: DataFrame | None = None) -> DataFrame:
+    """The rows of ``exact_scan`` that ``page_diversity`` can choose, without a row for every pair.
+
+    The best few times ``top`` rows of a question settle it where ``top`` of them are among the first of their pages, as ranks on a page are
+    known among the best, or where the question has no more.  The others are asked again for more rows, until all are settled.
+    """
+    settled, limit = None, 4 * top
+    while True:
+        best = cut_lineage(exact_scan(scope, docs, chunks, vectors, query_vectors, asked=asked, limit=limit))
+        on_page = F.row_number().over(Window.partitionBy("query_id", "doc_id", "page_number").orderBy(*by_score()))
+        counts = best.select("query_id", (on_page <= per_page).alias("_free")).groupBy("query_id").agg(
+            F.count(F.lit(1)).alias("_n"), F.count_if("_free").alias("_free"))
+        rest = cut_lineage(counts.where((F.col("_n") >= limit) & (F.col("_free") < top)).select("query_id"))
+        done = best.join(rest, "query_id", "left_anti")
+        settled = done if settled is None else settled.unionByName(done)
+        if rest.isEmpty():
+            return settled
+        query_vectors, limit = query_vectors.join(rest, "query_id", "left_semi"), limit * 8
+
+
 def _best(points: DataFrame, query_vectors: DataFrame, scope: DataFrame, limit: int, asked: DataFrame | None) -> DataFrame:
     stored = points.select(space("provider", "model", "vector").alias("space"), "key", "point_id", "doc_id", "vector")
     best = blocked_cosines(stored, _asked(query_vectors, F.col("provider")), scope, limit, 0.0, ["doc_id"], asked)
@@ -295,8 +328,13 @@ def search_fallback(index_hits: DataFrame, keyword_hits: DataFrame, scope: DataF
 
 
 def threshold_or_top(scored: DataFrame, options: Options = DEFAULTS) -> DataFrame:
-    """Rows at or above the relevance threshold; the best few of a question that has none."""
+    """Rows at or above the relevance threshold; the best few of a question that has none.
+
+    ``scored``: all candidates, or those of ``threshold_scan``.
+    """
     passing = scored.where(F.col("score") >= options.min_score)
+    if "best" in scored.columns:
+        passing, scored = passing.where(~F.col("best")).drop("best"), scored.where("best").drop("best")
     best = top_per_group(scored, ["query_id"], by_score(), options.fallback_rows, "_r")
     top = F.max("score").over(Window.partitionBy("query_id"))
     rescued = best.withColumn("_top", top).where(F.col("_top") < options.min_score).drop("_r", "_top")

@@ -45,3 +45,21 @@ def test_blocked_cosines_without_rows(spark):
     scope = spark.createDataFrame([(1, 2)], "query_id bigint, key bigint")
     assert blocks.blocked_cosines(points, questions, scope, 3).collect() == []
     assert blocks.blocked_cosines(points, questions.limit(0), scope).collect() == []
+
+
+def test_large_blocks_give_the_rows_of_small_ones(spark, monkeypatch):
+    """Batches, tiles and blocks by numbers: pairs that reach a cosine are all pairs that do."""
+    rnd = np.random.default_rng(4)
+    vector = lambda i: [float("inf")] * 4 if i == 5 else [0.0] * 4 if i == 6 else [float(x) for x in rnd.standard_normal(4)]
+    points = spark.createDataFrame([("a", i % 3, i, vector(i)) for i in range(60)], "space string, key bigint, point_id bigint, vector array<float>")
+    asking = spark.createDataFrame([(q, "a", vector(q)) for q in range(12)], "query_id bigint, space string, query_vector array<float>")
+    scope = spark.createDataFrame([(q, k) for q in range(12) for k in range(3) if (q + k) % 2], "query_id bigint, key bigint")
+    read = lambda df: sorted((r.query_id, r.point_id, str(r.score)) for r in df.collect())
+    every = read(blocks.blocked_cosines(points, asking, scope))
+    best = read(blocks.blocked_cosines(points, asking, scope, 5, float("-inf")))
+    for name, value in {"BLOCK_NUMBERS": 40, "TILE": 16, "BATCH": 7, "BLOCK_BEST": 20, "PRUNE_PAIRS": 9}.items():
+        monkeypatch.setattr(blocks, name, value, raising=False)
+    assert read(blocks.blocked_cosines(points, asking, scope)) == every
+    assert read(blocks.blocked_cosines(points, asking, scope, 5, float("-inf"))) == best
+    reached = read(blocks.blocked_cosines(points, asking, scope, reach=0.3))
+    assert reached == [x for x in every if x[2] == "nan" or float(x[2]) >= 0.3] and 0 < len(reached) < len(every)

@@ -126,3 +126,31 @@ def test_a_wide_sample_without_all_pairs(spark):
     scan = r.wide_scan(shared, docs, chunks, vectors, asking, 6, options, asked)
     assert rows(r.document_wide_sample(scan, 6, options)) == rows(r.document_wide_sample(r.exact_scan(shared, docs, chunks, vectors, asking, asked=asked), 6, options)) != []
     assert scan.groupBy("query_id").count().agg({"count": "max"}).first()[0] <= 6 + 3
+
+
+def test_thresholds_and_pages_without_all_pairs(spark):
+    docs, chunks, vectors, asking, _ = pairs_and_hits(spark)
+    chunks = chunks.dropDuplicates(["chunk_id"])
+    asked, sets = scopes.shared_scopes(spark.createDataFrame(links(), "query_id bigint, set_no bigint"), "set_no")
+    shared = sets.join(docs.selectExpr("doc_id", "doc_id % 3 AS set_no"), "set_no").select("query_id", "doc_id")
+    every = r.exact_scan(shared, docs, chunks, vectors, asking, asked=asked).localCheckpoint()
+    for least in (0.4, 0.99):
+        options = replace(DEFAULTS, min_score=least)
+        scan = r.threshold_scan(shared, docs, chunks, vectors, asking, options, asked)
+        assert rows(r.threshold_or_top(scan, options)) == rows(r.threshold_or_top(every, options)) != []
+        assert scan.where("not best").count() < every.count()
+    # two of three pages hold most chunks: the first rows do not settle every question
+    for top, per_page in ((2, 3), (3, 1), (40, 1)):
+        scan = r.page_scan(shared, docs, chunks, vectors, asking, top, per_page, asked)
+        assert rows(r.page_diversity(scan, top, per_page)) == rows(r.page_diversity(every, top, per_page)) != []
+        assert scan.groupBy("query_id").count().agg({"count": "max"}).first()[0] <= (8 if top == 2 else 96)
+
+
+def test_pages_that_crowd_the_best_rows_are_asked_again(spark):
+    docs = spark.createDataFrame([(d, "Ready") for d in range(3)], "doc_id bigint, status string")
+    chunks = spark.createDataFrame([(c, 0 if c < 30 else 1 + c % 2, c, 1) for c in range(40)], "chunk_id bigint, doc_id bigint, chunk_index int, page_number int")
+    vectors = spark.createDataFrame([(c, "acme", "m", [1.0, c / 40]) for c in range(40)], "chunk_id bigint, provider string, model string, vector array<float>")
+    asking = spark.createDataFrame([(q, "acme", "m", [1.0, 0.0]) for q in range(2)], "query_id bigint, provider string, model string, query_vector array<float>")
+    shared = spark.createDataFrame([(q, d) for q in range(2) for d in range(3)], "query_id bigint, doc_id bigint")
+    best = r.page_diversity(r.page_scan(shared, docs, chunks, vectors, asking, 2, 1), 2, 1)
+    assert sorted((x.query_id, x.chunk_id) for x in best.collect()) == [(0, 0), (0, 30), (1, 0), (1, 30)]

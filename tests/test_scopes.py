@@ -1,10 +1,13 @@
 """Questions that share a scope get what each would get alone."""
 
+import re
 from dataclasses import replace
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from foliant.operators import context as cx, coverage as cv, retrieval as r, strategy as st
+from foliant.functions import vectors as vec
+from foliant.operators import context as cx, coverage as cv, retrieval as r, row_answers as ra, strategy as st
 from foliant.options import DEFAULTS
 from foliant.plans import blocks, scopes
 
@@ -154,3 +157,95 @@ def test_pages_that_crowd_the_best_rows_are_asked_again(spark):
     shared = spark.createDataFrame([(q, d) for q in range(2) for d in range(3)], "query_id bigint, doc_id bigint")
     best = r.page_diversity(r.page_scan(shared, docs, chunks, vectors, asking, 2, 1), 2, 1)
     assert sorted((x.query_id, x.chunk_id) for x in best.collect()) == [(0, 0), (0, 30), (1, 0), (1, 30)]
+
+
+def cosine_by_hand(a, b):
+    """Products in float, added in double one after the other."""
+    def added(x, y):
+        total = 0.0
+        for m, n in zip(x, y, strict=True):
+            total += float(np.float32(m) * np.float32(n))
+        return total
+    if a is None or b is None or len(a) != len(b) or not a or None in a or None in b or added(a, a) <= 0 or added(b, b) <= 0:
+        return 0.0
+    return added(a, b) / (np.sqrt(added(a, a)) * np.sqrt(added(b, b)))
+
+
+def test_cosines_of_all_pairs_come_from_blocks(spark, monkeypatch):
+    for name, value in {"BLOCK_MANY": 3, "BLOCK_ROWS": 4, "TASK_PAIRS": 16}.items():
+        monkeypatch.setattr(scopes, name, value)
+    monkeypatch.setattr(vec, "PAIRS", 5)
+    rnd = np.random.default_rng(3)
+    vector = lambda n=7: [float(x) for x in rnd.standard_normal(n).astype(np.float32)]
+    odd = [None, [], [0.0] * 7, [1.0, None, *[2.0] * 5], vector(3)]
+    asking = [(q, q % 3, odd[q] if q < 5 else vector()) for q in range(20)] + [(6, 1, vector()), (7, None, vector())]
+    stored = [(p % 4, p, odd[p] if p < 5 else vector()) for p in range(25)] + [(2, None, vector()), (None, 99, vector())]
+    found = scopes.pair_cosines(spark.createDataFrame(asking, "query_id bigint, scope_id bigint, query_vector array<float>"),
+                                spark.createDataFrame(stored, "query_id bigint, vec_id bigint, embedding array<float>"), "query_vector", "embedding")
+    want = sorted((str(q), str(p), str(cosine_by_hand(v, w))) for q, s, v in asking for t, p, w in stored if s is not None and s == t)
+    assert sorted((str(x.query_id), str(x.vec_id), str(x.score)) for x in found.collect()) == want
+    pairs = spark.createDataFrame([(v, w) for _, _, v in asking for _, _, w in stored], "v array<float>, w array<float>")
+    assert [x[0] for x in pairs.select(vec.cosine_similarity("v", "w")).collect()] == [cosine_by_hand(v, w) for _, _, v in asking for _, _, w in stored]
+
+
+def test_rows_that_meet_conditions_go_straight_to_their_questions(spark, monkeypatch):
+    for name, value in {"BLOCK_MANY": 2, "BLOCK_ROWS": 3, "TASK_PAIRS": 4}.items():
+        monkeypatch.setattr(scopes, name, value)
+    queries = spark.createDataFrame([(q, q % 2, f"rows with vlan above {q % 3 * 10}") for q in range(9)] + [(9, 0, "rows where status is open"), (3, 1, "vlan under 5")],
+                                    "query_id bigint, doc_set_id bigint, query_text string")
+    cells = [(s, 1, "S", d, r, False, ["Vlan", "Status"], [str(r * 7), "Open " if r % 2 else ""]) for s in range(2) for d in range(2) for r in range(1, 6)]
+    read = spark.createDataFrame(cells + cells[:1] + [(0, 1, "S", 0, 0, True, ["Vlan", "Status"], ["Vlan", "Status"])],
+                                 "doc_set_id bigint, sheet_no bigint, sheet_name string, doc_id bigint, row_no int, is_header boolean, columns array<string>, cells array<string>")
+    headers = spark.createDataFrame([(s, 1, 10, c, n) for s in range(2) for c, n in enumerate(["Vlan", "Status"])], "doc_set_id bigint, sheet_no bigint, n_rows bigint, col_no int, col_name string")
+    got = ra.filtered_rows(queries, read, headers, shown=F.array_join("cells", "/"))
+    want = [(q, q % 2, d, r, c[0] + "/" + c[1]) for q in range(9) for s, _, _, d, r, _, _, c in cells + cells[:1] if s == q % 2 and int(c[0]) > q % 3 * 10]
+    want += [(9, 0, d, r, c[0] + "/" + c[1]) for s, _, _, d, r, _, _, c in cells + cells[:1] if s == 0 and r % 2]
+    assert sorted((x.query_id, x.doc_set_id, x.doc_id, x.row_no, x.row) for x in got.collect()) == sorted(want)
+    assert sorted((x.query_id, x.doc_id, x.row_no) for x in ra.filtered_rows(queries, read, headers).collect()) == sorted((q, d, r) for q, _, d, r, _ in want)
+
+
+def test_keyword_hits_that_cannot_be_chosen_stay_away(spark):
+    rnd = np.random.default_rng(6)
+    options = replace(DEFAULTS, top_k=4, fallback_rows=2, max_per_page=2, min_score=0.1)
+    docs = spark.createDataFrame([(d, "Ready") for d in range(12)], "doc_id bigint, status string")
+    # crowded and thin pages; half the chunks have each identifier
+    where = [(c, c % 3 if c < 40 else c % 12, int(rnd.integers(0, 3)) or None) for c in range(90)]
+    chunks = spark.createDataFrame([(c, d, c, p, " ".join(["fnt0001"] * int(rnd.integers(0, 2)) + ["fnt0002"] * (c % 20 == 0) + ["fnt0003"] * (c % 3 == 0 and c < 40))) for c, d, p in where],
+                                   "chunk_id bigint, doc_id bigint, chunk_index int, page_number int, content string")
+    texts = ["FNT0001", "FNT0002", "FNT0003 FNT0002", "FNT0001 FNT0003", "FNT0003", "nothing"]
+    queries = spark.createDataFrame([(q, texts[q % 6]) for q in range(24)], "query_id bigint, query_text string")
+    scope = spark.createDataFrame([(q, d) for q in range(24) for d in range(12) if d < 3 or (q + d) % 2], "query_id bigint, doc_id bigint")
+    hits = spark.createDataFrame([(q, c, where[c][1], float(rnd.choice([0.3, 0.92, 0.95, 0.05]))) for q in range(24) for c in range(90) if rnd.random() < 0.1],
+                                 "query_id bigint, chunk_id bigint, doc_id bigint, score double").localCheckpoint()
+    place = chunks.select("chunk_id", "page_number", "chunk_index")
+    few = queries.where("query_id < 18").select("query_id")
+    every, some = (r.keyword_search(queries, scope, docs, chunks, options, few=f) for f in (None, few))
+    chosen = lambda found: rows(r.select_ranked(r.hybrid_merge(hits, found).join(place, "chunk_id").select(*r.RANKING), 4, options))
+    assert chosen(some) == chosen(every) != []
+    assert some.where("query_id < 18").count() < every.where("query_id < 18").count() / 2
+    assert rows(some.where("query_id >= 18")) == rows(every.where("query_id >= 18"))
+
+
+def moved(df, column):
+    """Exchanges that a column goes through."""
+    text = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    return sum(bool(re.match(r"\(\d+\) Exchange", block)) and bool(re.search(rf"\b{column}#", block)) for block in text.split("\n\n"))
+
+
+def test_texts_move_once_and_not_to_their_questions(spark, monkeypatch):
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.createDataFrame([(d, f"T{d}", d) for d in range(3)] + [(1, "again", None)], "doc_id bigint, title string, file_id bigint")
+        files = spark.createDataFrame([(0, "f0"), (2, "f2")], "file_id bigint, original_file_name string")
+        chunks = spark.createDataFrame([(c, c % 4, c, 1, "h", f"text {c}") for c in [*range(8), 5]] + [(6, 1, 6, 1, "h", "other"), (None, 1, 1, 1, "h", "x")],
+                                       "chunk_id bigint, doc_id bigint, chunk_index int, page_number int, heading string, content string")
+        hits = spark.createDataFrame([(q, c, 0.9, 77) for q in range(2) for c in (1, 3, 5, 6)], "query_id bigint, chunk_id bigint, score double, doc_id bigint")
+        found = r.hits_to_chunks(hits, chunks, docs, files)
+        # 1 and 5 in document 1, which comes twice; 3 has no document; 5 comes twice, 6 in two documents
+        assert sorted((x.chunk_id, x.content, x.file_name) for x in found.where("query_id = 1").collect()) == sorted(
+            [(1, "text 1", "T1"), (1, "text 1", "again"), (6, "text 6", "f2"), (6, "other", "T1"), (6, "other", "again")] + [(5, "text 5", n) for n in ("T1", "again")] * 2)
+        assert moved(found, "content") == 1
+        assert moved(r.retrieval_report(found), "content") == 1 == moved(cx.ranked_context(found), "content")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)

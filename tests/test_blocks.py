@@ -57,7 +57,7 @@ def test_large_blocks_give_the_rows_of_small_ones(spark, monkeypatch):
     read = lambda df: sorted((r.query_id, r.point_id, str(r.score)) for r in df.collect())
     every = read(blocks.blocked_cosines(points, asking, scope))
     best = read(blocks.blocked_cosines(points, asking, scope, 5, float("-inf")))
-    for name, value in {"BLOCK_NUMBERS": 40, "TILE": 16, "BATCH": 7, "BLOCK_BEST": 20, "PRUNE_PAIRS": 9}.items():
+    for name, value in {"BLOCK_NUMBERS": 40, "TILE": 16, "BATCH": 7, "BLOCK_LINKS": 30, "BLOCK_BEST": 20, "PRUNE_PAIRS": 9}.items():
         monkeypatch.setattr(blocks, name, value, raising=False)
     assert read(blocks.blocked_cosines(points, asking, scope)) == every
     assert read(blocks.blocked_cosines(points, asking, scope, 5, float("-inf"))) == best

@@ -188,10 +188,9 @@ def test_cosines_of_all_pairs_come_from_blocks(spark, monkeypatch):
     assert [x[0] for x in pairs.select(vec.cosine_similarity("v", "w")).collect()] == [cosine_by_hand(v, w) for _, _, v in asking for _, _, w in stored]
 
 
-def test_rows_that_meet_conditions_go_straight_to_their_questions(spark, monkeypatch):
+def test_rows_that_meet_conditions_are_given_to_their_questions(spark, monkeypatch):
     for name, value in {"BLOCK_MANY": 2, "BLOCK_ROWS": 3, "TASK_PAIRS": 4}.items():
         monkeypatch.setattr(scopes, name, value)
-    monkeypatch.setattr(ra, "ROW_QUESTIONS", 2)
     queries = spark.createDataFrame([(q, q % 2, f"rows with vlan above {q % 3 * 10}") for q in range(9)] + [(9, 0, "rows where status is open"), (3, 1, "vlan under 5")],
                                     "query_id bigint, doc_set_id bigint, query_text string")
     cells = [(s, 1, "S", d, r, False, ["Vlan", "Status"], [str(r * 7), "Open " if r % 2 else ""]) for s in range(2) for d in range(2) for r in range(1, 6)]

@@ -15,6 +15,8 @@ from foliant.llm.vector_topk import whole_vectors
 #: Spectra, or sums, that one task merges.
 FAN_IN = 32
 _EPS = np.finfo(np.float64).eps
+#: Cosine of two axes that are taken as turned by rounding.
+_TURNED = 1e-13
 
 
 def secular_roots(d: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,6 +115,12 @@ class Spectrum:
             self.update(between / np.sqrt(float(self.n) * n * (self.n + n)))
         self.n, self.sums = self.n + n, [a + b for a, b in zip(self.sums, sums, strict=True)]
 
+    def square(self) -> None:
+        """Puts axes back at right angles where rounding has turned them, each against those of larger values, which stay."""
+        if np.abs(self.axes.T @ self.axes - np.eye(len(self.axes))).max(initial=0) > _TURNED:
+            q, r = np.linalg.qr(self.axes[:, ::-1])
+            self.axes = (q * np.copysign(1.0, np.diag(r)))[:, ::-1]
+
     def add(self, rows: np.ndarray) -> None:
         """Rows of whole numbers.  More rows than dimensions go in as the triangular factor of their centred matrix, row by row."""
         sums = [int(s) for s in rows.sum(0, dtype=object)] if np.abs(rows).max(initial=0) * len(rows) >= 2.0**53 else [int(s) for s in rows.sum(0)]
@@ -120,12 +128,14 @@ class Spectrum:
         for v in np.linalg.qr(centred, mode="r") if len(rows) > rows.shape[1] else centred:
             self.update(v)
         self.moved(len(rows), sums)
+        self.square()
 
     def merge(self, other: Spectrum) -> None:
         for value, axis in zip(other.values, other.axes.T, strict=True):
             if value > 0:
                 self.update(np.sqrt(value) * axis)
         self.moved(other.n, other.sums)
+        self.square()
 
 
 def _per_partition(rows: DataFrame, dims: int, scale: float, work: Callable[[Iterator[np.ndarray]], dict | None], schema: str) -> DataFrame:
